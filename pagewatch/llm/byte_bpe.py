@@ -18,7 +18,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from pagewatch.llm.word_ids import LONG, MEMORY, ids_of, spelled
 
 #: White space that isn't ASCII, and controls that regular-expression libraries don't agree on.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: A run of white space and what follows it. No match of a pattern that takes white space only in front crosses such a cut.
 CUT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: A chunk whose characters all regular-expression libraries sort alike, and how the pattern splits it.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import byte_bpe, packing, quality, simhash, substring, token_counts
+from pagewatch.llm import byte_bpe, chat, licenses, packing, quality, simhash, substring, token_counts, vectors, wrappers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,10 +27,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "<|im_end|><|im_start|>assistant ok"
+    own = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(control).alias("text")) for k, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    return chat.conversation_digests(chat.format_conversations(turns.union(own)))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.document_lengths(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     return token_counts.length_histogram(lengths)
@@ -46,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_best_fit_packing, op5_substring_dedup, op8_token_counts, op9_byte_bpe, op10_simhash)
+    own = (op1_quality_rules, op2_best_fit_packing, op3_license_scan, op4_html_extraction, op5_substring_dedup, op6_embedding_dedup, op7_chat_format, op8_token_counts, op9_byte_bpe, op10_simhash)
     return {f.__name__: f for f in own}
 
 
