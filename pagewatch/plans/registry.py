@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from pagewatch.plans import text
+
+MODULES = (text,)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for m in MODULES:
+    if both := QUERIES.keys() & m.QUERIES.keys():
+        raise ValueError(f"registered twice: {sorted(both)}")
+    QUERIES |= m.QUERIES
+    SQL |= m.SQL
