@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewatch.plans import text
+from pagewatch.plans import changes, tables, text
 
-MODULES = (text,)
+MODULES = (text, tables, changes)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for m in MODULES:
