@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagewatch.functions import words as W
 
@@ -26,7 +27,7 @@ def words_in(items: list[str]) -> Column:
 # Bytes and pages
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_body(body: pd.Series, content_type: pd.Series) -> pd.Series:
     """Bytes as text: the header's charset, the page's own within 4096 bytes, UTF-8, Windows-1252; the first that decodes."""
     declared = re.compile(rb"<meta[^>]+charset=[\"']?\s*([a-zA-Z0-9_\-]+)", re.I)
@@ -87,12 +88,12 @@ def lines(text: Col) -> Column:
 # Folding and keys
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_accents(text: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     return text.map(lambda x: x if x is None or x.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))

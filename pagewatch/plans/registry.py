@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewatch.plans import changes, tables, text
+from pagewatch.plans import changes, links, quotes, tables, text
 
-MODULES = (text, tables, changes)
+MODULES = (text, tables, changes, quotes, links)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for m in MODULES:
