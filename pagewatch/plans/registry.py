@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewatch.plans import changes, links, quotes, tables, text
+from pagewatch.plans import changes, links, people, quotes, stats, stories, tables, text
 
-MODULES = (text, tables, changes, quotes, links)
+MODULES = (text, tables, changes, quotes, links, people, stats, stories)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for m in MODULES:
