@@ -7,8 +7,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from pagewatch.llm.word_ids import WordIds
 #: Pieces that a task packs together, on average.
 GROUP = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", grp long, bin long, offset long, fill long, group_bins long, group_bound long"
+PACKED = PIECES + ", grp long, bin long, offset long, fill long, least_fill long, group_bins long, group_bound long"
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
@@ -88,11 +88,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        lengths = pdf["length"].to_numpy()
+    def pack(rows: pa.Table) -> pa.Table:
+        by = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=by))
+        lengths = rows["length"].to_numpy()
         bins, offsets, fills = best_fit(lengths, capacity)
-        return pdf.assign(bin=bins, offset=offsets, fill=fills[bins], group_bins=len(fills), group_bound=lower_bound(lengths, capacity))
+        n = len(lengths)
+        more = {"bin": bins, "offset": offsets, "fill": fills[bins], "least_fill": np.full(n, fills.min()), "group_bins": np.full(n, len(fills)), "group_bound": np.full(n, lower_bound(lengths, capacity))}
+        return pa.table({k: rows[k] for k in (*(x.split()[0] for x in PIECES.split(", ")), "grp")} | {k: pa.array(v, pa.int64()) for k, v in more.items()})
 
     return pack
 
@@ -101,16 +104,17 @@ def _round(items: DataFrame, rows: int, group: int, capacity: int) -> DataFrame:
     """Deal the items to groups of about `group` rows and pack each. items is a stored table, so that a retried task deals alike."""
     groups = max(1, round(rows / group))
     dealt = items.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(_pack(capacity), PACKED)
+    return dealt.groupBy("grp").applyInArrow(_pack(capacity), PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "doc_id", capacity: int = 2048, end_id: int = 0, group: int = GROUP, rounds: int = 3) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, group_bins, group_bound.
 
     A document is its token ids and then end_id; only longer ones than the capacity are cut, into full pieces and a rest.
-    Groups of pieces are packed by best-fit decreasing. A dual-feasible-function bound certifies a group that uses no more bins than
-    any packing must; the others give the pieces of their bins that have room into a pool, which is dealt anew and packed
-    again, as long as that saves bins, up to `rounds` times. group_bins and group_bound tell of the piece's last group.
+    Groups of pieces are packed by best-fit decreasing, and dual-feasible-function bounds certify how many bins a group needs at
+    least. Where a bound is missed, all bins that have room give up their pieces; where it is met, a group may still hold
+    one bin that others could fill, and gives up its emptiest. These pieces are exchanged: dealt to new groups and packed again, as long as that
+    saves bins, up to `rounds` times. group_bins and group_bound tell of the piece's last group.
     A null or empty text is one piece, end_id alone. Null ids and repeated rows each give their pieces; other columns
     aren't read; an empty table gives none.
     """
@@ -120,7 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", id: str
     packed = materialize(_round(pieces, pieces.count(), group, capacity), "packed-0")
     done = packed.where(F.lit(False)).withColumn("round", F.lit(0))
     for k in range(rounds):
-        loose = (F.col("group_bins") > F.col("group_bound")) & (F.col("fill") < capacity)
+        loose = (F.col("fill") < capacity) & ((F.col("group_bins") > F.col("group_bound")) | (F.col("fill") == F.col("least_fill")))
         n, bins = packed.where(loose).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if n < 2:
             break
