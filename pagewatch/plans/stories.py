@@ -167,11 +167,11 @@ def stream_dedupe(spark, d):
     return ST.drain(ST.stream_dedupe(stream), f"stream_dedupe_{abs(hash(d))}", _checkpoint(spark)).select("change_id")
 
 
-@query("SELECT ts::DATE AS day, count(*) AS rounds, sum(event_id % 3)::BIGINT AS changed FROM events GROUP BY 1 HAVING ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("SELECT ts::DATE::VARCHAR AS day, count(*) AS rounds, sum(event_id % 3)::BIGINT AS changed FROM events GROUP BY ts::DATE HAVING ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def daily_counts(spark, d):
     own = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("started_at"), (F.col("event_id") % 3).alias("changed"), F.col("value").alias("usd"))
     stream = _file_stream(spark, own, "rounds")
-    return ST.drain(ST.daily_counts(stream), f"daily_counts_{abs(hash(d))}", _checkpoint(spark)).select("day", "rounds", "changed")
+    return ST.drain(ST.daily_counts(stream), f"daily_counts_{abs(hash(d))}", _checkpoint(spark)).select(F.col("day").cast("string").alias("day"), "rounds", "changed")
 
 
 @query("""WITH b AS (SELECT o_orderkey % 500 AS id, o_orderdate AS d, o_orderstatus AS s, o_orderkey FROM orders) SELECT id, arg_max(s, (d, s)) AS title, max(d) AS last_seen_at, max(d) AS first_seen_at FROM b GROUP BY 1""")
