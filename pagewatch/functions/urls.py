@@ -87,6 +87,12 @@ def in_scope(url: Col, entry: Col, suffixes: Col) -> tuple[Column, Column]:
     return inside, why
 
 
+def by_country(country: Col, table: dict[str, list[str]]) -> Column:
+    """A country's list of a fixed table, or null."""
+    own = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.try_element_at(own, c(country))
+
+
 def url_prefixes(url: Col) -> Column:
     """An address and all addresses that it is under, for equality joins in place of prefix joins."""
     parts = F.split(F.regexp_replace(c(url), "/+$", ""), "/")

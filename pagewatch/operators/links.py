@@ -107,32 +107,60 @@ def link_depth(sources: DataFrame, steps: int = 3) -> DataFrame:
     return own.drop("_at")
 
 
-def topic_links(links: DataFrame, topics: dict[str, str], most: int = 6) -> DataFrame:
-    """topic, page_url, link, label: links of the page's own host whose label or path fits a topic's pattern, `most` a topic and page."""
-    text = F.lower(F.concat_ws(" ", "label", U.path_of("link")))
-    fits = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(t)) for t, p in topics.items())))
-    own = links.where(U.host_of("link") == U.host_of("page_url")).withColumn("topic", F.explode(fits))
-    order = Window.partitionBy("topic", "page_url").orderBy("pos")
-    return own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+def topic_links(links: DataFrame, topics: dict[str, str] = W.LIVING_TOPICS, most: int = 6) -> DataFrame:
+    """topic, page_url, link, label: links of the page's own host whose address or label fits a topic's pattern, `most` a topic and page."""
+    text = F.replace(F.lower(F.concat_ws(" ", "link", "label")), F.lit(" "), F.lit("-"))
+    fits = F.array_compact(F.array(*(F.when(text.rlike(f"(?U){p}"), F.lit(t)) for t, p in topics.items())))
+    own = _own_host(links).withColumn("topic", F.explode(fits))
+    return _first(own, ["topic", "page_url"], [F.col("pos")], most)
 
 
-def scored_links(links: DataFrame, wanted: list[str], avoid: list[str] = (), path_weight: int = 1, first: str | None = None, most: int = 10) -> DataFrame:
-    """Links of the page's own host by how many wanted words label and path have: the best `most` of a page, with score.
+def _own_host(links: DataFrame) -> DataFrame:
+    return links.where(U.host_of("link") == U.host_of("page_url"))
 
-    A word in the path counts path_weight times. Links with a word to avoid are out. first: links with this word come before others.
-    """
-    label, path = F.lower("label"), F.lower(U.path_of("link"))
-
-    def hits(text: Column, items: list[str]) -> Column:
-        return F.aggregate(F.array(*(text.contains(w).cast("int") for w in items)), F.lit(0), lambda s, x: s + x)
-
-    own = links.where(U.host_of("link") == U.host_of("page_url"))
-    if avoid:
-        own = own.where((hits(label, list(avoid)) + hits(path, list(avoid))) == 0)
-    own = own.withColumn("score", hits(label, wanted) + path_weight * hits(path, wanted)).where("score > 0")
-    lead = (label.contains(first) | path.contains(first)).cast("int") if first else F.lit(0)
-    order = Window.partitionBy("page_url").orderBy(lead.desc(), F.desc("score"), "pos")
-    return own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+def _first(df: DataFrame, per: list[str], order: list[Column], most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*per).orderBy(*order))
+    return df.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
+def _has(text: Column, words: list[str]) -> Column:
+    return text.rlike("|".join(map(re.escape, words)))
+
+
+def _rank(text: Column, words: list[str]) -> Column:
+    """How early in the list the first word stands that a text has; 0 for none."""
+    out = F.when(F.lit(False), 0)
+    for k, w in enumerate(words):
+        out = out.when(text.contains(w), len(words) - k)
+    return out.otherwise(0)
+
+
+def course_links(links: DataFrame, most: int = 25) -> DataFrame:
+    """Links to courses with strength, best first a page: words in the path count double, short paths first. News and the like are out."""
+    path, label = F.lower(U.path_of("link")), F.lower("label")
+    text = F.concat_ws(" ", path, label)
+    own = _own_host(links).where(~_has(text, W.COURSE_AVOID) & _has(text, [*W.COURSE_STRONG, *W.COURSE_WEAK]))
+    own = own.withColumn("strength", _rank(path, W.COURSE_STRONG) * 2 + _rank(label, W.COURSE_STRONG))
+    return _first(own, ["page_url"], [F.desc("strength"), F.length(U.path_of("link")), F.col("pos")], most)
+
+
+def fee_links(links: DataFrame, most: int = 3) -> DataFrame:
+    """Links to tuition with strength: fees for people from abroad first, then tuition and fees, then other money."""
+    text = F.concat_ws(" ", F.lower(U.path_of("link")), F.lower("label"))
+    own = _own_host(links).where(_has(text, W.FEE_WORDS))
+    own = own.withColumn("strength", F.when(_has(text, ["international", "overseas"]), 2).otherwise(1) + _has(text, ["tuition", "fee"]).cast("int"))
+    return _first(own, ["page_url"], [F.desc("strength"), F.col("pos")], most)
+
+
+def contact_links(links: DataFrame, most: int = 2) -> DataFrame:
+    """Links to people who answer questions with strength: two for each word of a desk that is asked first."""
+    text = F.concat_ws(" ", F.lower(U.path_of("link")), F.lower("label"))
+    own = _own_host(links).where(_has(text, W.CONTACT_WORDS))
+    score = F.lit(0)
+    for w in W.CONTACT_PREFERRED:
+        score = score + F.when(text.contains(w), 2).otherwise(0)
+    return _first(own.withColumn("strength", score), ["page_url"], [F.desc("strength"), F.col("pos")], most)
 
 
 def course_url(titles: DataFrame, links: DataFrame) -> DataFrame:

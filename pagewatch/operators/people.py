@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewatch.functions import words as W
 from pagewatch.functions.text import row_id
 
 PER_KIND = 6
@@ -130,7 +131,7 @@ def run_estimate(times: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return out.select("bucket", n.cast("long").alias("n"), F.greatest(F.lit(FLOOR_SECONDS), F.least(F.lit(CEILING_SECONDS), seconds)).alias("seconds"), (n >= 3).alias("measured"))
 
 
-def coverage_score(requirements: DataFrame, matches: DataFrame, action: tuple[str, ...]) -> DataFrame:
+def coverage_score(requirements: DataFrame, matches: DataFrame, action: tuple[str, ...] = W.ACTION_CATEGORIES) -> DataFrame:
     """case_id, satisfiable, covered, score (floor of per cent), unverified. Requirements of action categories aren't satisfied by documents."""
     own = requirements.where(~F.col("category").isin(*action)).select("case_id", "requirement_id")
     found = matches.groupBy("case_id", "requirement_id").agg(F.count_if(~F.col("verified")).alias("_u"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
+from pagewatch.functions import words as W
 
 NO_QUOTE, NOT_ON_PAGE = "no quote given", "the quote is not on the page"
 WINDOW_CHARS = 30_000
@@ -131,6 +132,11 @@ def check_citations(lines: DataFrame, known: DataFrame, page: str = "page_id", c
     return lines.join(own, page, "left").withColumn(cites, left).withColumn("kept", F.size(cites) > 0).drop("_known")
 
 
+def known_topics(topics: T.Col) -> Column:
+    """The topics of a guide that are on the list, in their order."""
+    return F.filter(T.c(topics), lambda t: F.array_contains(T.words_in(W.GUIDE_TOPICS), t))
+
+
 def check_coverage(matches: DataFrame, requirements: DataFrame, fields: DataFrame) -> DataFrame:
     """matches (case_id, requirement_id, field_id) with why: an unknown requirement, a field that wasn't uploaded, or said already.
 

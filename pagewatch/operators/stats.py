@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
+from pagewatch.functions import words as W
 
 #: Terms by which a requirement mentions a kind of document.
 DOCUMENT_TERMS = {
@@ -118,7 +119,7 @@ def requirement_profile(requirements: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("share", F.bround(F.col("concrete") * 100 / F.col("requirements")).cast("int"))
 
 
-def census_share(rows: DataFrame, city: str, boroughs: tuple[str, ...]) -> DataFrame:
+def census_share(rows: DataFrame, city: str = "london", boroughs: tuple[str, ...] = W.LONDON_BOROUGHS) -> DataFrame:
     """area, share of people born abroad (per cent, two digits), with one figure for a city that is summed over its boroughs.
 
     rows: area, category, people. Totals and what doesn't apply count for nothing; categories that begin with "europe: united kingdom" are at home.

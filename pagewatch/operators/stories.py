@@ -127,7 +127,7 @@ def merge_requirements(requirements: DataFrame) -> DataFrame:
     return merged.select("category", "p.r.text", "p.r.requirement_id", "p.source_url", F.array_except("urls", F.array("p.source_url")).alias("also"))
 
 
-def lane_requirements(requirements: DataFrame, lane: str, categories: tuple[str, ...], near: DataFrame | None = None) -> DataFrame:
+def lane_requirements(requirements: DataFrame, lane: str, categories: tuple[str, ...] = W.CATEGORIES, near: DataFrame | None = None) -> DataFrame:
     """Live rows of a lane, of near pages only if a table of them is given, with rank of their category for ordering."""
     own = requirements.where(F.col("retired_at").isNull() & (F.col("lane") == lane))
     if near is not None:

@@ -97,24 +97,26 @@ def _labelled(spark, d):
     return own.withColumn("link", other)
 
 
-@query("SELECT 's' || p_partkey AS page, t.topic, t.n FROM part, (VALUES ('money', 2::BIGINT), ('contact', 1::BIGINT)) t(topic, n)")
+@query("SELECT 's' || p_partkey AS page, t.topic, t.n FROM part, (VALUES ('renew', 1::BIGINT), ('work_rights', 1::BIGINT)) t(topic, n)")
 def topic_links(spark, d):
-    out = L.topic_links(_labelled(spark, d), {"money": "fee|tuition", "contact": "contact"})
+    label = F.when(F.col("pos") == 0, "Extend your stay").when(F.col("pos") == 3, "The Minimum Wage").when(F.col("pos") == 4, "Renew").otherwise(F.col("label"))
+    out = L.topic_links(_labelled(spark, d).withColumn("label", label))
     return out.groupBy(F.regexp_extract("page_url", "//(s[0-9]+)", 1).alias("page"), "topic").agg(F.count("*").alias("n"))
 
 
-def _scored(name: str, sql: str, **kw):
+def _strengths(name: str, sql: str):
     def f(spark, d):
-        out = L.scored_links(_labelled(spark, d), **kw)
-        return out.select(F.regexp_extract("page_url", "//(s[0-9]+)", 1).alias("page"), "label", F.col("score").cast("long").alias("score"))
+        out = getattr(L, name)(_labelled(spark, d))
+        return out.select(F.regexp_extract("page_url", "//(s[0-9]+)", 1).alias("page"), "label", F.col("strength").cast("long").alias("strength"))
 
     f.__name__ = name
     query(sql)(f)
 
 
-_scored("course_links", "SELECT 's' || p_partkey AS page, t.label, t.score FROM part, (VALUES ('Course list', 3::BIGINT), ('Apply now', 3::BIGINT)) t(label, score)", wanted=["course", "apply"], avoid=["news"], path_weight=2)
-_scored("fee_links", "SELECT 's' || p_partkey AS page, t.label, t.score FROM part, (VALUES ('International tuition', 2::BIGINT)) t(label, score)", wanted=["fee", "tuition"], first="international", most=1)
-_scored("contact_links", "SELECT 's' || p_partkey AS page, t.label, t.score FROM part, (VALUES ('Contact the office', 4::BIGINT)) t(label, score)", wanted=["contact", "office"], avoid=["news", "apply"])
+#: "course" is the tenth of 23 strong words: 14 for the path, twice, and 14 for the label.
+_strengths("course_links", "SELECT 's' || p_partkey AS page, t.label, t.strength FROM part, (VALUES ('Course list', 42::BIGINT), ('Apply now', 0::BIGINT)) t(label, strength)")
+_strengths("fee_links", "SELECT 's' || p_partkey AS page, t.label, t.strength FROM part, (VALUES ('International tuition', 3::BIGINT), ('Tuition fees', 2::BIGINT)) t(label, strength)")
+_strengths("contact_links", "SELECT 's' || p_partkey AS page, 'Contact the office' AS label, 0::BIGINT AS strength FROM part")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'tuition-fees' WHEN 1 THEN 'course-list' END AS found FROM part")
