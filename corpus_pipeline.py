@@ -19,10 +19,9 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Documents with a null id or text go."""
+    """Documents that the quality rules keep, each judged where it is read. A null text goes."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    verdicts = quality.quality_rules(docs, model)
-    return _keep(docs, materialize(verdicts.where("kept").select("doc_id"), "kept"))
+    return docs.select(*COLUMNS).where(quality.verdict(model, spark, "text")["kept"])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

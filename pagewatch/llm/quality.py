@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewatch.llm.common import WHITE, hashed, mix, word_lists
@@ -21,6 +21,7 @@ BUCKETS = 1 << 16
 FIT_ROWS = 20_000
 #: Log ratios are held as whole multiples of 2^-20, so that a sum doesn't depend on its order.
 UNIT = 1 << 20
+VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -138,24 +139,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(weights, threshold(good, seen[seen.quality == 0].score.to_numpy()))
 
 
+def verdict(model: Model, spark: SparkSession, text: str | Column) -> Column:
+    """The statistics, base_failed, score and kept of a text, as a struct: to filter by, or to select from."""
+    shared = spark.sparkContext.broadcast(model.weights)
+    least = model.threshold
+
+    @F.pandas_udf(VERDICT)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        texts = list(texts)
+        x = statistics(texts)
+        mean = scores(texts, shared.value)
+        failed = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
+        return pd.DataFrame(x | {"base_failed": failed, "score": mean / UNIT, "kept": ~failed & (mean >= least)})
+
+    return of(text)
+
+
 def quality_rules(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
     """A row per document: doc_id, the statistics, base_failed, score (mean log ratio per n-gram) and kept.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text. base_failed: fewer than 50 words, or over half of the words lie in
     3-word windows that the text has twice or more. kept: not base_failed, and a score of at least the model's threshold.
     A null or empty text has zeros, fails and isn't kept. Null ids and repeated rows each give their row; other columns
-    aren't read; an empty table gives none.
+    aren't read; an empty table gives none. No row is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
-    least = model.threshold
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            x = statistics(texts)
-            mean = scores(texts, shared.value)
-            failed = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {k: pa.array(v) for k, v in x.items()} | {"base_failed": pa.array(failed), "score": pa.array(mean / UNIT), "kept": pa.array(~failed & (mean >= least))})
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, schema)
+    own = docs.select(F.col(id).cast("long").alias("doc_id"), verdict(model, docs.sparkSession, F.col(text)).alias("v"))
+    return own.select("doc_id", "v.*")
