@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import Model
 
 #: Words (and letter runs) whose ids a worker remembers; then it starts afresh.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Words of more bytes aren't remembered.
 LONG = 100
 #: Words of printable ASCII and Latin-1 letters: lower-casing and normalisation leave each character one of these.
