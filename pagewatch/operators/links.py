@@ -190,6 +190,19 @@ def readable_sources(sources: DataFrame, max_depth: int | None = None) -> DataFr
     return own if max_depth is None else own.where(depth <= max_depth)
 
 
+def thin_pages(pages: DataFrame, body: str = "body", least: int = 4000) -> DataFrame:
+    """Pages whose body has fewer bytes than a page has: candidates for a second reading."""
+    return pages.where(F.octet_length(body) < least)
+
+
+def longer_reading(first: DataFrame, second: DataFrame, key: str = "url", text: str = "text", usable: int = 400) -> DataFrame:
+    """first (key, text) with the longer of two readings of a page, where it comes from, and whether it has enough text to use."""
+    own = first.join(second.select(key, F.col(text).alias("_second")), key, "left")
+    again = F.length(F.coalesce("_second", F.lit(""))) > F.length(F.coalesce(text, F.lit("")))
+    own = own.withColumn("reading", F.when(again, "second").otherwise("first")).withColumn(text, F.when(again, F.col("_second")).otherwise(F.col(text)))
+    return own.withColumn("usable", F.length(F.coalesce(text, F.lit(""))) > usable).drop("_second")
+
+
 def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """urls with permission: allowed, disallowed or unknown, by what their host's robots file (host, status, body) says.
 

@@ -139,6 +139,16 @@ def recent_changes(spark, d):
     return S.newest(table(spark, d, "orders").where("o_orderstatus <> 'P' and o_custkey % 25 = 3").select("o_orderkey", "o_orderdate"), "o_orderdate", 20, "o_orderkey")
 
 
+@query("SELECT doc_id, n_chars FROM documents WHERE lang <> 'de' ORDER BY n_chars DESC, doc_id LIMIT 30")
+def recent_articles(spark, d):
+    return S.newest(table(spark, d, "documents").where("lang <> 'de'").select("doc_id", "n_chars"), "n_chars", 30, "doc_id")
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 25")
+def recent_rounds(spark, d):
+    return S.newest(table(spark, d, "events").where("event_type = 'click'").select("event_id", "ts"), "ts", 25, "event_id")
+
+
 @query("SELECT event_type AS why, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type)::INT AS place FROM events WHERE event_type <> 'view' GROUP BY 1")
 def reason_counts(spark, d):
     return S.reason_counts(table(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("why")))

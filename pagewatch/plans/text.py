@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
 from pagewatch.functions import words as W
-from pagewatch.operators import kinds
+from pagewatch.operators import kinds, links
 from pagewatch.plans.common import HOST, host, joined, page_text_sql, quoted, stable_digest_sql, table
 
 QUERIES, SQL = {}, {}
@@ -215,9 +215,16 @@ def read_verdict(spark, d):
     return table(spark, d, "events").select("event_id", T.read_verdict(F.element_at(answers, (F.col("event_id") % 5 + 1).cast("int"))).alias("verdict"))
 
 
-@query(f"SELECT page_id, {HOST} AS host, length(html) < 4000 AS thin FROM pages")
+@query(f"SELECT page_id, {HOST} AS host FROM pages WHERE octet_length(encode(html)) < 4000")
 def thin_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", host().alias("host"), (F.length("html") < 4000).alias("thin"))
+    return links.thin_pages(table(spark, d, "pages"), "html").select("page_id", host().alias("host"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS reading, CASE WHEN doc_id % 3 = 0 THEN length(text) + 5 ELSE length(text) END > 400 AS usable FROM documents")
+def longer_reading(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    again = docs.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise("").alias("text"))
+    return links.longer_reading(docs, again, "doc_id").select("doc_id", "reading", "usable")
 
 
 @query("""WITH x AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS a, regexp_extract_all(lower(CASE p_partkey % 3 WHEN 0 THEN 'The ' || p_name || ' ' || p_brand WHEN 1 THEN split_part(p_name, ' ', 1) ELSE p_type END), '[a-z0-9]+') AS b FROM part),

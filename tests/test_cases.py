@@ -168,3 +168,46 @@ def test_query_without_words(spark):
     docs = spark.createDataFrame([(1, "guide", "Visas", "", "", "2024")], "doc_id long, kind string, title string, summary string, body string, date string")
     assert S.search(docs, "the").count() == 0
     assert [r["score"] for r in S.search(docs, "visa").collect()] == [6]
+
+
+def test_kept_and_dropped_are_all(spark, data):
+    from pagewatch.plans import quotes
+
+    out = quotes.QUERIES["check_quotes"](spark, data)
+    assert out.where("kept").count() + out.where("why is not null").count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_retired_rows_stay_and_come_back(spark):
+    schema = "requirement_id long, source_id long, last_confirmed_at timestamp, retired_at timestamp, retired_reason string"
+    rows = spark.createDataFrame([(1, 1, None, None, None), (2, 1, None, None, None), (3, 2, None, None, None)], schema)
+    now = F.lit("2024-02-01").cast("timestamp")
+    read = rows.where("source_id = 1").select("source_id")
+    once = C.retire_missing(rows, rows.where("requirement_id = 1").select("requirement_id"), read, now)
+    assert {r["requirement_id"] for r in once.where("retired_at is not null").collect()} == {2}
+    twice = C.retire_missing(once, rows.where("requirement_id = 2").select("requirement_id"), read, now)
+    assert {r["requirement_id"] for r in twice.where("retired_at is not null").collect()} == {1}
+    assert twice.count() == 3
+
+
+def test_a_version_of_the_same_moment_is_not_earlier(spark):
+    reads = spark.createDataFrame([("s", 5, "r"), ("t", 5, "q")], "source_id string, read_at long, read string")
+    stored = spark.createDataFrame([("s", 5, "now"), ("s", 4, "before"), ("s", 1, "old")], "source_id string, read_at long, path string")
+    assert {r["source_id"]: r["before_path"] for r in C.latest_before(reads, stored).collect()} == {"s": "before", "t": None}
+
+
+def test_moved_tokens_count_once(spark):
+    from pagewatch.operators import people as P
+
+    votes = spark.createDataFrame([(1, "a", "yes", 1), (1, "a", "no", 2), (1, "b", "yes", 1), (1, "c", "maybe", 1)], "proposal long, wallet string, option string, at long")
+    options = spark.createDataFrame([(1, "yes"), (1, "no")], "proposal long, option string")
+    balances = spark.createDataFrame([("a", "5000000000000000000"), ("b", "0"), ("c", "7")], "wallet string, amount string")
+    assert sorted(P.tally(votes, options, balances).collect()) == [(1, "no", "5000000000000000000", 1), (1, "yes", "0", 0)]
+
+
+def test_unknown_cost_does_not_win(spark):
+    from pagewatch.operators import people as P
+
+    own = spark.createDataFrame([(1, c, 1, 1) for c in ("UK", "DE", "CA")], "case_id long, country string, n_reasons long, requirements long")
+    costs = spark.createDataFrame([("UK", 10.0), ("CA", 20.0), ("DE", None)], "country string, cost double")
+    totals = {r["country"]: r["total"] for r in P.score_study(own, costs).collect()}
+    assert totals == {"UK": 4 + 8 + 16 + 12 + 30, "DE": 6 + 6 + 16 + 12, "CA": 9 + 8 + 16 + 12}
