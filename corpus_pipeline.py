@@ -14,10 +14,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, each judged where it is read. A null text goes."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,16 +21,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of repeated rows of it, one."""
-    groups = simhash.simhash_groups(docs)
-    return _keep(docs, groups.where("doc_id = component_id").select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near-duplicates; of repeated rows of it, one.
+
+    Documents without an id stay where no document with one is near, one of each fingerprint.
+    """
+    own = docs.select(*COLUMNS)
+    groups = materialize(simhash.simhash_groups(own), "groups")
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = own.join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    alone = groups.where("component_id is null").select("fp").distinct()
+    nameless = own.where("doc_id is null").withColumn("_h", simhash.fingerprint("text")).join(alone.withColumnRenamed("fp", "_h"), "_h", "left_semi").dropDuplicates(["_h"])
+    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; those of which nothing is left go."""
-    cut = substring.remove_repeats(docs, with_text=True).where("n_removed < n_words").select("doc_id", "kept_text")
-    left = docs.select("doc_id", "lang", "source").join(cut, "doc_id")
-    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    """Documents without their repeated passages; those of which nothing is left go, and so do those without words."""
+    cut = substring.remove_repeats(docs, with_text=True, carry=("lang", "source")).where("n_removed < n_words")
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "carry.lang", "carry.source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

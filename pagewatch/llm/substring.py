@@ -208,7 +208,7 @@ def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     return whole.union(part)
 
 
-def _cut(width: int, with_text: bool):
+def _cut(with_text: bool):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digest, texts = [], [], [], []
@@ -234,9 +234,11 @@ def _cut(width: int, with_text: bool):
     return stream
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 35, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 35, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept_sha256, and with_text the text that is left as kept_text.
 
+    carry: further columns of docs that go along, together in a struct of that name.
+
     A word goes if some window of `width` words that covers it starts anywhere else too, in the same document or another.
     Words are [^\\x20\\x09-\\x0D]+, compared as they are. A text of which nothing goes stays as it is; of others the kept
     words are joined by one space. A null or empty text, and one shorter than the window, loses nothing (a null text stays
@@ -244,9 +246,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", widt
     """
     if width < 1:
         raise ValueError("a window has at least one word")
-    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("fp", F.xxhash64("text"))
-    ranges = repeated_ranges(own, width).groupBy("doc_id", "fp").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry")).withColumn("fp", F.xxhash64("text"))
+    ranges = repeated_ranges(own.select("doc_id", "text", "fp"), width).groupBy("doc_id", "fp").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     ranges = ranges.withColumnsRenamed({"doc_id": "i", "fp": "f"})
-    joined = own.join(ranges, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left").select("doc_id", "text", "s", "e")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_cut(width, with_text), schema)
+    joined = own.join(ranges, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left").select("doc_id", "text", "s", "e", *["carry"] * bool(carry))
+    schema = f"doc_id long, {f'carry {joined.schema["carry"].dataType.simpleString()}, ' if carry else ''}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return joined.mapInArrow(_cut(with_text), schema)

@@ -514,3 +514,24 @@ def test_pipeline(spark, data):
                 assert r["n_chars"] == len(r["text"])
         seen = out
     assert {r["doc_id"] for r in seen.select("doc_id").distinct().collect()} == after.keys()
+
+
+def test_stages_with_odd_rows(spark, data, rows):
+    import corpus_pipeline as c
+
+    odd = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else "src", None) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    near = c.near_dedup_stage(spark, docs, data).collect()
+    fps = [brute_simhash(t) for _, t in rows]
+    roots = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3, [i for i, _ in rows])
+    want = {(i, t) for (i, t), r in zip(rows, roots, strict=True) if i is not None and i == r} | {(None, t) for (i, t), r in zip(rows, roots, strict=True) if i is None and r is None}
+    assert Counter((r["doc_id"], r["text"]) for r in near) == Counter(dict.fromkeys(want, 1))
+    cut = c.substring_stage(spark, docs, data).collect()
+    brute = brute_repeats([t for _, t in rows], 35)
+    assert Counter(r["doc_id"] for r in cut) == Counter(i for (i, _), (n, gone, _) in zip(rows, brute, strict=True) if gone < n)
+    assert {(r["lang"], r["source"]) for r in cut} <= {(x, y) for _, _, x, y, _ in odd}
+    kept = c.quality_stage(spark, docs, data)
+    assert kept.columns == list(c.COLUMNS) and not kept.where("text is null").count()
+    assert c.packing_stage(spark, docs, data).where("piece = 0").count() == len(rows)
+    none = docs.where("false")
+    assert [stage(spark, none, data).count() for _, stage in c.STAGES] == [0, 0, 0, 0]
