@@ -52,12 +52,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join.
+def small(df: DataFrame, rows: int) -> DataFrame | None:
+    """df with a broadcast hint if it has at most so many rows, else None: the caller then takes the way that shuffles.
 
     df should be cheap to count: a table or an aggregate over one.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
 def word_lists(texts: list[str | None]):

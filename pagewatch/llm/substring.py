@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.llm.common import hashed, materialize, mix, small, word_lists
 
-#: Documents up to which the list of those to read again is broadcast (16 bytes each).
+#: Documents up to which lists of those to read again, or to cut, are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bases of the fingerprints of word ranges, and salts of the rounds (fixed values, odd).
 BASES = (np.uint64(0x9E3779B97F4A7C17), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -194,10 +194,10 @@ def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     kinds = materialize(shared.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a != b").select("key"), "contested-anchors")
     whole = shared.join(kinds, "key", "left_anti").select("doc_id", "fp", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
     again = materialize(shared.join(kinds, "key", "left_semi").select("doc_id", "fp").distinct(), "documents-again")
-    again = small(again, BROADCAST_ROWS).withColumnsRenamed({"doc_id": "i", "fp": "f"})
+    again = (small(again, BROADCAST_ROWS) or again).withColumnsRenamed({"doc_id": "i", "fp": "f"})
     reread = docs.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left_semi").select("doc_id", "text")
     lists = reread.mapInArrow(_windows(width), "key long, doc_id long, fp long, lo int, before int, windows array<long>")
-    lists = lists.join(small(kinds, BROADCAST_ROWS), "key", "left_semi")
+    lists = lists.join(small(kinds, BROADCAST_ROWS) or kinds, "key", "left_semi")
     windows = materialize(
         lists.select("key", "doc_id", "fp", "lo", "before", F.posexplode("windows").alias("at", "w")).select("key", (F.col("before") - F.col("at")).alias("off"), "w", "doc_id", "fp", (F.col("lo") + F.col("at")).alias("s")),
         "windows",
@@ -248,7 +248,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", widt
         raise ValueError("a window has at least one word")
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry")).withColumn("fp", F.xxhash64("text"))
     ranges = repeated_ranges(own.select("doc_id", "text", "fp"), width).groupBy("doc_id", "fp").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    ranges = ranges.withColumnsRenamed({"doc_id": "i", "fp": "f"})
-    joined = own.join(ranges, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left").select("doc_id", "text", "s", "e", *["carry"] * bool(carry))
+    ranges = materialize(ranges.withColumnsRenamed({"doc_id": "i", "fp": "f"}), "ranges")
+    own = own.drop("carry") if not carry else own
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f"))
+    touched = small(ranges.select("i", "f"), BROADCAST_ROWS)
+    if touched is None:
+        joined = own.join(ranges, same, "left")
+    else:
+        # The texts of documents that lose nothing stay where they are.
+        whole = own.join(touched, same, "left_anti").withColumns({"s": F.lit(None).cast("array<int>"), "e": F.lit(None).cast("array<int>")})
+        joined = own.join(touched, same, "left_semi").join(ranges, same).drop("i", "f").unionByName(whole)
+    joined = joined.select("doc_id", "text", "s", "e", *["carry"] * bool(carry))
     schema = f"doc_id long, {f'carry {joined.schema["carry"].dataType.simpleString()}, ' if carry else ''}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_cut(with_text), schema)

@@ -535,3 +535,9 @@ def test_stages_with_odd_rows(spark, data, rows):
     assert c.packing_stage(spark, docs, data).where("piece = 0").count() == len(rows)
     none = docs.where("false")
     assert [stage(spark, none, data).count() for _, stage in c.STAGES] == [0, 0, 0, 0]
+
+
+def test_substring_without_broadcasts(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    got = multiset(substring.remove_repeats(docs, carry=("component_id",)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 35), strict=True))
