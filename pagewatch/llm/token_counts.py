@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.llm.byte_bpe import ByteBpe
+from pagewatch.llm.common import materialize
 
 BLOCK = 1024
 
@@ -32,11 +33,11 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int =
     lengths that occur, truncated_tokens grows by docs_over for each token of the limit, so that the rows answer every
     limit. Null lengths aren't counted; an empty table gives no rows.
 
-    Rows of one length meet only as partial counts. The suffix sums run within blocks of lengths, and over the blocks'
+    Rows of one length meet only as partial counts; the counts are stored, so that texts are encoded once. The suffix sums run within blocks of lengths, and over the blocks'
     totals, of which there are the longest length / block.
     """
     bins = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("n_tokens")).agg(F.count("*").alias("docs"))
-    bins = bins.withColumn("block", F.floor(F.col("n_tokens") / block))
+    bins = materialize(bins.withColumn("block", F.floor(F.col("n_tokens") / block)), "lengths")
     sums = (F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     blocks = bins.groupBy("block").agg(*sums)
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
