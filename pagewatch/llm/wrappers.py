@@ -3,7 +3,7 @@
 A page's tokens (structural tags with their classes, and text) nest into a tree. A wrapper is a union-free regular
 expression over such tokens, held as a tree as well: a tag with what it contains in order, where parts may be optional `( )?` or
 repeated `( )+`, and `#` stands for a text slot. Aligning a page with a wrapper resolves each mismatch: equal neighbours fold into a repeat,
-tokens that one side lacks become optional, and different texts in one place become a slot. Aligning two wrappers is the
+and tokens that one side lacks become optional. Aligning two wrappers is the
 same, so that Spark aligns pages within tasks, tasks within salted parts of a host, and those into the host's wrapper.
 """
 
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +40,9 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner br
 IN_ARTICLE = frozenset(["header"])
 #: Nodes of a wrapper from which on a page adds no new parts to it.
 NODES = 3000
-#: Pages on which a short text has to be the same for it to be a label of the template.
-LABEL_PAGES = 20
 
-Node = list  # [key, optional, repeated, pages, characters, text or None where it varies, parts]
-KEY, OPTIONAL, REPEATED, PAGES, CHARS, TEXT, PARTS = range(7)
+Node = list  # [key, optional, repeated, pages, characters, parts]
+KEY, OPTIONAL, REPEATED, PAGES, CHARS, PARTS = range(6)
 SLOT, GROUP = "#", "()"
 
 
@@ -147,11 +144,11 @@ def _article(key: str) -> int:
 
 def page_wrapper(page: str | None) -> Node:
     """A page as a wrapper of its own: repeats are folded already."""
-    root: Node = ["", False, False, 1, 0, None, []]
+    root: Node = ["", False, False, 1, 0, []]
     stack = [root]
     for event in _parse(page):
         if event[0] == "open":
-            node: Node = [event[1], False, False, 1, 0, None, []]
+            node: Node = [event[1], False, False, 1, 0, []]
             stack[-1][PARTS].append(node)
             stack.append(node)
         elif event[0] == "close":
@@ -162,9 +159,8 @@ def page_wrapper(page: str | None) -> Node:
             parts = stack[-1][PARTS]
             if parts and parts[-1][KEY] == SLOT:
                 parts[-1][CHARS] += len(text)
-                parts[-1][TEXT] = xxhash.xxh64_hexdigest(f"{parts[-1][TEXT]} {text}")
             else:
-                parts.append([SLOT, False, False, 1, len(text), xxhash.xxh64_hexdigest(text), []])
+                parts.append([SLOT, False, False, 1, len(text), []])
     root[CHARS] = sum(x[CHARS] for x in root[PARTS])
     root[PARTS] = _fold(root[PARTS])
     return root
@@ -187,7 +183,7 @@ def _fold(parts: list[Node]) -> list[Node]:
                 while [x[KEY] for x in out[j : j + width]] == [x[KEY] for x in run]:
                     run = [_merge(a, b, same_page=True) for a, b in zip(run, out[j : j + width], strict=True)]
                     j += width
-                out[i:j] = [[GROUP, False, True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), None, run]]
+                out[i:j] = [[GROUP, False, True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), run]]
             i += 1
     return out
 
@@ -224,7 +220,7 @@ def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]
 def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """The least general wrapper of two with the same first token."""
     pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
-    out: Node = [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], a[TEXT] if a[TEXT] == b[TEXT] else None, []]
+    out: Node = [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], []]
     for x, y in _align(a[PARTS], b[PARTS]):
         if x and y:
             out[PARTS].append(_merge(x, y, same_page))
@@ -272,7 +268,7 @@ def _paths(node: Node, path: str, off: bool, inside: bool) -> Iterator[tuple[str
 
 
 def reading(wrapper: Node) -> dict:
-    """How to read a host's pages: the path of the main part, and paths of slots that always hold one label.
+    """How to read a host's pages: the path of the main part.
 
     The main part is an article (or what is marked as main) that half of the pages have, the one with most text. Without one it is found
     from the top: the part that holds three fifths of the text that isn't marked as something else, as long as there is one.
@@ -291,20 +287,14 @@ def reading(wrapper: Node) -> dict:
             if not big:
                 break
             _, main, node = max(big, key=lambda b: b[:2])
-    labels = []
-    for p, x, off in nodes:
-        texts = [t for t in x[PARTS] if t[KEY] == SLOT]
-        plain = not off and len(x[PARTS]) == 1 and texts and not x[REPEATED] and p.startswith(main) and p != main
-        if plain and texts[0][TEXT] and texts[0][PAGES] >= LABEL_PAGES and not re.search(r"/(p|h[1-6]|li|blockquote|pre|td)\b[^/]*$", p):
-            labels.append(p)
-    return {"main": main, "labels": labels}
+    return {"main": main}
 
 
 def main_text(page: str | None, how: dict | None) -> str:
     """Blocks of the page's main part, one a line."""
     events = list(_parse(page))
 
-    def read(main: str, labels: set[str]) -> tuple[list[str], bool]:
+    def read(main: str) -> tuple[list[str], bool]:
         blocks: list[str] = []
         run: list[str] = []
         path, inside, off, seen, article = [""], [main == ""], [False], main == "", [False]
@@ -321,7 +311,7 @@ def main_text(page: str | None, how: dict | None) -> str:
                 path.append(here)
                 inside.append(inside[-1] or here == main)
                 seen = seen or here == main
-                off.append(off[-1] or event[2] or _boiler(event[1], article[-1]) or here in labels)
+                off.append(off[-1] or event[2] or _boiler(event[1], article[-1]))
                 article.append(article[-1] or _article(event[1]) > 0)
             elif event[0] == "close":
                 end()
@@ -332,12 +322,11 @@ def main_text(page: str | None, how: dict | None) -> str:
         end()
         return blocks, seen
 
-    how = how or {"main": None, "labels": []}
-    if how["main"] is not None:
-        blocks, seen = read(how["main"], set(how["labels"]))
+    if how is not None:
+        blocks, seen = read(how["main"])
         if seen:
             return "\n".join(blocks)
-    return "\n".join(read(reading(page_wrapper(page))["main"], set())[0])
+    return "\n".join(read(reading(page_wrapper(page))["main"])[0])
 
 
 def host_of(url: str | Column) -> Column:
@@ -383,8 +372,8 @@ def extract_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", b
     """A row per page: page_id, url, text (empty if none), n_chars (code points).
 
     text: blocks of the main part in page order, joined by one newline; character references decoded, white space inside a block
-    one space, ends trimmed. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and labels
-    of the template are left out. A page without the main part of its host's wrapper is read by its own. A null or empty
+    one space, ends trimmed. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out,
+    by elements, roles and words of classes; a text is never left out because other pages have it too. A page without the main part of its host's wrapper is read by its own. A null or empty
     page gives an empty text. A null or odd url counts as the host "". Broken markup never fails. Null ids and repeated rows each
     give their row; other columns aren't read; an empty table gives none. How to read each host is broadcast if that
     is at most broadcast_bytes in all; else it is joined on the host, a join that adaptive execution can split.

@@ -367,6 +367,17 @@ def test_wrapper_expression():
     assert wrappers.expression(wrappers.align(own, other)) == "<ul>(<li>#</>)+</>(<h2>#</>)?<p>#</>"
 
 
+@pytest.mark.parametrize("copies", [19, 20, 60])
+def test_copies_of_an_article_keep_their_text(spark, copies):
+    copy = "<article><h1>Title</h1><div>All of the body is in one block</div><section>A part of its own</section></article>"
+    # Two blocks of one path, of which one is the same everywhere.
+    mixed = "<article><h1>Title {0}</h1><div>By the desk</div><p>Text {0}</p><div>Body {0}</div></article>"
+    pages = [(k, f"https://{host}.example/{k}", site(k, body.format(k))) for k in range(copies) for host, body in (("copies", copy), ("mixed", mixed))]
+    got = {(r["url"], r["text"]) for r in wrappers.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {(f"https://copies.example/{k}", "Title\nAll of the body is in one block\nA part of its own") for k in range(copies)}
+    assert got == want | {(f"https://mixed.example/{k}", f"Title {k}\nBy the desk\nText {k}\nBody {k}") for k in range(copies)}
+
+
 def test_odd_pages_never_fail():
     rng = random.Random(2)
     parts = ["<p>", "</p>", "<div class=ad>", "</div>", "<script>", "</script>", "<!--", "-->", "<li>", "<td>", "<tr>", "text", "&amp;", "<", ">", '"', "<a href='", "<br/>", "</table>", "<table>"]
