@@ -3,7 +3,8 @@
 A page's tokens (structural tags with their classes, and text) nest into a tree. A wrapper is a union-free regular
 expression over such tokens, held as a tree as well: a tag with what it contains in order, where parts may be optional `( )?` or
 repeated `( )+`, and `#` stands for a text slot. Aligning a page with a wrapper resolves each mismatch: equal neighbours fold into a repeat,
-and tokens that one side lacks become optional. Aligning two wrappers is the
+and tokens that one side lacks become optional. Parts of two pages meet by token and number, wherever they stand, so that the order
+of aligning doesn't matter and no size of a host or page changes a result. Aligning two wrappers is the
 same, so that Spark aligns pages within tasks, tasks within salted parts of a host, and those into the host's wrapper.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,8 +40,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promos promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 #: Inside an article its own header holds the heading.
 IN_ARTICLE = frozenset(["header"])
-#: Nodes of a wrapper from which on a page adds no new parts to it.
-NODES = 3000
+#: Levels of a wrapper: what lies deeper counts as text of the last one. Reading has no such bound.
+LEVELS = 200
+#: Nodes that a task holds before it hands on its wrappers.
+HELD = 200_000
 
 Node = list  # [key, optional, repeated, pages, characters, parts]
 KEY, OPTIONAL, REPEATED, PAGES, CHARS, PARTS = range(6)
@@ -52,7 +56,7 @@ def _key(tag: str, attributes: str) -> tuple[str, bool]:
         return tag, False
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
-    role = found.get("role", "").strip().lower()
+    role = found.get("role", "").strip().lower().replace("/", "")
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true"
     key = tag + (f"[{role}]" if role else "") + "".join(f".{w}" for w in sorted(set(words)))
     if found.get("itemprop", "").lower() == "articlebody":
@@ -65,7 +69,14 @@ def _parse(page: str | None):
     if not page:
         return
     stack: list[str] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of each open tag in the stack
     at = 0
+
+    def pop() -> str:
+        tag = stack.pop()
+        places[tag].pop()
+        return tag
+
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
@@ -78,8 +89,8 @@ def _parse(page: str | None):
         if m[1]:
             if tag in INLINE:
                 continue
-            if tag in stack:
-                while stack.pop() != tag:
+            if places.get(tag):
+                while pop() != tag:
                     yield ("close",)
                 yield ("close",)
             continue
@@ -92,29 +103,27 @@ def _parse(page: str | None):
             continue
         if tag in INLINE or tag in VOID and tag != "hr":
             continue
-        if tag in CLOSES_P and "p" in stack:
+        if tag in CLOSES_P and places.get("p"):
             while True:
                 yield ("close",)
-                if stack.pop() == "p":
+                if pop() == "p":
                     break
         if tag in ENDS:
             ends, bounds = ENDS[tag]
-            own = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] in ends | bounds), -1)
+            own = max((places[x][-1] for x in ends | bounds if places.get(x)), default=-1)
             low = own
             while low > 0 and stack[low] in ends and tag == "tr" and stack[low - 1] in ends:
                 low -= 1
             if own >= 0 and stack[own] in ends:
                 for _ in range(len(stack) - low):
-                    stack.pop()
+                    pop()
                     yield ("close",)
         yield "open", *_key(tag, m[3])
         if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P and tag != "body":
             yield ("close",)
         else:
+            places[tag].append(len(stack))
             stack.append(tag)
-            if len(stack) > 200:  # deeper nesting is read flat
-                stack.pop()
-                yield ("close",)
     for _ in stack:
         yield ("close",)
 
@@ -146,8 +155,13 @@ def page_wrapper(page: str | None) -> Node:
     """A page as a wrapper of its own: repeats are folded already."""
     root: Node = ["", False, False, 1, 0, []]
     stack = [root]
+    deeper = 0
     for event in _parse(page):
-        if event[0] == "open":
+        if event[0] == "open" and len(stack) > LEVELS:
+            deeper += 1
+        elif event[0] == "close" and deeper:
+            deeper -= 1
+        elif event[0] == "open":
             node: Node = [event[1], False, False, 1, 0, []]
             stack[-1][PARTS].append(node)
             stack.append(node)
@@ -189,32 +203,29 @@ def _fold(parts: list[Node]) -> list[Node]:
 
 
 def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """A longest common subsequence of tokens; what one side lacks is paired with None, in order."""
-    i = 0
-    while i < min(len(a), len(b)) and a[i][KEY] == b[i][KEY]:
-        i += 1
-    head = list(zip(a[:i], b[:i], strict=True))
-    a, b = a[i:], b[i:]
-    if not a or not b:
-        return head + [(x, None) for x in a] + [(None, x) for x in b]
-    if len(a) * len(b) > 250_000:
-        return head + [(x, None) for x in a] + [(None, x) for x in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][KEY] == b[j][KEY] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i][KEY] == b[j][KEY]:
-            out.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append((a[i], None))
-            i += 1
+    """The nth part of a token meets the nth of the other side, in linear time; what one side lacks is paired with None, in order."""
+    pairs: dict[str, list] = defaultdict(list)
+    for x in a:
+        pairs[x[KEY]].append((x, None))
+    seen: Counter = Counter()
+    before: dict[tuple[str, int], list[str]] = {}
+    run: list[str] = []
+    for y in b:
+        key, n = y[KEY], seen[y[KEY]]
+        seen[key] += 1
+        if n < len(pairs[key]):
+            pairs[key][n] = (pairs[key][n][0], y)
+            before[key, n], run = run, []
         else:
-            out.append((None, b[j]))
-            j += 1
-    return head + out + [(x, None) for x in a[i:]] + [(None, x) for x in b[j:]]
+            pairs[key].append((None, y))
+            run.append(key)
+    order, seen = [], Counter()
+    for x in a:
+        order += before.get((x[KEY], seen[x[KEY]]), ())
+        order.append(x[KEY])
+        seen[x[KEY]] += 1
+    nth = {key: iter(own) for key, own in pairs.items()}
+    return [next(nth[key]) for key in order + run]
 
 
 def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
@@ -226,7 +237,7 @@ def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
             out[PARTS].append(_merge(x, y, same_page))
         else:
             out[PARTS].append([*(x or y)[:OPTIONAL], True, *(x or y)[REPEATED:]])
-    if not same_page or len(out[PARTS]) > max(len(a[PARTS]), len(b[PARTS])):
+    if same_page and len(out[PARTS]) > max(len(a[PARTS]), len(b[PARTS])):
         out[PARTS] = _fold(out[PARTS])
     return out
 
@@ -235,13 +246,39 @@ def _count(node: Node) -> int:
     return 1 + sum(map(_count, node[PARTS]))
 
 
-def align(a: Node, b: Node, nodes: int = NODES) -> Node:
-    """Align two wrappers of a host. Where the result would have over `nodes` parts, the one with more pages stays as it is."""
-    out = _merge(a, b)
-    if _count(out) > nodes:
-        out = [*max(a, b, key=lambda x: x[PAGES])]
-        out[PAGES] = a[PAGES] + b[PAGES]
-    return out
+def align(a: Node, b: Node) -> Node:
+    """Align two wrappers of a host."""
+    return _merge(a, b)
+
+
+class _Wrappers:
+    """Wrappers of one host that are added one by one. Those of like size are aligned first, so that a large one isn't copied for each page."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, Node]] = []
+
+    def add(self, own: Node) -> int:
+        """Returns by how many nodes what is held has grown."""
+        nodes = grown = _count(own)
+        while self.stack and self.stack[-1][0] <= 2 * nodes:
+            n, last = self.stack.pop()
+            own = align(last, own)
+            grown += (both := _count(own)) - n - nodes
+            nodes = both
+        self.stack.append((nodes, own))
+        return grown
+
+    def all(self) -> Node:
+        own = self.stack[-1][1]
+        for _, x in self.stack[-2::-1]:
+            own = align(x, own)
+        return own
+
+
+def _main_only(node: Node, inside: bool = False) -> Node:
+    """Without parts that are never main text, and slots: reading() doesn't ask for either."""
+    inside = inside or _article(node[KEY]) > 0
+    return [*node[:PARTS], [_main_only(x, inside) for x in node[PARTS] if x[KEY] == GROUP or x[KEY] != SLOT and not _boiler(x[KEY], inside)]]
 
 
 def expression(node: Node) -> str:
@@ -297,7 +334,9 @@ def main_text(page: str | None, how: dict | None) -> str:
     def read(main: str) -> tuple[list[str], bool]:
         blocks: list[str] = []
         run: list[str] = []
-        path, inside, off, seen, article = [""], [main == ""], [False], main == "", [False]
+        keys = main.split("/")[1:]
+        # met: how many of the keys lead to where we are, or -1.
+        met, inside, off, seen, article = [0], [main == ""], [False], main == "", [False]
 
         def end():
             if run and (text := SPACE.sub(" ", html.unescape("".join(run))).strip()):
@@ -307,15 +346,15 @@ def main_text(page: str | None, how: dict | None) -> str:
         for event in events:
             if event[0] == "open":
                 end()
-                here = f"{path[-1]}/{event[1]}"
-                path.append(here)
-                inside.append(inside[-1] or here == main)
-                seen = seen or here == main
+                met.append(met[-1] + 1 if 0 <= met[-1] < len(keys) and keys[met[-1]] == event[1] else -1)
+                here = met[-1] == len(keys)
+                inside.append(inside[-1] or here)
+                seen = seen or here
                 off.append(off[-1] or event[2] or _boiler(event[1], article[-1]))
                 article.append(article[-1] or _article(event[1]) > 0)
             elif event[0] == "close":
                 end()
-                for x in (path, inside, off, article):
+                for x in (met, inside, off, article):
                     x.pop()
             elif inside[-1] and not off[-1]:
                 run.append(event[1])
@@ -335,29 +374,29 @@ def host_of(url: str | Column) -> Column:
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a task: align the pages of each host, and hand on what there is whenever much is held."""
-    held: dict[str, Node] = {}
+    held: dict[str, _Wrappers] = defaultdict(_Wrappers)
+    nodes = 0
 
     def flush():
-        out = pa.record_batch({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([json.dumps(x) for x in held.values()], pa.string())})
+        out = pa.record_batch({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([json.dumps(x.all()) for x in held.values()], pa.string())})
         held.clear()
         return out
 
     for batch in batches:
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            own = page_wrapper(page)
-            held[host] = align(held[host], own) if host in held else own
-            if len(held) > 2000:
+            nodes += held[host].add(_main_only(page_wrapper(page)))
+            if len(held) > 2000 or nodes > HELD:
                 yield flush()
+                nodes = 0
     if held:
         yield flush()
 
 
 def _join(pdf: pd.DataFrame) -> pd.DataFrame:
-    wrapper = None
+    own = _Wrappers()
     for text in pdf["wrapper"].sort_values():
-        own = json.loads(text)
-        wrapper = align(wrapper, own) if wrapper else own
-    return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": json.dumps(wrapper)})
+        own.add(json.loads(text))
+    return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": json.dumps(own.all())})
 
 
 def infer_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:

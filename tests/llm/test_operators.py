@@ -378,6 +378,55 @@ def test_copies_of_an_article_keep_their_text(spark, copies):
     assert got == want | {(f"https://mixed.example/{k}", f"Title {k}\nBy the desk\nText {k}\nBody {k}") for k in range(copies)}
 
 
+def letters(k):
+    return "".join(chr(97 + int(x)) for x in str(k))
+
+
+def host_texts(spark, pages):
+    """The text of each page, as pages of one host."""
+    df = spark.createDataFrame([(k, "https://a.example/x", page) for k, page in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in wrappers.extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_size_of_a_host_changes_no_reading(spark):
+    def page(k, n=80):
+        own = "".join(f'<section class="z{letters(k)} y{letters(j)}"><p>x</p></section>' for j in range(n))
+        return f'<body>{own}<article><header><h1>Title {k}</h1></header><div class="body"><p>{"text " * 50}{k}</p></div></article></body>'
+
+    pages = [page(k) for k in range(100)]
+    want = [f"Title {k}\n{'text ' * 50}{k}" for k in range(100)]
+    assert host_texts(spark, pages[:4]) == want[:4]
+    assert host_texts(spark, pages) == want
+    # Long lists, of which each page has a part of its own first.
+    long = [page(k, 600) for k in range(5)]
+    assert host_texts(spark, long) == want[:5]
+
+
+def test_depth_of_a_page_loses_no_text():
+    deep = "<div>" * 250 + '<nav>menu</nav>inner' + "</div>" * 250
+    page = f"<div class=page><article><h1>Title</h1>{deep}<p>The rest</p></article></div>"
+    assert wrappers.main_text(page, {"main": "/div.page/article"}) == wrappers.main_text(page, None) == "Title\ninner\nThe rest"
+
+
+def test_order_of_aligning_changes_no_reading():
+    rng = random.Random(3)
+    keys = ["<div class=a>", "<div>", "<section>", "<article>", "<div class=b>"]
+
+    def body(depth):
+        return "".join(f"{k}{'x' * rng.randrange(9)}{body(depth - 1)}</{k[1:].split()[0].strip('>')}>" for k in rng.choices(keys, k=rng.randrange(4))) if depth else "text"
+
+    for _ in range(30):
+        own = [wrappers.page_wrapper(body(3)) for _ in range(9)]
+        one = own[0]
+        for x in own[1:]:
+            one = wrappers.align(one, x)
+        rng.shuffle(own)
+        while len(own) > 1:
+            own.append(wrappers.align(own.pop(0), own.pop(0)))
+        assert wrappers.reading(one) == wrappers.reading(own[0])
+        assert wrappers.reading(wrappers._main_only(one)) == wrappers.reading(one)
+
+
 def test_odd_pages_never_fail():
     rng = random.Random(2)
     parts = ["<p>", "</p>", "<div class=ad>", "</div>", "<script>", "</script>", "<!--", "-->", "<li>", "<td>", "<tr>", "text", "&amp;", "<", ">", '"', "<a href='", "<br/>", "</table>", "<table>"]
