@@ -123,7 +123,7 @@ def second_read(spark, d):
     own = _claims(spark, d).select(F.col("doc_id").alias("requirement_id"), F.col("doc_id").alias("page_id"), F.col("lang").alias("country"), "quote")
     answer = F.element_at(F.array(*map(F.lit, ("Yes.", "NO\nnot stated", "maybe"))), (F.col("requirement_id") % 3 + 1).cast("int"))
     pages = _pages(spark, d).withColumnRenamed("doc_id", "page_id")
-    out = Q.second_read(own, pages, own.select("requirement_id", answer.alias("answer")), ("en", "fr"), window=500, plain=True)
+    out = Q.second_read(own, pages, own.select("requirement_id", answer.alias("answer")), ("en", "fr"), plain=True)
     return out.select("requirement_id", F.coalesce("state", F.lit("left alone")).alias("state"))
 
 

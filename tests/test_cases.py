@@ -9,6 +9,7 @@ from pagewatch.operators import changes as C
 from pagewatch.operators import links as L
 from pagewatch.operators import quotes as Q
 from pagewatch.operators import stories as S
+from pagewatch.plans import registry
 from pagewatch.sources import merge, registers
 
 
@@ -211,3 +212,11 @@ def test_unknown_cost_does_not_win(spark):
     costs = spark.createDataFrame([("UK", 10.0), ("CA", 20.0), ("DE", None)], "country string, cost double")
     totals = {r["country"]: r["total"] for r in P.score_study(own, costs).collect()}
     assert totals == {"UK": 4 + 8 + 16 + 12 + 30, "DE": 6 + 6 + 16 + 12, "CA": 9 + 8 + 16 + 12}
+
+
+def test_second_read_sees_the_operators_window(spark, tmp_path):
+    # A quote of the text's two ends that stands at character 600 as well.
+    ends = "The first fifteen letters, ", " and the last fifteen"
+    text = f"{ends[0]}{'x ' * 300}{ends[0][:15]}{ends[1][-15:]}{' y' * 300}{ends[1]}"
+    spark.createDataFrame([(3, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["second_read"](spark, str(tmp_path)).first()["state"] == "agreed"
