@@ -90,7 +90,7 @@ def voice_gate(fields: DataFrame) -> DataFrame:
 def lead_first(articles: DataFrame, days: int = 3) -> DataFrame:
     """articles (article_id, observed_on, groups, conditions, dates) with weight and place: the heaviest of the newest days leads, others go by date.
 
-    Articles are as many as a paper has; their order is one sorted list.
+    A place is the number of articles of earlier days, and the rank within the day: only the days are one sorted list.
     """
     own = articles.withColumn("weight", F.col("groups") * 2 + F.col("conditions") + F.col("dates"))
     newest = own.agg(F.max("observed_on").alias("_newest"))
@@ -98,8 +98,13 @@ def lead_first(articles: DataFrame, days: int = 3) -> DataFrame:
     recent = F.col("observed_on") >= F.date_sub("_newest", days)
     lead = own.where(recent).agg(F.max_by("article_id", F.struct("weight", "observed_on", "article_id")).alias("_lead"))
     own = own.crossJoin(F.broadcast(lead))  # of one row
-    order = Window.orderBy((F.col("article_id") != F.col("_lead")).cast("int"), F.desc("observed_on"), "article_id")
-    return own.withColumn("place", F.row_number().over(order)).drop("_newest", "_lead")
+    own = own.withColumn("_other", (F.col("article_id") != F.col("_lead")).cast("int")).drop("_newest", "_lead")
+    earlier = F.sum("_n").over(Window.orderBy("_other", F.desc("observed_on")).rowsBetween(Window.unboundedPreceding, -1))
+    counts = own.groupBy("_other", "observed_on").agg(F.count("*").alias("_n"))
+    days = counts.select(F.col("_other").alias("_o"), F.col("observed_on").alias("_day"), F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    rank = F.row_number().over(Window.partitionBy("_other", "observed_on").orderBy("article_id"))
+    placed = own.withColumn("_rank", rank).join(days, F.col("_other").eqNullSafe(F.col("_o")) & F.col("observed_on").eqNullSafe(F.col("_day")))
+    return placed.withColumn("place", (F.col("_earlier") + F.col("_rank")).cast("int")).drop("_other", "_o", "_day", "_earlier", "_rank")
 
 
 def guide_candidates(requirements: DataFrame, least: int = MIN_REQUIREMENTS, most: int = MAX_REQUIREMENTS) -> DataFrame:

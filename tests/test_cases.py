@@ -11,6 +11,7 @@ from pagewatch.operators import quotes as Q
 from pagewatch.operators import stories as S
 from pagewatch.plans import registry
 from pagewatch.sources import merge, registers
+from pagewatch.streaming import watch as ST
 
 
 def value(spark, column):
@@ -220,3 +221,28 @@ def test_second_read_sees_the_operators_window(spark, tmp_path):
     text = f"{ends[0]}{'x ' * 300}{ends[0][:15]}{ends[1][-15:]}{' y' * 300}{ends[1]}"
     spark.createDataFrame([(3, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.QUERIES["second_read"](spark, str(tmp_path)).first()["state"] == "agreed"
+
+
+def test_drain_keeps_rows_off_the_driver(spark, tmp_path):
+    spark.range(50).write.parquet(f"{tmp_path}/in")
+    out = ST.drain(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), "Some rows", f"{tmp_path}/progress")
+    assert sorted(r["id"] for r in out.collect()) == list(range(50))
+    assert out.inputFiles() and all(str(tmp_path) in x for x in out.inputFiles())
+
+
+def test_lead_first_places_days_apart(spark):
+    rows = [(k, None if k % 9 == 4 else f"2024-01-{k % 8 + 10}", k % 5, k % 3, 0) for k in range(90)]
+    df = spark.createDataFrame(rows, "article_id long, day string, groups int, conditions int, dates int").withColumn("observed_on", F.to_date("day"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = S.lead_first(df, 3).select("article_id", "place", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    newest = max(r[1] for r in rows if r[1])
+    lead = max((2 * r[2] + r[3] + r[4], r[1], r[0]) for r in rows if r[1] and int(r[1][-2:]) >= int(newest[-2:]) - 3)[2]
+    want = sorted(rows, key=lambda r: (r[0] != lead, -int(r[1][-2:]) if r[1] else 0, r[0]))
+    assert {r["article_id"]: r["place"] for r in got} == {r[0]: k + 1 for k, r in enumerate(want)}
+    assert len({r["task"] for r in got}) > 1
