@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from pagewatch.llm.word_ids import LONG, MEMORY, ids_of, spelled
+from pagewatch.llm.common import slices
+from pagewatch.llm.word_ids import Parts, in_order, runs, spelled
 
 #: White space that isn't ASCII, and controls that regular-expression libraries don't agree on.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: A run of white space and what follows it. No match of a pattern that takes white space only in front crosses such a cut.
+#: Fixed value: the pattern that CUT and SPLIT follow. With any other, texts go to the tokenizer whole.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space and what follows it. No match of the pattern crosses such a cut.
 CUT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: A chunk whose characters all regular-expression libraries sort alike, and how the pattern splits it.
-PLAIN = re.compile(r" ?[!-~À-ÖØ-öø-ÿ]+")
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
+#: What isn't printable ASCII, a Latin-1 letter or ASCII white space: all regular-expression libraries sort the other characters alike.
+ODD = re.compile(r"[^!-~À-ÖØ-öø-ÿ \t-\r]")
+#: How the pattern splits text without odd characters.
+SPLIT = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\r\x00A-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r\x00])|[ \t-\r]+")
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -48,16 +52,14 @@ def tokenizer_of(tokens: list[bytes], pattern: str) -> Tokenizer:
 
 
 class ByteBpe:
-    """Encodes and decodes; each distinct chunk of text is encoded once a worker, up to a bounded memory."""
+    """Encodes and decodes; each distinct part of plain text is encoded once a worker, up to a bounded memory."""
 
     _own: ClassVar[dict[tuple[str, str], ByteBpe]] = {}
 
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
         self.tokenizer = tokenizer_of(self.tokens, pattern)
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = Parts(self.tokenizer.model, SPLIT, len(self.tokens)) if pattern == PATTERN else None
 
     @classmethod
     def get(cls, path: str, pattern: str) -> ByteBpe:
@@ -66,31 +68,25 @@ class ByteBpe:
             cls._own[key] = cls(path, pattern)
         return cls._own[key]
 
-    def _part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            ids = self.parts[part] = ids_of(self.model, part)
-        return ids
+    def clear(self) -> None:
+        if self.parts:
+            self.parts.clear()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) <= LONG and PLAIN.fullmatch(chunk):
-            parts = SPLIT.findall(chunk)
-            return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        chunks = CUT.findall(text)
-        known, own = self.known, {}
-        for c in set(chunks).difference(known):
-            (known if len(c) <= LONG else own)[c] = self._chunk(c)
-        ids = b"".join([known[c] if len(c) <= LONG else own[c] for c in chunks] if own else map(known.__getitem__, chunks))
-        for memory in (known, self.parts):
-            if len(memory) > MEMORY:
-                memory.clear()
-        return np.frombuffer(ids, "<u4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.parts is None:
+            return [np.frombuffer(self._whole(x) if x else b"", "<u4") for x in texts]
+        odd = ODD.search
+        layout = [
+            [] if not x else [(True, x)] if not odd(x) else [(False, x)] if ODD_SPACE.search(x) else runs(CUT.findall(x), lambda c: not odd(c), "")
+            for x in texts
+        ]
+        return [np.frombuffer(x, "<u4") for x in in_order(layout, self.parts, self._whole)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -128,8 +124,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
         size = len(bpe.tokens)
         for batch in batches:
             n, own, back, more = [], [], [], [[], [], []]
-            for value in batch["text"].to_pylist():
-                ids = bpe.encode(value)
+            for ids in (x for _, texts in slices(batch["text"]) for x in bpe.encode_all(texts)):
                 n.append(len(ids))
                 own.append(hashlib.sha256(_decimal(ids, size).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
@@ -140,6 +135,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
             if lists:
                 out |= {k: pa.array(x, pa.list_(pa.int32())) for k, x in zip(("ids", "starts", "ends"), more, strict=True)}
             yield pa.RecordBatch.from_pydict(out)
+        bpe.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, starts array<int>, ends array<int>" * lists
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, schema)

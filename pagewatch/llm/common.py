@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes between words: [\x20\x09-\x0D]. bytes.split() without arguments splits on exactly these.
 WHITE = b" \t\n\r\x0b\x0c"
 #: Words of text that one vectorised step takes at most, unless one document alone has more.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 100_000
+#: Rows and bytes of an Arrow batch that become Python objects at once, unless one row alone has more.
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
 
 _scratch: dict[str, str] = {}
 
@@ -60,6 +65,17 @@ def small(df: DataFrame, rows: int) -> DataFrame | None:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """A column of texts in runs of bounded size: (index of the first, texts)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(column):
+        ends = np.cumsum(sizes[at : at + SLICE_ROWS])
+        n = max(1, int(np.searchsorted(ends, SLICE_BYTES, side="right")))
+        yield at, column.slice(at, n).to_pylist()
+        at += n
+
+
 def word_lists(texts: list[str | None]):
     """Groups of texts as lists of words (UTF-8 bytes): (index of the first text, lists), CHUNK_WORDS words at a time."""
     first, lists, n = 0, [], 0

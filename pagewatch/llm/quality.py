@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import WHITE, hashed, mix, word_lists
+from pagewatch.llm.common import WHITE, hashed, mix, slices, word_lists
 
 SYMBOLS = b"#*$%&|<>"
 #: What isn't a first byte of a code point, and white space.
@@ -22,6 +21,7 @@ FIT_ROWS = 20_000
 #: Log ratios are held as whole multiples of 2^-20, so that a sum doesn't depend on its order.
 UNIT = 1 << 20
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
+NAMES = [x.split()[0] for x in VERDICT.split(", ")]
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -33,41 +33,71 @@ def _grams(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.r_[mix(h), two] % np.uint64(BUCKETS)).astype(np.int64), np.r_[text, text[pair]]
 
 
+def _measured(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
+    """n_words, word_chars, n_symbols and n_dup_lines of one text."""
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    return len(words), len(raw.translate(None, NOT_CHARS)), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines))
+
+
+def _repeat_words(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text the words in 3-word windows that it has twice or more."""
+    if len(h) < 3:
+        return np.zeros(len(starts) - 1, np.int64)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    window = np.flatnonzero(text[2:] == text[:-2])
+    key = mix(mix(h[window] * P1 + h[window + 1]) * P2 + h[window + 2]) + text[window].astype(np.uint64) * P1
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    twice = window[order[np.r_[False, same] | np.r_[same, False]]] if len(order) else order
+    covered = np.zeros(len(h), bool)
+    for j in range(3):
+        covered[twice + j] = True
+    return np.bincount(text[covered], minlength=len(starts) - 1)
+
+
+def _mean_ratio(h: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    gram, text = _grams(h, starts)
+    n = np.bincount(text, minlength=len(starts) - 1)
+    total = np.zeros(len(starts) - 1, np.int64)
+    np.add.at(total, text, weights[gram])
+    return np.divide(total, n, where=n > 0, out=np.zeros(len(starts) - 1))
+
+
 def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text; a null text has none of anything."""
-    out = {k: np.zeros(len(texts), np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    return judged(texts, None)
+
+
+def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """Mean log ratio of a text's words and pairs; 0 for a text without words."""
+    parts = [_mean_ratio(*hashed(lists), weights) for _, lists in word_lists(texts)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def judged(texts: list[str | None], weights: np.ndarray | None) -> dict[str, np.ndarray]:
+    """statistics() and, where there are weights, scores() as score: words are split and hashed once for both."""
+    rows: list[tuple[int, int, int, int]] = []
+    repeats, score = [np.zeros(0, np.int64)], [np.zeros(0)]
     for first, lists in word_lists(texts):
-        for i, words in enumerate(lists, first):
-            raw = texts[i].encode() if texts[i] else b""
-            out["n_words"][i] = len(words)
-            out["word_chars"][i] = len(raw.translate(None, NOT_CHARS))
-            out["n_symbols"][i] = len(raw) - len(raw.translate(None, SYMBOLS))
-            lines = [x for x in raw.split(b"\n") if x.strip()]
-            out["n_dup_lines"][i] = len(lines) - len(set(lines))
+        rows += [_measured(text.encode() if text else b"", words) for text, words in zip(texts[first:], lists, strict=False)]
         h, starts = hashed(lists)
-        if len(h) < 3:
-            continue
-        text = np.repeat(np.arange(len(lists)), np.diff(starts))
-        window = np.flatnonzero(text[2:] == text[:-2])
-        key = mix(mix(h[window] * P1 + h[window + 1]) * P2 + h[window + 2]) + text[window].astype(np.uint64) * P1
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        twice = window[order[np.r_[False, same] | np.r_[same, False]]] if len(order) else order
-        covered = np.zeros(len(h), bool)
-        for j in range(3):
-            covered[twice + j] = True
-        out["n_repeat_words"][first : first + len(lists)] = np.bincount(text[covered], minlength=len(lists))
-    return out
+        repeats.append(_repeat_words(h, starts))
+        if weights is not None:
+            score.append(_mean_ratio(h, starts, weights))
+    table = np.array(rows, np.int64).reshape(-1, 4)
+    out = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines"), table.T, strict=True)) | {"n_repeat_words": np.concatenate(repeats)}
+    return out if weights is None else out | {"score": np.concatenate(score)}
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        trusted = np.array([bool(x) for x in batch["trusted"].to_pylist()])
-        for first, lists in word_lists(batch["text"].to_pylist()):
-            gram, text = _grams(*hashed(lists))
-            raw += np.bincount(gram, minlength=BUCKETS)
-            target += np.bincount(gram[trusted[first + text]], minlength=BUCKETS)
+        trusted = batch["trusted"].fill_null(False).to_numpy(zero_copy_only=False)
+        for at, texts in slices(batch["text"]):
+            for first, lists in word_lists(texts):
+                gram, text = _grams(*hashed(lists))
+                raw += np.bincount(gram, minlength=BUCKETS)
+                target += np.bincount(gram[trusted[at + first + text]], minlength=BUCKETS)
     some = np.flatnonzero(raw)
     yield pa.record_batch({"bucket": some.astype(np.int32), "raw": raw[some], "target": target[some]})
 
@@ -80,18 +110,6 @@ class Model:
     threshold: float
 
 
-def scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    """Mean log ratio of a text's words and pairs; 0 for a text without words."""
-    out = np.zeros(len(texts))
-    for first, lists in word_lists(texts):
-        gram, text = _grams(*hashed(lists))
-        n = np.bincount(text, minlength=len(lists))
-        total = np.zeros(len(lists), np.int64)
-        np.add.at(total, text, weights[gram])
-        out[first : first + len(lists)] = np.divide(total, n, where=n > 0, out=np.zeros(len(lists)))
-    return out
-
-
 def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     """Between the scores that parts good from bad best, counting both classes alike; of equally good cuts the lowest."""
     if not len(good) or not len(bad):
@@ -127,14 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(BUCKETS, np.int64), -np.inf)
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
     weights = np.round(ratio * UNIT).astype(np.int64)
-    held = own.join(F.broadcast(sample.where("fold = 0")), "doc_id")
+    held = own.join(F.broadcast(sample.where("fold = 0")), "doc_id").where("text is not null")
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(list(texts), shared.value))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(scores(x, shared.value) for _, x in slices(texts))]))
 
-    seen = held.select("quality", "toxic", score("text").alias("score"), F.length("text").alias("n")).where("n > 0").toPandas()
+    # Of repeated ids the lowest score counts: what comes to the driver is a row per sampled document.
+    seen = held.select("doc_id", "quality", "toxic", score("text").alias("score"), F.length("text").alias("n")).where("n > 0")
+    seen = seen.groupBy("doc_id", "quality", "toxic").agg(F.min("score").alias("score")).toPandas()
     good = seen[(seen.quality == 1) & (seen.toxic == 0)].score.to_numpy()
     return Model(weights, threshold(good, seen[seen.quality == 0].score.to_numpy()))
 
@@ -144,13 +164,13 @@ def verdict(model: Model, spark: SparkSession, text: str | Column) -> Column:
     shared = spark.sparkContext.broadcast(model.weights)
     least = model.threshold
 
-    @F.pandas_udf(VERDICT)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        texts = list(texts)
-        x = statistics(texts)
-        mean = scores(texts, shared.value)
+    @F.arrow_udf(VERDICT)
+    def of(texts: pa.Array) -> pa.Array:
+        parts = [judged(x, shared.value) for _, x in slices(texts)] or [judged([], shared.value)]
+        x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         failed = (x["n_words"] < 50) | (100 * x["n_repeat_words"] > 50 * x["n_words"])
-        return pd.DataFrame(x | {"base_failed": failed, "score": mean / UNIT, "kept": ~failed & (mean >= least)})
+        x |= {"base_failed": failed, "kept": ~failed & (x["score"] >= least), "score": x["score"] / UNIT}
+        return pa.StructArray.from_arrays([pa.array(x[k]) for k in NAMES], NAMES)
 
     return of(text)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.llm.byte_bpe import ByteBpe
-from pagewatch.llm.common import materialize
+from pagewatch.llm.common import materialize, slices
 
 BLOCK = 1024
 
@@ -20,7 +20,9 @@ def document_lengths(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.get(ranks, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": pa.array([len(bpe.encode(x)) for x in batch["text"].to_pylist()], pa.int64())})
+            n = [len(ids) for _, texts in slices(batch["text"]) for ids in bpe.encode_all(texts)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": pa.array(n, pa.int64())})
+        bpe.clear()
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, "doc_id long, n_tokens long")
 

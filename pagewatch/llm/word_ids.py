@@ -1,22 +1,31 @@
-"""Ids of texts by a tokenizer that drops white space, word by word, each distinct word encoded once a worker."""
+"""Ids of texts by BPE tokenizers: each distinct part of plain text is encoded once and remembered."""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
+from itertools import groupby
 from typing import ClassVar
 
 import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.models import Model
 
-#: Words (and letter runs) whose ids a worker remembers; then it starts afresh.
-MEMORY = 150_000
-#: Words of more bytes aren't remembered.
+#: Parts of texts whose ids a worker remembers; then it keeps those of the latest texts.
+MEMORY = 120_000
+#: Parts of more characters aren't remembered.
 LONG = 100
-#: Words of printable ASCII and Latin-1 letters: lower-casing and normalisation leave each character one of these.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: How the tokenizer splits such a word once it is in lower case.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Ends a stretch of text, and what stands for it among 32-bit ids.
+STOP, MARK = "\x00", b"\xff\xff\xff\xff"
+WORD = re.compile(r"[^ \t-\r]+")
+#: What isn't printable ASCII, a Latin-1 letter or ASCII white space, and the beginning of special tokens. Lower-casing and
+#: normalisation leave each of the other characters one of them.
+ODD = re.compile(r"[^!-~À-ÖØ-öø-ÿ \t-\r]|<\|")
+#: Fixed value: how the tokenizers that WordIds knows split text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for plain text in lower case.
+SPLIT = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\r\x00a-z0-9ß-öø-ÿ]+")
 
 
 def byte_characters() -> list[str]:
@@ -34,24 +43,77 @@ def spelled(raw: bytes) -> str:
     return raw.decode("latin-1").translate(CHARACTERS)
 
 
-def ids_of(model: Model, part: str) -> bytes:
-    """Ids, as little-endian unsigned 32-bit numbers, of a part that the model takes whole."""
-    return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(part if part.isascii() and " " not in part else spelled(part.encode()))])
+class Parts:
+    """Ids, as little-endian unsigned 32-bit numbers, by a tokenizer's model; split gives the parts that the model takes whole."""
+
+    def __init__(self, model: Model, split: re.Pattern, size: int):
+        self.model, self.split = model, split
+        self.numbers = [k.to_bytes(4, "little") for k in range(size)]
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the parts: a worker that goes on to other work keeps only the tokenizer."""
+        self.known: dict[str, bytes] = {STOP: MARK}
+
+    def encode(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch of plain text, all in one go. split has to give STOP as a part of its own."""
+        found = self.split.findall(STOP.join(stretches))
+        known, numbers, tokenize = self.known, self.numbers, self.model.tokenize
+        parts = set(found)
+        for part in parts.difference(known):
+            known[part] = b"".join([numbers[t.id] for t in tokenize(part if part.isascii() and part.isalnum() else spelled(part.encode()))])
+        # Ids are less than 2^24, so that the mark is found only where it was put.
+        out = b"".join(map(known.__getitem__, found)).split(MARK) if stretches else []
+        if len(known) > MEMORY:
+            self.known = {STOP: MARK} | ({p: known[p] for p in parts if len(p) <= LONG} if len(parts) < MEMORY // 2 else {})
+        else:
+            for p in [p for p in parts if len(p) > LONG]:
+                del known[p]
+        return out
+
+
+def runs(pieces: list[str], plain: Callable[[str], object], joint: str) -> list[tuple[bool, str]]:
+    """Neighbouring pieces that are plain come together; the others stay alone."""
+    out = []
+    for key, own in groupby(pieces, lambda x: bool(plain(x))):
+        out += [(True, joint.join(own))] if key else [(False, x) for x in own]
+    return out
+
+
+def in_order(layout: list[list[tuple[bool, str]]], parts: Parts, whole: Callable[[str], bytes]) -> list[bytes]:
+    """Ids of texts given as runs: plain ones through parts, all in one go, the others through whole."""
+    ids = iter(parts.encode([x for text in layout for plain, x in text if plain]))
+    return [b"".join([next(ids) if plain else whole(x) for plain, x in text]) for text in layout]
+
+
+def takes_words(spec: dict) -> bool:
+    """Whether a tokenizer's file describes the kind that the quick way is made for: lower case, white space dropped, PATTERN, bytes."""
+    normal = spec.get("normalizer") or {}
+    pre = spec.get("pre_tokenizer") or {}
+    steps = [x.get("type") for x in normal.get("normalizers", [])]
+    cuts = pre.get("pretokenizers", [])
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1].get("pattern") == {"Regex": "\\s+"} and normal["normalizers"][1].get("content") == " "
+        and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0].get("pattern") == {"Regex": PATTERN} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+        and cuts[1].get("add_prefix_space") is False and cuts[1].get("use_regex") is False and not spec.get("truncation") and not spec.get("padding")
+        and all(re.fullmatch(r"<\|[^\s]*", x.get("content", "")) and not x.get("lstrip") and not x.get("rstrip") for x in spec.get("added_tokens", []))
+    )
 
 
 class WordIds:
-    """For tokenizers whose splits never cross ASCII white space, so that a text's ids are its words' ids in a row.
+    """Ids of whole texts without special tokens around them, as the tokenizer gives them.
 
-    Plain words are split here and their parts given to the tokenizer's model; others go through the whole tokenizer.
+    If the tokenizer's splits never cross ASCII white space (takes_words), a text's ids are its words' ids in a row:
+    plain words are split here and their parts given to the tokenizer's model, other words go to the tokenizer. Any other tokenizer gets each text whole.
     """
 
     _own: ClassVar[dict[str, WordIds]] = {}
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = Parts(self.tokenizer.model, SPLIT, self.tokenizer.get_vocab_size()) if takes_words(spec) else None
 
     @classmethod
     def get(cls, path: str) -> WordIds:
@@ -59,26 +121,20 @@ class WordIds:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def _part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            ids = self.parts[part] = ids_of(self.model, part)
-        return ids
+    def clear(self) -> None:
+        if self.parts:
+            self.parts.clear()
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if len(word) <= LONG and PLAIN.fullmatch(text) and "<|" not in text:
-            parts = SPLIT.findall(text.lower())
-            return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        words = text.encode().split() if text else []
-        known, own = self.known, {}
-        for w in set(words).difference(known):
-            (known if len(w) <= LONG else own)[w] = self._word(w)
-        out = b"".join([known[w] if len(w) <= LONG else own[w] for w in words] if own else map(known.__getitem__, words))
-        for memory in (known, self.parts):
-            if len(memory) > MEMORY:
-                memory.clear()
-        return out
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if self.parts is None:
+            return [self._whole(x) if x else b"" for x in texts]
+        odd = ODD.search
+        layout = [[] if not x else runs(WORD.findall(x), lambda w: not odd(w), " ") if odd(x) else [(True, x)] for x in texts]
+        return in_order([[(plain, x.lower() if plain else x) for plain, x in text] for text in layout], self.parts, self._whole)
