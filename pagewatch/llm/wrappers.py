@@ -2,42 +2,62 @@
 
 A page's tokens (structural tags with their classes, and text) nest into a tree. A wrapper is a union-free regular
 expression over such tokens, held as a tree as well: a tag with what it contains in order, where parts may be optional `( )?` or
-repeated `( )+`, and `#` stands for a text slot. Aligning a page with a wrapper resolves each mismatch: equal neighbours fold into a repeat,
-and tokens that one side lacks become optional. Parts of two pages meet by token and number, wherever they stand, so that the order
-of aligning doesn't matter and no size of a host or page changes a result. Aligning two wrappers is the
+repeated `( )+`; text is a slot `#` where it varies between pages, and a constant `=` where all pages that have it agree. Aligning a
+page with a wrapper resolves each mismatch: text that differs becomes a slot, tokens that one side lacks become optional, and optional
+ones that go on like what stands before them fold into a repeat. Parts of two pages meet by token and number, wherever they stand, and what is kept
+of each (pages, characters, whether all agree) doesn't depend on the order of aligning. Aligning two wrappers is the
 same, so that Spark aligns pages within tasks, tasks within salted parts of a host, and those into the host's wrapper.
+
+The wrapper decides: constants are template, and the main part is the subtree that holds the varying text. Element names
+weigh in (nav or footer never hold it, an article that holds enough of the varying text is it); names of classes weigh a little, and never
+against a part that holds most of the varying text.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import materialize
+from pagewatch.llm.common import materialize, text_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[^<]?[^<]*|[^<]+", re.S)
+#: The beginning of what isn't text; then what ends a tag: the first > outside quoted values, each of which follows a =.
+MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+TAG_END = re.compile(r"(?>[^>=]++|=[ \t-\r]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORD = re.compile(r"[a-z]+")
+APART = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 # HTML element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of these, unless one of the bounds lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-# Elements, roles and words of classes that mark what isn't main text.
-NEVER = frozenset("head script style nav header footer aside form menu noscript template button select textarea dialog iframe svg object audio video canvas title".split())
+# Elements and roles that never hold the main text, elements that rarely do, and names of classes that speak against a part:
+# all words of a name have to be of these lists, one of them of the first.
+NEVER = frozenset("head script style nav header footer aside menu noscript template button select textarea dialog iframe svg object audio video canvas title".split())
+RARELY = frozenset(["form"])
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promos promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+NEUTRAL = frozenset("area bar block body bottom box button buttons center col column container content form global group inner item items left link links list main outer page panel placeholder post posts primary right secondary section site slot small thread top unit wrap wrapper".split())
+#: A part that classes speak against counts so much of its text.
+WEAK = 8
+#: Elements that stand for anything: without a class, what comes first in them is part of their token.
+GENERIC = frozenset("div section center table tbody tr td".split())
+#: Neighbours of these fold within a page; others without a class only where pages differ.
+LISTED = frozenset("p li dt dd tr td th option pre blockquote figure hr".split())
+HEADINGS = frozenset(["h1", "h2"])
 #: Inside an article its own header holds the heading.
 IN_ARTICLE = frozenset(["header"])
 #: Levels of a wrapper: what lies deeper counts as text of the last one. Reading has no such bound.
@@ -45,29 +65,45 @@ LEVELS = 200
 #: Nodes that a task holds before it hands on its wrappers.
 HELD = 200_000
 
-Node = list  # [key, optional, repeated, pages, characters, parts]
-KEY, OPTIONAL, REPEATED, PAGES, CHARS, PARTS = range(6)
+Node = list  # [key, optional, repeated, pages, characters, digest or None, parts]
+KEY, OPTIONAL, REPEATED, PAGES, CHARS, FIXED, PARTS = range(7)
 SLOT, GROUP = "#", "()"
 
 
+def _digest(*parts: object) -> int:
+    return xxhash.xxh64_intdigest(repr(parts)) >> 1
+
+
+def _name(raw: str, figures: str) -> str:
+    """A class or id in lower case, its words parted by hyphens, without figures that number things."""
+    return APART.sub("-", re.sub(figures, "", re.sub(r"([a-z])([A-Z])", r"\1-\2", raw)).lower()).strip("-")
+
+
 def _key(tag: str, attributes: str) -> tuple[str, bool]:
-    """The token of an opening tag, with role and class words, and whether it is hidden."""
+    """The token of an opening tag, with role and class names, and whether it is hidden."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag, False
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
-    role = found.get("role", "").strip().lower().replace("/", "")
+    names = {_name(x, r"[0-9]{3,}") for x in found.get("class", "").split()} | {_name(x, r"[0-9]+") for x in found.get("id", "").split()}
+    role = re.sub("[^a-z]+", "", found.get("role", "").lower())
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true"
-    key = tag + (f"[{role}]" if role else "") + "".join(f".{w}" for w in sorted(set(words)))
+    key = tag + (f"[{role}]" if role else "") + "".join(f".{x}" for x in sorted(names - {""}))
     if found.get("itemprop", "").lower() == "articlebody":
         key += "[articlebody]"
     return key, hidden
 
 
-def _parse(page: str | None):
+def _parse(page: str | None) -> list[tuple]:
     """Events of a page: ("open", key, hidden), ("close",), ("text", raw). Openings and closings balance; inline tags are gone."""
-    if not page:
-        return
+    events = list(_events(page or ""))
+    for k in range(len(events) - 1):
+        if events[k][0] == "open" and events[k][1] in GENERIC and events[k + 1][0] == "open":
+            events[k] = ("open", f"{events[k][1]}>{_tag(events[k + 1][1])}", events[k][2])
+    return events
+
+
+def _events(page: str) -> Iterator[tuple]:
+    """In one pass: each search goes on where the last one ended. A tag or comment that never ends takes the rest of the page."""
     stack: list[str] = []
     places: dict[str, list[int]] = defaultdict(list)  # of each open tag in the stack
     at = 0
@@ -78,13 +114,21 @@ def _parse(page: str | None):
         return tag
 
     while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
+        m = MARKUP.search(page, at)
+        if not m or m.start() > at:
+            yield "text", page[at : m.start() if m else len(page)]
+        if not m:
+            break
         tag = m[2]
         if tag is None:
-            if not m[0].startswith(("<!", "<?")):
-                yield "text", m[0]
+            end = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = end + (3 if m[0] == "<!--" else 1) if end >= 0 else len(page)
             continue
+        end = TAG_END.match(page, m.end())
+        if not end:
+            break
+        at = end.end()
+        attributes = page[m.end() : at - 1]
         tag = tag.lower()
         if m[1]:
             if tag in INLINE:
@@ -95,8 +139,9 @@ def _parse(page: str | None):
                 yield ("close",)
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = RAW_END[tag].search(page, at)
+            last = page.find(">", end.end()) if end else -1
+            at = last + 1 if last >= 0 else len(page)
             continue
         if tag == "br":
             yield "text", " "
@@ -118,8 +163,8 @@ def _parse(page: str | None):
                 for _ in range(len(stack) - low):
                     pop()
                     yield ("close",)
-        yield "open", *_key(tag, m[3])
-        if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P and tag != "body":
+        yield "open", *_key(tag, attributes)
+        if tag in VOID or attributes.endswith("/") and tag not in CLOSES_P and tag != "body":
             yield ("close",)
         else:
             places[tag].append(len(stack))
@@ -128,78 +173,116 @@ def _parse(page: str | None):
         yield ("close",)
 
 
-def _boiler(key: str, inside: bool) -> bool:
-    """Whether a token marks what isn't main text; inside: within an article."""
-    tag = re.match(r"[a-z0-9:-]+", key)[0] if key not in (SLOT, GROUP) else key
-    if tag in ("html", "body"):
+def _tag(key: str) -> str:
+    return re.match(r"[a-z0-9:-]*", key)[0]
+
+
+@functools.lru_cache(10_000)
+def _never(key: str, inside: bool) -> bool:
+    """Whether a token never holds main text; inside: within an article, whose own header holds the heading."""
+    tag = _tag(key)
+    if tag in ("html", "body", "") or inside and tag in IN_ARTICLE:
         return False
-    if tag in NEVER and not (inside and tag in IN_ARTICLE):
-        return True
     role = re.search(r"\[(\w+)\]", key)
-    if role and role[1] in ROLES:
+    return tag in NEVER or bool(role) and role[1] in ROLES
+
+
+@functools.lru_cache(10_000)
+def _marked(key: str, inside: bool) -> bool:
+    """Whether a token's names, or what it is, speak against it."""
+    tag = _tag(key)
+    if tag in ("html", "body", ""):
+        return False
+    if tag in RARELY:
         return True
-    marks = set(key.split(".")[1:]) & MARKS
-    return bool(marks - IN_ARTICLE if inside or tag == "article" and "comment" not in key else marks)
+    for name in key.split("[articlebody]")[0].split(".")[1:]:
+        own = re.sub("[0-9]+", "", name).strip("-").split("-")
+        found = MARKS.intersection(own)
+        if found - IN_ARTICLE if inside or tag == "article" else found:
+            if all(x in MARKS or x in NEUTRAL for x in own):
+                return True
+    return False
 
 
+@functools.lru_cache(10_000)
 def _article(key: str) -> int:
     """How surely a token holds the main text: 3 an article's body, 2 an article, 1 a main part."""
     if "[articlebody]" in key:
         return 3
-    if key.split(".")[0].split("[")[0] == "article":
-        return 2
-    return int(key.split(".")[0].split("[")[0] == "main" or "[main]" in key)
+    return 2 if _tag(key) == "article" else int(_tag(key) == "main" or "[main]" in key)
 
 
 def page_wrapper(page: str | None) -> Node:
-    """A page as a wrapper of its own: repeats are folded already."""
-    root: Node = ["", False, False, 1, 0, []]
+    """A page as a wrapper of its own."""
+    return _wrapper(_parse(page))
+
+
+def _wrapper(events: list[tuple]) -> Node:
+    root: Node = ["", False, False, 1, 0, 0, []]
     stack = [root]
     deeper = 0
-    for event in _parse(page):
+
+    def close(node: Node) -> None:
+        node[CHARS] += sum(x[CHARS] for x in node[PARTS])
+        node[FIXED] = _digest(*(x[FIXED] for x in node[PARTS]))
+        node[PARTS] = _fold(node[PARTS], lambda a, b: "." in b[KEY] or _tag(b[KEY]) in LISTED)
+
+    for event in events:
         if event[0] == "open" and len(stack) > LEVELS:
             deeper += 1
         elif event[0] == "close" and deeper:
             deeper -= 1
         elif event[0] == "open":
-            node: Node = [event[1], False, False, 1, 0, []]
+            node: Node = [event[1], False, False, 1, 0, 0, []]
             stack[-1][PARTS].append(node)
             stack.append(node)
         elif event[0] == "close":
-            node = stack.pop()
-            node[CHARS] += sum(x[CHARS] for x in node[PARTS])
-            node[PARTS] = _fold(node[PARTS])
+            close(stack.pop())
         elif text := SPACE.sub(" ", html.unescape(event[1])).strip():
             parts = stack[-1][PARTS]
             if parts and parts[-1][KEY] == SLOT:
                 parts[-1][CHARS] += len(text)
+                parts[-1][FIXED] = _digest(parts[-1][FIXED], text)
             else:
-                parts.append([SLOT, False, False, 1, len(text), []])
-    root[CHARS] = sum(x[CHARS] for x in root[PARTS])
-    root[PARTS] = _fold(root[PARTS])
+                parts.append([SLOT, False, False, 1, len(text), _digest(text), []])
+    close(root)
     return root
 
 
-def _fold(parts: list[Node]) -> list[Node]:
-    """Neighbours of one token become a repeat; then runs of up to four tokens that come twice in a row become a repeated group."""
+def _fold(parts: list[Node], again: Callable[[Node, Node], bool]) -> list[Node]:
+    """Neighbours of one token become a repeat where again says that the second goes on like the first."""
     out: list[Node] = []
     for x in parts:
-        if out and out[-1][KEY] == x[KEY] != SLOT and x[KEY] != GROUP:
+        if out and out[-1][KEY] == x[KEY] != SLOT and x[KEY] != GROUP and again(out[-1], x):
             out[-1] = _merge(out[-1], x, same_page=True)
             out[-1][REPEATED] = True
         else:
             out.append(x)
+    return out
+
+
+def _fold_groups(parts: list[Node]) -> list[Node]:
+    """Runs of two to four tokens that come again, where pages differ in how often, become a repeated group."""
     for width in (2, 3, 4):
         i = 0
-        while i + 2 * width <= len(out):
-            if [x[KEY] for x in out[i : i + width]] == [x[KEY] for x in out[i + width : i + 2 * width]] and out[i][KEY] != GROUP:
-                run, j = out[i : i + width], i + width
-                while [x[KEY] for x in out[j : j + width]] == [x[KEY] for x in run]:
-                    run = [_merge(a, b, same_page=True) for a, b in zip(run, out[j : j + width], strict=True)]
-                    j += width
-                out[i:j] = [[GROUP, False, True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), run]]
+        while i + 2 * width <= len(parts):
+            j = i + width
+            run = parts[i:j]
+            while GROUP not in (keys := [x[KEY] for x in run]) and [x[KEY] for x in parts[j : j + width]] == keys and all(x[OPTIONAL] for x in parts[j : j + width]):
+                run = [_merge(a, b, same_page=True) for a, b in zip(run, parts[j : j + width], strict=True)]
+                j += width
+            if j > i + width:
+                fixed = None if any(x[FIXED] is None for x in run) else _digest(*(x[FIXED] for x in run))
+                parts[i:j] = [[GROUP, all(x[OPTIONAL] for x in run), True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), fixed, run]]
             i += 1
-    return out
+    return parts
+
+
+def resolve(node: Node) -> Node:
+    """The wrapper with its mismatches resolved: optional tokens that go on like their neighbours are repeats. Within a page of its own, any do."""
+    alone = node[PAGES] == 1
+    parts = _fold([resolve(x) for x in node[PARTS]], lambda a, b: alone or b[OPTIONAL] or a[REPEATED])
+    return [*node[:PARTS], _fold_groups(parts)]
 
 
 def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
@@ -231,14 +314,15 @@ def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]
 def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """The least general wrapper of two with the same first token."""
     pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
-    out: Node = [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], []]
+    fixed = a[FIXED] if a[FIXED] == b[FIXED] and not same_page else None
+    if same_page and a[FIXED] is not None and b[FIXED] is not None:
+        fixed = _digest(a[FIXED], b[FIXED])
+    out: Node = [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], fixed, []]
     for x, y in _align(a[PARTS], b[PARTS]):
         if x and y:
             out[PARTS].append(_merge(x, y, same_page))
         else:
             out[PARTS].append([*(x or y)[:OPTIONAL], True, *(x or y)[REPEATED:]])
-    if same_page and len(out[PARTS]) > max(len(a[PARTS]), len(b[PARTS])):
-        out[PARTS] = _fold(out[PARTS])
     return out
 
 
@@ -252,13 +336,19 @@ def align(a: Node, b: Node) -> Node:
 
 
 class _Wrappers:
-    """Wrappers of one host that are added one by one. Those of like size are aligned first, so that a large one isn't copied for each page."""
+    """Wrappers of one host that are added one by one, and digests of the blocks that all its pages have.
+
+    Wrappers of like size are aligned first, so that a large one isn't copied for each page.
+    """
 
     def __init__(self) -> None:
         self.stack: list[tuple[int, Node]] = []
+        self.common: frozenset[int] | None = None
 
-    def add(self, own: Node) -> int:
-        """Returns by how many nodes what is held has grown."""
+    def add(self, own: Node, common: frozenset[int] | None) -> int:
+        """Returns by how many nodes what is held has grown. common: digests of the blocks of a page, or of all of several; None without text."""
+        if common is not None:
+            self.common = common if self.common is None else self.common & common
         nodes = grown = _count(own)
         while self.stack and self.stack[-1][0] <= 2 * nodes:
             n, last = self.stack.pop()
@@ -268,24 +358,33 @@ class _Wrappers:
         self.stack.append((nodes, own))
         return grown
 
-    def all(self) -> Node:
+    def add_page(self, page: str | None) -> int:
+        events = _parse(page)
+        blocks = _blocks(events)[0]
+        return self.add(_main_only(_wrapper(events)), frozenset(_digest(text) for _, text in blocks) if blocks else None)
+
+    def add_json(self, text: str) -> None:
+        own = json.loads(text)
+        self.add(own["wrapper"], None if own["common"] is None else frozenset(own["common"]))
+
+    def to_json(self) -> str:
         own = self.stack[-1][1]
         for _, x in self.stack[-2::-1]:
             own = align(x, own)
-        return own
+        return json.dumps({"wrapper": own, "common": None if self.common is None else sorted(self.common)})
 
 
 def _main_only(node: Node, inside: bool = False) -> Node:
-    """Without parts that are never main text, and slots: reading() doesn't ask for either."""
+    """Without parts that never hold main text."""
     inside = inside or _article(node[KEY]) > 0
-    return [*node[:PARTS], [_main_only(x, inside) for x in node[PARTS] if x[KEY] == GROUP or x[KEY] != SLOT and not _boiler(x[KEY], inside)]]
+    return [*node[:PARTS], [_main_only(x, inside) for x in node[PARTS] if x[KEY] in (GROUP, SLOT) or not _never(x[KEY], inside)]]
 
 
 def expression(node: Node) -> str:
     """The wrapper as a regular expression over tokens."""
     inner = "".join(map(expression, node[PARTS]))
     if node[KEY] == SLOT:
-        own = "#"
+        own = "=" if _constant(node) else "#"
     elif node[KEY] in ("", GROUP):
         own = inner
     else:
@@ -294,78 +393,146 @@ def expression(node: Node) -> str:
     return f"({own}){mark}" if mark else own
 
 
-def _paths(node: Node, path: str, off: bool, inside: bool) -> Iterator[tuple[str, Node, bool]]:
+def _constant(node: Node) -> bool:
+    """Whether pages agree on a part's text: two at least have it, and all that have it have the same."""
+    return node[FIXED] is not None and node[PAGES] > 1
+
+
+def _varying(node: Node, every: bool, inside: bool, marks: bool = True) -> float:
+    """Characters of varying text in a part; every: constants count too. What never holds main text has none, marked parts an eighth."""
+    if node[KEY] == SLOT:
+        return node[CHARS] if every or not _constant(node) else 0
+    if node[KEY] != GROUP:
+        if _never(node[KEY], inside) or not every and _constant(node):
+            return 0
+        inside = inside or _article(node[KEY]) > 0
+    own = sum(_varying(x, every, inside, marks) for x in node[PARTS])
+    return own / WEAK if marks and node[KEY] != GROUP and _marked(node[KEY], inside) else own
+
+
+def _parts(node: Node) -> Iterator[Node]:
+    """What a part contains; groups count as what they repeat."""
     for x in node[PARTS]:
         if x[KEY] == GROUP:
-            yield from _paths(x, path, off, inside)
-            continue
-        here, own = f"{path}/{x[KEY]}", off or _boiler(x[KEY], inside)
-        yield here, x, own
-        yield from _paths(x, here, own, inside or _article(x[KEY]) > 0)
+            yield from ([*y[:REPEATED], True, *y[PAGES:]] for y in _parts(x))
+        else:
+            yield x
+
+
+def _has_heading(node: Node, every: bool) -> bool:
+    if node[KEY] in (SLOT, GROUP) or _never(node[KEY], False) or _marked(node[KEY], False):
+        return False
+    return _tag(node[KEY]) in HEADINGS and _varying(node, every, False) > 0 or any(_has_heading(x, every) for x in _parts(node))
 
 
 def reading(wrapper: Node) -> dict:
-    """How to read a host's pages: the path of the main part.
+    """How to read a host's pages. main: path of the main part; spared: paths of parts that are read although names speak against them;
+    common: digests of blocks that are template.
 
-    The main part is an article (or what is marked as main) that half of the pages have, the one with most text. Without one it is found
-    from the top: the part that holds three fifths of the text that isn't marked as something else, as long as there is one.
+    The main part is an article (or what is marked as main) that half of the pages have and that holds a fifth of the varying text, or of all, at least, the
+    one with most of it. Without one it is found from the top: the part that holds three fifths of the varying text, as long as there is one
+    and no heading that varies stands beside it. On a host whose pages agree in all, or of one page, all text counts.
+    Outside of articles, the main part's own parts of which every page has all blocks are template, if most of the main part's text varies.
     """
+    wrapper = resolve(wrapper)
     pages = max(wrapper[PAGES], 1)
-    nodes = list(_paths(wrapper, "", False, False))
-    sure = [(_article(x[KEY]), x[CHARS], p) for p, x, off in nodes if not off and _article(x[KEY]) and 2 * x[PAGES] >= pages and x[CHARS]]
+    every = not _varying(wrapper, False, False)
+    total, whole = _varying(wrapper, every, False), _varying(wrapper, True, False)
+    sure: list[tuple] = []
+
+    def articles(node: Node, path: str, inside: bool) -> None:
+        for x in _parts(node):
+            if x[KEY] == SLOT or _never(x[KEY], inside):
+                continue
+            here = f"{path}/{x[KEY]}"
+            if _article(x[KEY]) and not (_tag(x[KEY]) == "article" and _marked(x[KEY], False)) and 2 * x[PAGES] >= pages:
+                marks = _marked(x[KEY], True)
+                own, all_ = _varying(x, every, False, marks), _varying(x, True, False, marks)
+                if own and 5 * own >= total or all_ and 5 * all_ >= whole:
+                    sure.append((min(_article(x[KEY]), 2), own, all_, here, x))
+            articles(x, here, inside or _article(x[KEY]) > 0)
+
+    articles(wrapper, "", False)
     if sure:
-        main = max(sure, key=lambda s: (min(s[0], 2), s[1], s[2]))[2]
+        *_, main, node = max(sure, key=lambda s: s[:4])
     else:
         main, node = "", wrapper
         while True:
-            parts = [(p, x) for p, x, off in _paths(node, main, False, False) if not off and p.count("/") == main.count("/") + 1 and x[KEY] != SLOT]
-            total = sum(x[CHARS] for _, x in parts)
-            big = [(x[CHARS], p, x) for p, x in parts if not x[REPEATED] and 5 * x[CHARS] > 3 * total and not p.endswith(("/p", "/li", "/tr", "/pre"))]
-            if not big:
+            parts = [x for x in _parts(node) if x[KEY] != SLOT]
+            own = [(_varying(x, every, False), f"{main}/{x[KEY]}", x) for x in parts]
+            rest = _varying([*node[:KEY], GROUP, *node[OPTIONAL:]], every, False)
+            big = [o for o in own if 5 * o[0] > 3 * rest and not o[2][REPEATED] and _tag(o[2][KEY]) not in LISTED | HEADINGS]
+            if not big or any(_has_heading(x, every) for x in parts if x is not big[0][2]):
                 break
-            _, main, node = max(big, key=lambda b: b[:2])
-    return {"main": main}
+            _, main, node = big[0]
+    inside = bool(sure)
+    whole = max(_varying([*node[:KEY], GROUP, *node[OPTIONAL:]], every, inside), 1e-9)
+    spared: list[str] = []
+
+    def spare(node: Node, path: str) -> None:
+        for x in _parts(node):
+            if x[KEY] != SLOT and not _never(x[KEY], inside):
+                here = f"{path}/{x[KEY]}"
+                if _marked(x[KEY], inside) and 2 * _varying(x, every, inside) > whole:
+                    spared.append(here)
+                spare(x, here)
+
+    spare(node, main)
+    varies = not sure and not every and pages > 1 and 2 * _varying(node, False, inside, marks=False) >= _varying(node, True, inside, marks=False)
+    return {"main": main, "article": inside, "spared": spared, "template": varies}
+
+
+def _blocks(events: list[tuple], main: str = "", article: bool = False, spared: Iterable[str] = ()) -> tuple[list[tuple[int, str]], bool]:
+    """The blocks in a page's main part, each with the number of the main part's own part that it is in; and whether there is a main part."""
+    blocks: list[tuple[int, str]] = []
+    number = 0
+    run: list[str] = []
+    keys, spared = main.split("/")[1:], frozenset(spared)
+    # met: how many of the keys lead to where we are, or -1. path: where we are, as far as spared parts ask for it.
+    met, inside, off, within, path = [0], [main == ""], [False], [False], [""]
+    seen = main == ""
+
+    def end() -> None:
+        if run and (text := SPACE.sub(" ", html.unescape("".join(run))).strip()):
+            blocks.append((number, text))
+        run.clear()
+
+    for event in events:
+        if event[0] == "open":
+            end()
+            key = event[1]
+            number += inside[-1] and (len(inside) < 2 or not inside[-2])
+            met.append(met[-1] + 1 if 0 <= met[-1] < len(keys) and keys[met[-1]] == key else -1)
+            here = met[-1] == len(keys)
+            path.append(f"{path[-1]}/{key}" if spared else "")
+            # Above the main part, names and elements don't count: it has been found there.
+            own = inside[-1] and (_never(key, within[-1]) or _marked(key, within[-1]) and path[-1] not in spared)
+            off.append(off[-1] or event[2] or own)
+            inside.append(inside[-1] or here)
+            within.append(within[-1] or _article(key) > 0 or here and article)
+            seen = seen or here
+        elif event[0] == "close":
+            end()
+            for x in (met, inside, off, within, path):
+                x.pop()
+            number += inside[-1] and (len(inside) < 2 or not inside[-2])
+        elif inside[-1] and not off[-1]:
+            run.append(event[1])
+    end()
+    return blocks, seen
 
 
 def main_text(page: str | None, how: dict | None) -> str:
     """Blocks of the page's main part, one a line."""
-    events = list(_parse(page))
-
-    def read(main: str) -> tuple[list[str], bool]:
-        blocks: list[str] = []
-        run: list[str] = []
-        keys = main.split("/")[1:]
-        # met: how many of the keys lead to where we are, or -1.
-        met, inside, off, seen, article = [0], [main == ""], [False], main == "", [False]
-
-        def end():
-            if run and (text := SPACE.sub(" ", html.unescape("".join(run))).strip()):
-                blocks.append(text)
-            run.clear()
-
-        for event in events:
-            if event[0] == "open":
-                end()
-                met.append(met[-1] + 1 if 0 <= met[-1] < len(keys) and keys[met[-1]] == event[1] else -1)
-                here = met[-1] == len(keys)
-                inside.append(inside[-1] or here)
-                seen = seen or here
-                off.append(off[-1] or event[2] or _boiler(event[1], article[-1]))
-                article.append(article[-1] or _article(event[1]) > 0)
-            elif event[0] == "close":
-                end()
-                for x in (met, inside, off, article):
-                    x.pop()
-            elif inside[-1] and not off[-1]:
-                run.append(event[1])
-        end()
-        return blocks, seen
-
+    events = _parse(page)
     if how is not None:
-        blocks, seen = read(how["main"])
+        blocks, seen = _blocks(events, how["main"], how.get("article", True), how.get("spared", ()))
         if seen:
-            return "\n".join(blocks)
-    return "\n".join(read(reading(page_wrapper(page))["main"])[0])
+            template = frozenset(how.get("common", ()))
+            own = {number for number, text in blocks if _digest(text) not in template} if template else ()
+            return "\n".join([text for number, text in blocks if not template or number in own])
+    own = reading(page_wrapper(page))
+    return "\n".join([text for _, text in _blocks(events, own["main"], own["article"], own["spared"])[0]])
 
 
 def host_of(url: str | Column) -> Column:
@@ -378,13 +545,13 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes = 0
 
     def flush():
-        out = pa.record_batch({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([json.dumps(x.all()) for x in held.values()], pa.string())})
+        out = pa.record_batch({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([x.to_json() for x in held.values()], pa.string())})
         held.clear()
         return out
 
     for batch in batches:
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            nodes += held[host].add(_main_only(page_wrapper(page)))
+            nodes += held[host].add_page(page)
             if len(held) > 2000 or nodes > HELD:
                 yield flush()
                 nodes = 0
@@ -395,8 +562,8 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _join(pdf: pd.DataFrame) -> pd.DataFrame:
     own = _Wrappers()
     for text in pdf["wrapper"].sort_values():
-        own.add(json.loads(text))
-    return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": json.dumps(own.all())})
+        own.add_json(text)
+    return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": own.to_json()})
 
 
 def infer_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
@@ -411,17 +578,24 @@ def extract_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", b
     """A row per page: page_id, url, text (empty if none), n_chars (code points).
 
     text: blocks of the main part in page order, joined by one newline; character references decoded, white space inside a block
-    one space, ends trimmed. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out,
-    by elements, roles and words of classes; a text is never left out because other pages have it too. A page without the main part of its host's wrapper is read by its own. A null or empty
+    one space, ends trimmed. The wrapper of the page's host tells the main part (see reading). Inside it menus, headers, footers, sidebars,
+    notices, adverts, forms, scripts, styles and comments are left out by their elements, roles and names of classes, and outside of
+    articles blocks that all pages of the host have; an article's own text is never left out because other pages have it too. A page without the main part of its host's wrapper is read by its own. A null or empty
     page gives an empty text. A null or odd url counts as the host "". Broken markup never fails. Null ids and repeated rows each
     give their row; other columns aren't read; an empty table gives none. How to read each host is broadcast if that
     is at most broadcast_bytes in all; else it is joined on the host, a join that adaptive execution can split.
     """
+    text_batches(pages.sparkSession)
     own = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(body).alias("html"), host_of(url).alias("host"))
 
     @F.pandas_udf("string")
     def how(wrappers: pd.Series) -> pd.Series:
-        return wrappers.map(lambda x: json.dumps(reading(json.loads(x))))
+        def one(text: str) -> str:
+            own = json.loads(text)
+            found = reading(own["wrapper"])
+            return json.dumps(found | ({"common": own["common"]} if found.pop("template") and own["common"] else {}))
+
+        return wrappers.map(one)
 
     hosts = materialize(infer_wrappers(own).select("host", how("wrapper").alias("how")), "readings")
     bytes_ = hosts.agg(F.sum(F.length("how") + F.length("host") + 64)).first()[0] or 0
