@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from pagewatch.llm.common import slices
+from pagewatch.llm.common import slices, text_batches
 from pagewatch.llm.word_ids import Parts, in_order, runs, spelled
 
 #: White space that isn't ASCII, and controls that regular-expression libraries don't agree on.
@@ -137,6 +137,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
             yield pa.RecordBatch.from_pydict(out)
         bpe.clear()
 
+    text_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, starts array<int>, ends array<int>" * lists
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, schema)
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\r\x0b\x0c"
 #: Words of text that one vectorised step takes at most, unless one document alone has more.
 CHUNK_WORDS = 100_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
 #: Rows and bytes of an Arrow batch that become Python objects at once, unless one row alone has more.
 SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
 
@@ -65,6 +67,13 @@ def small(df: DataFrame, rows: int) -> DataFrame | None:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
+def text_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows at most: at texts of any length, a batch fits beside an executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """A column of texts in runs of bounded size: (index of the first, texts)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import materialize, slices
+from pagewatch.llm.common import materialize, slices, text_batches
 from pagewatch.llm.word_ids import WordIds
 
 #: Pieces that a task packs together, on average.
@@ -121,6 +121,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", id: str
     A null or empty text is one piece, end_id alone. Null ids and repeated rows each give their pieces; other columns
     aren't read; an empty table gives none.
     """
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = materialize(own.mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES), "pieces")
     names = [x.split()[0] for x in PIECES.split(", ")]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import WHITE, hashed, mix, slices, word_lists
+from pagewatch.llm.common import WHITE, hashed, materialize, mix, slices, text_batches, word_lists
 
 SYMBOLS = b"#*$%&|<>"
 #: What isn't a first byte of a code point, and white space.
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     any to reject, every document passes.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     sample = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
     sample = sample.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trusted = sample.where("quality = 1 and toxic = 0 and fold > 0").select("doc_id", F.lit(True).alias("trusted"))
     counts = own.join(F.broadcast(trusted), "doc_id", "left").select("text", "trusted").mapInArrow(_counts, "bucket int, raw long, target long")
-    counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = materialize(counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "counts").toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     if not target.sum():
@@ -154,13 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     # Of repeated ids the lowest score counts: what comes to the driver is a row per sampled document.
     seen = held.select("doc_id", "quality", "toxic", score("text").alias("score"), F.length("text").alias("n")).where("n > 0")
-    seen = seen.groupBy("doc_id", "quality", "toxic").agg(F.min("score").alias("score")).toPandas()
+    seen = materialize(seen.groupBy("doc_id", "quality", "toxic").agg(F.min("score").alias("score")), "held-out").toPandas()
     good = seen[(seen.quality == 1) & (seen.toxic == 0)].score.to_numpy()
     return Model(weights, threshold(good, seen[seen.quality == 0].score.to_numpy()))
 
 
 def verdict(model: Model, spark: SparkSession, text: str | Column) -> Column:
     """The statistics, base_failed, score and kept of a text, as a struct: to filter by, or to select from."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model.weights)
     least = model.threshold
 

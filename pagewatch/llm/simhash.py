@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import materialize
+from pagewatch.llm.common import materialize, slices, text_batches
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A byte's bits, each in a byte of its own.
@@ -72,9 +71,9 @@ def fingerprints(texts: list[str | None], width: int = 3, seed: int = 42) -> np.
 def fingerprint(text: str | Column, width: int = 3) -> Column:
     """A text's SimHash as a long: A-Z lowered, words, shingles of width words with repeats, XXH64 with seed 42."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints(list(texts), width).view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(fingerprints(x, width).view(np.int64) for _, x in slices(texts))]))
 
     return of(text)
 
@@ -203,6 +202,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", radi
     """
     from pagewatch.llm.components import components
 
+    text_batches(docs.sparkSession)
     own = materialize(docs.select(F.col(id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     star = components(near_links(own, radius))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import hashed, materialize, mix, small, word_lists
+from pagewatch.llm.common import hashed, materialize, mix, slices, small, text_batches, word_lists
 
 #: Documents up to which lists of those to read again, or to cut, are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -144,16 +144,13 @@ def _chunk(lists, width):
 
 
 def _read(batch: pa.RecordBatch, width: int):
-    ids = batch["doc_id"].to_numpy(zero_copy_only=False) if not batch["doc_id"].null_count else None
-    texts = batch["text"].to_pylist()
-    for first, lists in word_lists(texts):
-        if (c := _chunk(lists, width)) is None:
-            continue
-        words, starts, begin, doc, lo, hi, key, two = c
-        fps = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts[first : first + len(lists)]], np.uint64).view(np.int64)
-        row = first + doc
-        column = pa.array(ids[row]) if ids is not None else batch["doc_id"].take(pa.array(row))
-        yield starts, begin, doc, lo, hi, key, two, column, fps[doc]
+    for at, texts in slices(batch["text"]):
+        for first, lists in word_lists(texts):
+            if (c := _chunk(lists, width)) is None:
+                continue
+            words, starts, begin, doc, lo, hi, key, two = c
+            fps = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts[first : first + len(lists)]], np.uint64).view(np.int64)
+            yield starts, begin, doc, lo, hi, key, two, batch["doc_id"].take(pa.array(at + first + doc)), fps[doc]
 
 
 def _occurrences(width: int):
@@ -246,6 +243,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", widt
     """
     if width < 1:
         raise ValueError("a window has at least one word")
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry")).withColumn("fp", F.xxhash64("text"))
     ranges = repeated_ranges(own.select("doc_id", "text", "fp"), width).groupBy("doc_id", "fp").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     ranges = materialize(ranges.withColumnsRenamed({"doc_id": "i", "fp": "f"}), "ranges")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.llm.byte_bpe import ByteBpe
-from pagewatch.llm.common import materialize, slices
+from pagewatch.llm.common import materialize, slices, text_batches
 
 BLOCK = 1024
 
@@ -24,6 +24,7 @@ def document_lengths(docs: DataFrame, ranks: str, pattern: str, text: str = "tex
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": pa.array(n, pa.int64())})
         bpe.clear()
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, "doc_id long, n_tokens long")
 
 
