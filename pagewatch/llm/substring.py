@@ -1,11 +1,12 @@
 """Substring dedup by recompression: words that lie in a long passage found anywhere else are removed.
 
-Words get names, and in rounds short runs and neighbouring pairs of names get names of their own. A name is a fingerprint of
+Words get names, and in rounds runs of two and neighbouring pairs of names get names of their own. A name is a fingerprint of
 what it stands for, so that every executor names equal content alike with no dictionary to hand round. Which pairs join
-is decided by the two names alone, so that equal passages get equal interior symbols, all but a few words at each
-end (`reach`). Every window of the given width has symbols well inside; the least of them, with the words that are in the
-window for sure, is its anchor. Spark counts the anchors: one that occurs once rules out all its windows. Windows of
-shared anchors are then verified by fingerprints of all their words.
+is decided by the two names alone, so that equal passages get equal interior symbols, all but those near their ends (`levels`).
+Every window of the given width is found by the highest symbol well inside it, of several the least; for words as English has them nine of ten
+windows have one of the third round of pairs, of which there is one in seven words. With the words around it that are in the window for sure
+that is the window's anchor. Spark counts the anchors: one that occurs once rules out all its windows. Where all that an anchor's windows
+hold is equal, its windows are repeats; the others are compared by fingerprints of all their words.
 """
 
 from __future__ import annotations
@@ -26,20 +27,28 @@ BROADCAST_ROWS = 500_000
 #: Bases of the fingerprints of word ranges, and salts of the rounds (fixed values, odd).
 BASES = (np.uint64(0x9E3779B97F4A7C17), np.uint64(0xC2B2AE3D27D4EB4F))
 SALTS = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
+#: Words of an anchor where no symbol is one.
+RUN = 8
+#: Seeds of the two hashes that words have: anchors stand on one, what is compared beyond them on the other.
+SEEDS = (0, 1)
 OCCURRENCES = "key long, ctx long, doc_id long, fp long, lo int, n int"
 
 
-def plan(width: int) -> tuple[int, int]:
-    """(rounds of pairs, reach) for windows of so many words.
+def levels(width: int) -> list[int]:
+    """For each round, how far around a symbol that it makes words decide that it is one: of runs, then of pairs.
 
-    reach: words at each end of a window whose symbols may depend on what is outside. The round of runs (of
-    two) reaches 2 words, and each round of pairs as far as the longest symbol before it. A round is made only if the words
-    surely inside stay six times as many as the longest symbol has.
+    A run of exactly two words needs the word on either side. A pair is made of two symbols of the round before. Whether those
+    are symbols is settled by what may join them from outside: the longest symbol before them, and what settles that.
+    A round is made if its longest symbol fits into a window with what settles it.
     """
-    rounds, reach, longest = 0, 2, 2
-    while width - 2 * (reach + longest) >= 6 * 2 * longest:
-        reach, longest, rounds = reach + longest, 2 * longest, rounds + 1
-    return (rounds, reach) if rounds else (0, 0)
+    out: list[int] = []
+    settled, longest = 2, 2  # of the symbols, joined or not, after the round of runs
+    if width >= 4:
+        out.append(1)
+    while out and 2 * settled + 2 * longest <= width:
+        out.append(settled)
+        settled, longest = settled + longest, 2 * longest
+    return out
 
 
 class Powers:
@@ -57,64 +66,40 @@ class Powers:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
 
-def symbols(names: np.ndarray, starts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names and first words of the symbols after a round of runs and the rounds of pairs; none spans two documents.
+def symbols(names: np.ndarray, starts: np.ndarray, rounds: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each round the symbols that it makes: names, first words and ends; none spans two documents.
 
     Of runs of equal names, those of exactly two join; longer runs keep single words, since a window may begin in them.
     A pair joins if a bit of the first name is 0 and of the second 1: no name can be in two pairs.
     """
-    n = len(names)
-    at = np.arange(n)
-    last = np.zeros(n, bool)
+    at, end = np.arange(len(names)), np.arange(1, len(names) + 1)
+    last = np.zeros(len(names), bool)
     last[starts[1:][starts[1:] > starts[:-1]] - 1] = True
-    for r in range(rounds + 1 if rounds else 0):
-        if len(names) < 2:
-            break
+    out = []
+    for r in range(rounds):
         joinable = ~last[:-1]
         if r == 0:
             same = joinable & (names[:-1] == names[1:])
             joined = same & ~np.r_[False, same[:-1]] & ~np.r_[same[1:], False]
         else:
-            bit = (mix(names + SALTS[r % 3]) >> np.uint64(17)) & np.uint64(1)
-            joined = joinable & (bit[:-1] == 0) & (bit[1:] == 1)
+            bit = (mix(names + SALTS[r % 3]) >> np.uint64(17)) & np.uint64(1) == 1
+            joined = joinable & ~bit[:-1] & bit[1:]
         left = np.flatnonzero(joined)
-        names = names.copy()
+        names, end, last = names.copy(), end.copy(), last.copy()
         names[left] = mix(names[left] * BASES[0] + mix(names[left + 1] + SALTS[r % 3]))
-        last[left] = last[left + 1]
+        end[left], last[left] = end[left + 1], last[left + 1]
+        out.append((names[left], at[left], end[left]))
         keep = np.ones(len(names), bool)
         keep[left + 1] = False
-        names, at, last = names[keep], at[keep], last[keep]
-    return names, at
-
+        names, at, end, last = names[keep], at[keep], end[keep], last[keep]
+    return out
 
-def anchors(words: np.ndarray, starts: np.ndarray, width: int):
-    """Anchors of all windows of a chunk of documents: (first word, end of the symbol, document, first and last window).
 
-    Words are counted through the chunk. A window's anchor is the leftmost least symbol among those that lie at least `reach` words
-    inside it. Windows that follow each other and share an anchor are one row.
-    """
-    rounds, reach = plan(width)
-    sizes = np.diff(starts)
-    per_doc = np.maximum(sizes - width + 1, 0)
-    total = int(per_doc.sum())
-    if not total:
-        return None
-    doc = np.repeat(np.arange(len(sizes)), per_doc)
-    first = np.cumsum(per_doc) - per_doc
-    window = np.arange(total) + np.repeat(starts[:-1] - first, per_doc)
-    names, at = symbols(words, starts, rounds)
-    end = np.r_[at[1:], len(words)]
-    # Symbols that start at or after, and end at or before.
-    begins = np.searchsorted(at, np.arange(len(words) + 1))
-    ends = np.searchsorted(end, np.arange(len(words) + 1), side="right")
-    p, q = begins[window + reach], ends[window + width - reach]
-    rank = mix(names ^ SALTS[1]) >> np.uint64(1)
-    best = np.empty(total, np.int64)
+def _least(rank: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each range p to q (not empty) where the leftmost least rank is."""
+    length, best = q - p, np.empty(len(p), np.int64)
     level, argmin = 0, np.arange(len(rank))
-    length = q - p
-    if (length < 1).any():
-        raise AssertionError("a window without a symbol inside")
-    while True:
+    while len(length):
         here = (length >> level) == 1
         if here.any():
             a, b = argmin[p[here]], argmin[q[here] - (1 << level)]
@@ -125,22 +110,52 @@ def anchors(words: np.ndarray, starts: np.ndarray, width: int):
         a, b = argmin[:-step], argmin[step:]
         argmin = np.where(rank[b] < rank[a], b, a)
         level += 1
-    turn = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])])
-    stop = np.r_[turn[1:], total] - 1
-    symbol = best[turn]
-    return at[symbol], end[symbol], doc[turn], window[turn], window[stop], reach
+    return best
+
+
+def anchors(words: np.ndarray, starts: np.ndarray, width: int):
+    """Anchors of all windows of a chunk of documents: (first word, end, document, first and last window, first word of the symbol, round).
+
+    Words are counted through the chunk. A window's anchor is a symbol of the last round that has made one inside it, with the words around that
+    settle that it is one; of several the least, of equals the leftmost. A window without any, as in long runs of one word, is found by its least
+    word and those that follow it (round -1). Windows that follow each other and share an anchor are one row.
+    """
+    sizes = np.diff(starts)
+    per_doc = np.maximum(sizes - width + 1, 0)
+    total = int(per_doc.sum())
+    if not total:
+        return None
+    doc = np.repeat(np.arange(len(sizes)), per_doc)
+    first = np.cumsum(per_doc) - per_doc
+    window = np.arange(total) + np.repeat(starts[:-1] - first, per_doc)
+    reach = levels(width)
+    begin, stop, symbol, kind = (np.empty(total, np.int64) for _ in range(4))
+    left = np.arange(total)
+    for r, (names, at, end) in reversed(list(enumerate(symbols(words, starts, len(reach))))):
+        own = window[left]
+        p, q = np.searchsorted(at, own + reach[r]), np.searchsorted(end, own + width - reach[r], side="right")
+        some = q > p
+        best = _least(mix(names ^ SALTS[1]) >> np.uint64(1), p[some], q[some])
+        on = left[some]
+        begin[on], stop[on], symbol[on], kind[on] = at[best] - reach[r], end[best] + reach[r], at[best], r
+        left = left[~some]
+    run = min(RUN, width)
+    best = _least(mix(words ^ SALTS[1]) >> np.uint64(1), window[left], window[left] + width - run + 1)
+    begin[left], stop[left], symbol[left], kind[left] = best, best + run, best, -1
+    turn = np.flatnonzero(np.r_[True, (symbol[1:] != symbol[:-1]) | (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])])
+    until = np.r_[turn[1:], total] - 1
+    return begin[turn], stop[turn], doc[turn], window[turn], window[until], symbol[turn], kind[turn]
 
 
 def _chunk(lists, width):
     """For a chunk of documents' words: row arrays and what they are computed from."""
-    words, starts = hashed(lists)
+    words, starts = hashed(lists, SEEDS[0])
     found = anchors(words, starts, width)
     if found is None:
         return None
-    begin, end, doc, lo, hi, reach = found
-    one, two = Powers(words, BASES[0]), Powers(words, BASES[1])
-    key = one.of(begin - reach, end + reach)
-    return words, starts, begin, doc, lo, hi, key, two
+    begin, end, doc, lo, hi, symbol, _ = found
+    key = Powers(words, BASES[0]).of(begin, end)
+    return words, starts, symbol, doc, lo, hi, key, Powers(hashed(lists, SEEDS[1])[0], BASES[1])
 
 
 def _read(batch: pa.RecordBatch, width: int):
@@ -181,27 +196,29 @@ def _windows(width: int):
 def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     """Ranges of words (doc_id, fp, s, e) that windows with an equal one elsewhere cover; e is exclusive. May overlap.
 
-    docs: doc_id long, text, fp = xxhash64(text). Rows of one id are told apart by their text.
+    docs: doc_id long, text, fp = xxhash64(text). Rows of one id are told apart by their text. Counts are stored before they are joined, so
+    that both sides of a join on a hot anchor come straight from a shuffle and adaptive execution can split it.
     """
     own = docs.select("doc_id", "text").where("text is not null")
     occ = materialize(own.mapInArrow(_occurrences(width), OCCURRENCES), "anchors")
-    shared = occ.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shared = materialize(occ.join(shared, "key", "left_semi"), "shared-anchors")
     # Where all contexts of an anchor are equal, so are all its windows; the others' windows are looked at one by one.
-    kinds = materialize(shared.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a != b").select("key"), "contested-anchors")
-    whole = shared.join(kinds, "key", "left_anti").select("doc_id", "fp", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
-    again = materialize(shared.join(kinds, "key", "left_semi").select("doc_id", "fp").distinct(), "documents-again")
+    counts = occ.groupBy("key").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("contested"))
+    keys = materialize(counts.where("c > 1").select("key", "contested"), "shared-keys")
+    shared = materialize(occ.select("key", "doc_id", "fp", "lo", "n").join(small(keys, BROADCAST_ROWS) or keys, "key"), "shared-anchors")
+    whole = shared.where("not contested").select("doc_id", "fp", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
+    again = materialize(shared.where("contested").select("doc_id", "fp").distinct(), "documents-again")
     again = (small(again, BROADCAST_ROWS) or again).withColumnsRenamed({"doc_id": "i", "fp": "f"})
     reread = docs.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left_semi").select("doc_id", "text")
     lists = reread.mapInArrow(_windows(width), "key long, doc_id long, fp long, lo int, before int, windows array<long>")
-    lists = lists.join(small(kinds, BROADCAST_ROWS) or kinds, "key", "left_semi")
+    contested = keys.where("contested").select("key")
+    lists = lists.join(small(contested, BROADCAST_ROWS) or contested, "key", "left_semi")
     windows = materialize(
         lists.select("key", "doc_id", "fp", "lo", "before", F.posexplode("windows").alias("at", "w")).select("key", (F.col("before") - F.col("at")).alias("off"), "w", "doc_id", "fp", (F.col("lo") + F.col("at")).alias("s")),
         "windows",
     )
     same = ["key", "off", "w"]
-    twice = windows.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").select(*same)
-    part = windows.join(twice, same, "left_semi").select("doc_id", "fp", "s", (F.col("s") + width).alias("e"))
+    twice = materialize(windows.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").select(*same), "windows-twice")
+    part = windows.join(small(twice, BROADCAST_ROWS) or twice, same, "left_semi").select("doc_id", "fp", "s", (F.col("s") + width).alias("e"))
     return whole.union(part)
 
 
@@ -245,7 +262,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", widt
         raise ValueError("a window has at least one word")
     text_batches(docs.sparkSession)
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry")).withColumn("fp", F.xxhash64("text"))
-    ranges = repeated_ranges(own.select("doc_id", "text", "fp"), width).groupBy("doc_id", "fp").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    # Equal rows have equal ranges: each counts once.
+    ranges = repeated_ranges(own.select("doc_id", "text", "fp"), width).distinct().groupBy("doc_id", "fp").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     ranges = materialize(ranges.withColumnsRenamed({"doc_id": "i", "fp": "f"}), "ranges")
     own = own.drop("carry") if not carry else own
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f"))
