@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turns before a turn that the renderer is given with it, at most: the whole conversation up to there if it is no longer.
-WINDOW = 64
+#: Turns that the default template is rendered with at a time: it looks at one turn alone.
+CHATML_WINDOW = 64
 
 Turn = tuple[str, str]  # role, text
 
@@ -49,10 +49,13 @@ def chatml_mask(span: str) -> tuple[int, int]:
 
 @dataclass
 class Spans:
-    """Follows one conversation turn by turn. rewrites: some prefix's output isn't a prefix of the next one's."""
+    """Follows one conversation turn by turn. rewrites: some prefix's output isn't a prefix of the next one's.
+
+    window: None renders true prefixes. A number says that the template looks back fewer turns than half of it: then prefixes begin later.
+    """
 
     render: Callable[[list[Turn]], str]
-    window: int = WINDOW
+    window: int | None = None
     recent: list[Turn] = field(default_factory=list)
     before: str | None = None
     rewrites: bool = False
@@ -60,7 +63,6 @@ class Spans:
     def add(self, turn: Turn) -> str:
         """The part of the output that is the turn's: what the output of the prefix with it has more than without it."""
         if len(self.recent) == self.window:
-            # Beyond the window, prefixes start later; the renderer sees the latest half of them as the beginning.
             self.recent = self.recent[self.window // 2 :]
             self.before = None
         if self.before is None:
@@ -85,18 +87,18 @@ def format_conversations(
     read: Callable[[str], Turn] = chatml_text,
     mask: Callable[[str], tuple[int, int]] = chatml_mask,
     learn: tuple[str, ...] = ("assistant",),
-    window: int = WINDOW,
+    window: int | None = None,
 ) -> DataFrame:
     """A row per turn of conv_id, turn, role, text, in order within a conversation: conv_id, seq (from 0), span, role, text, start,
     loss_start, loss_end (code points of the output; both null where there is no loss), rewrites (so far).
 
     render is taken as a black box: it gets successive prefixes, and a turn's span is what its output has more than the one
     before. A template whose output for a prefix isn't the beginning of the next rewrites history: its conversations are
-    marked, and spans begin where the outputs part. A conversation of more than `window` turns is rendered with the latest ones as
-    the beginning, which is exact for templates that look back no further. role and text are read back from the span.
+    marked, and spans begin where the outputs part. The prefixes are whole, so that a conversation of n turns takes n renderings of up to n
+    turns and is held in a task; for a template that looks back fewer turns than half of `window`, giving that renders the latest turns only, and
+    conversations of any length stream through a task turn by turn. role and text are read back from the span.
     Rows sort by turn, role and text; a null turn comes first, a null role or text counts as empty; null conversations are
     one conversation. Repeated rows are turns of their own. Other columns aren't read; an empty table gives none.
-    Conversations stream through a task turn by turn: none is held whole, and one may be of any length.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +123,10 @@ def format_conversations(
     return sorted_.mapInArrow(stream, "conv_id long, seq long, span string, role string, text string, start long, loss_start long, loss_end long, rewrites boolean")
 
 
-def conversation_digests(formatted: DataFrame) -> DataFrame:
+def conversation_digests(formatted: DataFrame, plain: Callable[[str], str] = unescape) -> DataFrame:
     """A row per conversation of format_conversations' rows, as they come: what was read back and what the loss mask covers.
 
-    Digests go on from turn to turn, so that a conversation of any length takes no room.
+    plain turns what the mask covers into the text as it was: it has to fit the template. Digests go on from turn to turn, so that a conversation of any length takes no room.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 if lo is not None:
-                    own = unescape(span[lo - start : hi - start])
+                    own = plain(span[lo - start : hi - start])
                     state[3] += len(own)
                     state[4].update(own.encode())
                 state[5] += len(span)

@@ -47,7 +47,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(control).alias("text")) for k, role in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
-    return chat.conversation_digests(chat.format_conversations(turns.union(own)))
+    return chat.conversation_digests(chat.format_conversations(turns.union(own), window=chat.CHATML_WINDOW))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

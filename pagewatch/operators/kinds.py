@@ -16,11 +16,8 @@ def detect_kind(docs: DataFrame, text: str = "text", least: int = 4, margin: int
     fixed list, so that the vote of a row is made of built-in expressions over the row alone: no join and no shuffle.
     """
     hay = F.lower(squeeze(F.coalesce(F.col(text), F.lit(""))))
-    phrases: dict[str, list[tuple[str, int]]] = {}
-    for kind, phrase, weight in W.kind_signals():
-        phrases.setdefault(kind, []).append((phrase, weight))
     votes = []
-    for kind, own in phrases.items():
+    for kind, own in W.KIND_SIGNALS.items():
         found = F.array_compact(F.array(*(F.when(F.col("_hay").contains(p), F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight"))) for p, w in own)))
         votes.append(F.struct(F.lit(kind).alias("kind"), found.alias("found")))
     scored = F.transform(F.array(*votes), lambda v: F.struct((-F.aggregate(v["found"], F.lit(0), lambda s, x: s + x["weight"])).alias("low"), v["kind"].alias("kind"), v["found"]["phrase"].alias("matched")))

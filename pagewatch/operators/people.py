@@ -25,18 +25,20 @@ def alerts_for(watches: DataFrame, changes: DataFrame, occupations: DataFrame, i
     listings (case_id, listing_id, title, first_seen_at) are the case's own. Ids are derived, so that a repeat makes the same rows.
     """
 
-    def new(df: DataFrame, on: list[str], kind: str, key: str, headline: str, at: str) -> DataFrame:
-        own = watches.select("case_id", "country", "lane", "mark").join(df, on).where(F.col(at) > F.col("mark"))
-        return own.select("case_id", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(headline).alias("headline"), F.col(at).alias("at"))
-
-    lane = ["country", "lane"]
-    work = watches.schema["lane"].dataType.simpleString()
-    rules = new(changes.where(F.coalesce("material", F.lit(False))), lane, "rule", "change_id", "summary", "after_read_at")
-    jobs = new(occupations.withColumn("lane", F.lit("work").cast(work)), lane, "occupation", "occupation_id", "title", "first_seen_at")
-    own = watches.where("lane <> 'work'")
-    schools = own.select("case_id", "country", "mark").join(institutions, "country").where("first_seen_at > mark")
-    schools = schools.select("case_id", F.lit("institution").alias("kind"), F.col("institution_id").cast("string").alias("key"), F.col("name").alias("headline"), F.col("first_seen_at").alias("at"))
-    posts = new(listings, ["case_id"], "listing", "listing_id", "title", "first_seen_at")
+    def newest(df: DataFrame, per: list[str], key: str, headline: str, at: str) -> DataFrame:
+        """The newest of each watched thing, found before watches join: what a watch has from after its mark are the first of these."""
+        own = df.select(*per, F.col(key).cast("string").alias("key"), F.col(headline).alias("headline"), F.col(at).alias("at")).where("at is not null")
+        order = Window.partitionBy(*per).orderBy(F.desc("at"), "key")
+        return own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_kind).drop("_n")
+
+    def new(own: DataFrame, df: DataFrame, on: list[str], kind: str, key: str, headline: str, at: str) -> DataFrame:
+        found = own.select("case_id", *(x for x in on if x != "case_id"), "mark").join(newest(df, on, key, headline, at), on).where("at > mark")
+        return found.select("case_id", F.lit(kind).alias("kind"), "key", "headline", "at")
+
+    rules = new(watches, changes.where(F.coalesce("material", F.lit(False))), ["country", "lane"], "rule", "change_id", "summary", "after_read_at")
+    jobs = new(watches.where("lane = 'work'"), occupations, ["country"], "occupation", "occupation_id", "title", "first_seen_at")
+    schools = new(watches.where("lane <> 'work'"), institutions, ["country"], "institution", "institution_id", "name", "first_seen_at")
+    posts = new(watches, listings, ["case_id"], "listing", "listing_id", "title", "first_seen_at")
     every = rules.unionByName(jobs).unionByName(schools).unionByName(posts)
     order = Window.partitionBy("case_id", "kind").orderBy(F.desc("at"), "key")
     out = every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_kind)
@@ -140,11 +142,16 @@ def coverage_score(requirements: DataFrame, matches: DataFrame, action: tuple[st
 
 
 def reading_order(institutions: DataFrame) -> DataFrame:
-    """institution_id, country, place: eligible schools by score within a country, then the countries in turn.
+    """institution_id, country, rank, place: eligible schools by score within a country; places go to the countries in turn.
 
-    institutions: institution_id, country, name, website, higher_ed, routes, score. Scores of different countries aren't compared.
+    institutions: institution_id, country, name, website, higher_ed, routes, score. Scores of different countries aren't compared. A place is the
+    number of schools of smaller rank, counted per country, and the turn of the country among those that have one of this rank.
     """
     routes = F.coalesce("routes", F.array().cast("array<string>"))
     own = institutions.where((F.coalesce("website", F.lit("")) != "") & F.coalesce("higher_ed", F.lit(False)) & ((F.size(routes) == 0) | F.array_contains(routes, "Student")))
     rank = F.row_number().over(Window.partitionBy("country").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "name", "institution_id"))
-    return own.withColumn("rank", rank).select("institution_id", "country", "rank")
+    own = own.withColumn("rank", rank).select("institution_id", "country", "rank")
+    sizes = own.groupBy("country").agg(F.count("*").alias("n"))
+    sizes = F.broadcast(sizes.agg(F.sort_array(F.collect_list(F.struct("country", "n"))).alias("_sizes")))  # of one row: a country each
+    before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], F.col("rank") - 1) + ((x["country"] <= F.col("country")) & (x["n"] >= F.col("rank"))).cast("long"))
+    return own.crossJoin(sizes).select("institution_id", "country", "rank", before.cast("int").alias("place"))

@@ -125,11 +125,17 @@ def second_read(requirements: DataFrame, pages: DataFrame, answers: DataFrame, c
     return own.withColumn("state", state).withColumn("open_question", F.coalesce(F.col("state") == "disputed", F.lit(False))).drop("haystack", "answer")
 
 
-def check_citations(lines: DataFrame, known: DataFrame, page: str = "page_id", cites: str = "cites") -> DataFrame:
-    """lines with the citations that are known on their page, and kept: some are left. known: page, requirement_id."""
-    own = known.groupBy(page).agg(F.collect_set("requirement_id").alias("_known"))
-    left = F.array_intersect(F.col(cites), F.coalesce("_known", F.array().cast("array<string>")))
-    return lines.join(own, page, "left").withColumn(cites, left).withColumn("kept", F.size(cites) > 0).drop("_known")
+def check_citations(lines: DataFrame, known: DataFrame, page: str = "page_id", cites: str = "cites", key: str = "line_id") -> DataFrame:
+    """lines with the citations that are known on their page, each once and in their order, and kept: some are left. known: page, requirement_id.
+
+    key tells lines apart. Citations are a row each and meet what is known by page and requirement, so that no list of a page's
+    requirements is made; what is left comes together per line.
+    """
+    own = lines.select(key, page, F.posexplode(F.array_distinct(cites)).alias("_at", "requirement_id"))
+    found = own.join(known.select(page, "requirement_id").distinct(), [page, "requirement_id"], "left_semi")
+    left = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "requirement_id"))).alias("_left"))
+    some = F.transform(F.coalesce("_left", F.array().cast(left.schema["_left"].dataType)), lambda x: x["requirement_id"])
+    return lines.join(left, key, "left").withColumn(cites, some).withColumn("kept", F.size(cites) > 0).drop("_left")
 
 
 def known_topics(topics: T.Col) -> Column:
@@ -158,12 +164,14 @@ def score_fit(matches: DataFrame, claims: DataFrame, postings: DataFrame, plain:
     if the evidence is a claim of the case, contains one or is inside one (more than two characters); else it stays, unmet.
     """
     fold = T.fold_plain if plain else T.fold
-    own = matches.withColumn("_n", F.monotonically_increasing_id()).join(postings.select("posting_id", "haystack"), "posting_id", "left").where(~_blank("asks_for") & on_page(F.col("quote"), plain)).drop("haystack")
-    known = claims.select("case_id", fold("value").alias("_claim"))
-    evidence = fold(F.coalesce("evidence", F.lit("")))
+    own = matches.join(postings.select("posting_id", "haystack"), "posting_id", "left").where(~_blank("asks_for") & on_page(F.col("quote"), plain)).drop("haystack")
+    own = own.withColumn("_e", fold(F.coalesce("evidence", F.lit(""))))
+    known = claims.select("case_id", fold("value").alias("_claim")).distinct()
+    evidence = F.col("_e")
     backs = (evidence == F.col("_claim")) | ((F.length(evidence) > 2) & (F.length("_claim") > 2) & (F.col("_claim").contains(evidence) | evidence.contains(F.col("_claim"))))
-    held = own.where("met").join(known, "case_id").where(backs & (evidence != "")).select("_n").distinct().withColumn("_held", F.lit(True))
-    own = own.join(held, "_n", "left")
+    # Evidence is looked at once a case, and tells rows apart by what they say.
+    held = own.where("met and _e <> ''").select("case_id", "_e").distinct().join(known, "case_id").where(backs).select("case_id", "_e").distinct()
+    own = own.join(held.withColumn("_h", F.lit(True)), ["case_id", "_e"], "left").withColumn("_held", F.coalesce("_h", F.lit(False)) & F.coalesce("met", F.lit(False)))
     out = own.groupBy("case_id").agg(F.count("*").alias("asked"), F.count_if("_held").alias("met"))
     return out.withColumn("score", F.when(F.col("asked") == 0, 0).otherwise(F.bround(F.col("met") * 100 / F.col("asked"))).cast("int"))
 

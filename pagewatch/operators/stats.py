@@ -26,17 +26,26 @@ DOCUMENT_TERMS = {
 }
 
 
-def source_stats(sources: DataFrame, requirements: DataFrame, changes: DataFrame, lanes: tuple[str, ...] = ("study", "work")) -> DataFrame:
-    """country (null: all) with pages, study_pages, work_pages, robots_blocked, requirements, changes, material, last_read_at.
+def source_stats(sources: DataFrame, requirements: DataFrame, changes: DataFrame, articles: DataFrame, countries: DataFrame, lanes: tuple[str, ...] = ("study", "work")) -> DataFrame:
+    """country (null: all) with daily, pages, study_pages, work_pages, living_pages, robots_blocked, requirements, changes, material, articles, last_read_at.
 
-    Each table is counted by country on its own before they meet; the total is a rollup of the counts.
+    countries: country, daily. Each of them has its row, with or without sources, and so has a country that only another table knows; of the total, daily
+    is the number of countries that are watched daily. articles: country, hidden; hidden ones don't count. Each table is counted by country on
+    its own before they meet; the total is a rollup of the counts.
     """
-    a = sources.groupBy("country").agg(F.count("*").alias("pages"), F.count_if(F.col("lane") == "study").alias("study_pages"), F.count_if(F.col("lane") == "work").alias("work_pages"), F.count_if(F.coalesce(F.col("blocked") == "robots_disallowed", F.lit(False))).alias("robots_blocked"), F.max("last_read_at").alias("last_read_at"))
-    b = requirements.where(F.col("retired_at").isNull() & F.col("lane").isin(*lanes)).groupBy("country").agg(F.count("*").alias("requirements"))
-    c = changes.groupBy("country").agg(F.count("*").alias("changes"), F.count_if(F.coalesce("material", F.lit(False))).alias("material"))
-    counts = ["pages", "study_pages", "work_pages", "robots_blocked", "requirements", "changes", "material"]
-    per = a.join(b, "country", "left").join(c, "country", "left").fillna(0, counts)
-    return per.rollup("country").agg(*(F.sum(x).alias(x) for x in counts), F.max("last_read_at").alias("last_read_at"))
+    lane = lambda x: F.count_if(F.col("lane") == x)
+    counts = {
+        "pages": sources.groupBy("country").agg(F.count("*").alias("pages"), lane("study").alias("study_pages"), lane("work").alias("work_pages"), lane("living").alias("living_pages"), F.count_if(F.coalesce(F.col("blocked") == "robots_disallowed", F.lit(False))).alias("robots_blocked"), F.max("last_read_at").alias("last_read_at")),
+        "requirements": requirements.where(F.col("retired_at").isNull() & F.col("lane").isin(*lanes)).groupBy("country").agg(F.count("*").alias("requirements")),
+        "changes": changes.groupBy("country").agg(F.count("*").alias("changes"), F.count_if(F.coalesce("material", F.lit(False))).alias("material")),
+        "articles": articles.where(~F.coalesce("hidden", F.lit(False))).groupBy("country").agg(F.count("*").alias("articles")),
+    }
+    per = countries.groupBy("country").agg(F.max(F.coalesce("daily", F.lit(False)).cast("int")).alias("daily"))
+    for own in counts.values():
+        per = per.join(own, "country", "full_outer")
+    numbers = ["daily", "pages", "study_pages", "work_pages", "living_pages", "robots_blocked", "requirements", "changes", "material", "articles"]
+    per = per.where("country is not null").fillna(0, numbers)
+    return per.rollup("country").agg(*(F.sum(x).alias(x) for x in numbers), F.max("last_read_at").alias("last_read_at"))
 
 
 def registry_counts(sources: DataFrame) -> DataFrame:

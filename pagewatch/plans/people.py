@@ -32,26 +32,26 @@ def country(key):
 
 
 def _roles(spark, d):
-    """Two roles a case, of every tenth customer: words of parts' names and types."""
-    cases = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("case_id"), F.posexplode(F.array(F.col("c_custkey"), F.col("c_custkey") + 7)).alias("pos", "p_partkey"))
+    """Two roles a case: words of parts' names and types."""
+    cases = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.posexplode(F.array(F.col("c_custkey"), F.col("c_custkey") + 7)).alias("pos", "p_partkey"))
     return cases.join(table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" workers")).alias("role")), "p_partkey").select("case_id", "pos", "role")
 
 
 def _occupations(spark, d):
-    return table(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("occupation_id"), country("p_partkey").alias("country"), F.concat("p_name", F.lit("s and related "), F.lower("p_type"), F.lit(" operators")).alias("title"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("occupation_id"), country("p_partkey").alias("country"), F.concat("p_name", F.lit("s and related "), F.lower("p_type"), F.lit(" operators")).alias("title"))
 
 
-_BASE = f"""r AS (SELECT c_custkey AS case_id, pos, p_name || ' workers' AS role FROM (SELECT c_custkey, 0 AS pos, c_custkey AS p FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, 1, c_custkey + 7 FROM customer WHERE c_custkey % 10 = 0) JOIN part ON p_partkey = p),
-    o AS (SELECT p_partkey AS occupation_id, {_COUNTRY.format('p_partkey')} AS country, p_name || 's and related ' || lower(p_type) || ' operators' AS title FROM part WHERE p_partkey % 7 = 0)"""
+_BASE = f"""r AS (SELECT c_custkey AS case_id, pos, p_name || ' workers' AS role FROM (SELECT c_custkey, 0 AS pos, c_custkey AS p FROM customer UNION ALL SELECT c_custkey, 1, c_custkey + 7 FROM customer) JOIN part ON p_partkey = p),
+    o AS (SELECT p_partkey AS occupation_id, {_COUNTRY.format('p_partkey')} AS country, p_name || 's and related ' || lower(p_type) || ' operators' AS title FROM part)"""
 
 
 def _ws(name: str, src: str) -> str:
     return f"{name} AS (WITH src AS ({src}) {ROLE_SQL})"
 
 
-_MATCH = f"""{_BASE}, {_ws('rw', "SELECT case_id || '|' || pos || '|' || role AS k, role AS t FROM r")}, {_ws('ow', "SELECT occupation_id AS k, title AS t FROM o")},
-    s AS (SELECT split_part(rw.k, '|', 1)::BIGINT AS case_id, split_part(rw.k, '|', 2)::INT AS pos, split_part(rw.k, '|', 3) AS role, ow.k AS occupation_id, len(list_intersect(rw.ws, ow.ws)) AS n FROM rw, ow),
-    b AS (SELECT case_id, occupation_id, max(n) AS strength, arg_min(role, (-n, pos)) AS because FROM s WHERE n > 0 GROUP BY ALL)"""
+_MATCH = f"""{_BASE}, {_ws('rw', "SELECT DISTINCT role AS k, role AS t FROM r")}, {_ws('ow', "SELECT DISTINCT title AS k, title AS t FROM o")},
+    s AS (SELECT * FROM (SELECT rw.k AS role, ow.k AS title, len(list_intersect(rw.ws, ow.ws)) AS n FROM rw, ow) WHERE n > 0),
+    b AS (SELECT case_id, occupation_id, max(n) AS strength, arg_min(role, (-n, pos)) AS because FROM r JOIN s USING (role) JOIN o USING (title) GROUP BY ALL)"""
 
 
 @query(f"WITH {_MATCH} SELECT case_id, occupation_id, title, strength FROM b JOIN o USING (occupation_id)")
@@ -65,14 +65,14 @@ def match_listings(spark, d):
     return M.match_listings(_roles(spark, d), listings).select("case_id", "listing_id", "because", "strength", "place")
 
 
-@query(f"""WITH m AS (SELECT c_custkey AS case_id, n AS place, p FROM customer, (SELECT unnest(range(3)) AS n), LATERAL (SELECT ['F', 'O', 'P'][1 + (c_custkey + n) % 3] AS p) WHERE c_custkey % 50 = 0),
-    l AS (SELECT o_orderkey AS listing_id, o_orderstatus AS p FROM orders WHERE o_custkey % 40 = 1), f AS (SELECT case_id, place, listing_id, m.p FROM m JOIN l USING (p) QUALIFY row_number() OVER (PARTITION BY case_id, m.p ORDER BY listing_id) <= 25)
+@query(f"""WITH m AS (SELECT c_custkey AS case_id, n AS place, p FROM customer, (SELECT unnest(range(3)) AS n), LATERAL (SELECT ['F', 'O', 'P'][1 + (c_custkey + n) % 3] AS p)),
+    l AS (SELECT o_orderkey AS listing_id, o_orderstatus AS p FROM orders), f AS (SELECT case_id, place, listing_id, m.p FROM m JOIN l USING (p) QUALIFY row_number() OVER (PARTITION BY case_id, m.p ORDER BY listing_id) <= 25)
     SELECT case_id, listing_id, p AS occupation FROM f QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY place, listing_id) <= 60""")
 def listings_for(spark, d):
-    cases = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("case_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("place"))
+    cases = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("place"))
     occupation = F.element_at(F.array(*map(F.lit, "FOP")), ((F.col("case_id") + F.col("place")) % 3 + 1).cast("int"))
     matched = cases.select("case_id", "place", F.lit("CA").alias("country"), occupation.alias("occupation"))
-    listings = table(spark, d, "orders").where("o_custkey % 40 = 1").select(F.col("o_orderkey").alias("listing_id"), F.lit("CA").alias("country"), F.col("o_orderstatus").alias("occupation"))
+    listings = table(spark, d, "orders").select(F.col("o_orderkey").alias("listing_id"), F.lit("CA").alias("country"), F.col("o_orderstatus").alias("occupation"))
     return M.listings_for(matched, listings)
 
 
@@ -86,15 +86,16 @@ def eligible_work(spark, d):
 _LEVELS = ("bachelors", "masters", "doctorate")
 
 
-@query(f"""WITH {_BASE}, c AS (SELECT p_partkey AS course_id, {_COUNTRY.format('p_partkey')} AS country, ([{quoted(_LEVELS)}])[1 + p_partkey % 3] AS level, p_brand AS institution, p_name AS title FROM part WHERE p_partkey % 4 = 0),
-    k AS (SELECT c_custkey AS case_id, CASE c_custkey % 3 WHEN 0 THEN 'masters' WHEN 1 THEN 'doctorate' ELSE 'bachelors' END AS level FROM customer WHERE c_custkey % 5 = 0),
-    {_ws('rw', "SELECT case_id AS k, role AS t FROM r WHERE role <> ''")}, {_ws('cw', "SELECT course_id AS k, title AS t FROM c")},
-    t AS (SELECT DISTINCT k.case_id, c.country, lower(institution || '|' || title) AS key FROM k JOIN c USING (level) LEFT JOIN rw ON rw.k = k.case_id LEFT JOIN cw ON cw.k = course_id WHERE rw.k IS NULL OR list_has_any(rw.ws, cw.ws))
+@query(f"""WITH {_BASE}, c AS (SELECT p_partkey AS course_id, {_COUNTRY.format('p_partkey')} AS country, ([{quoted(_LEVELS)}])[1 + p_partkey % 3] AS level, p_brand AS institution, p_name AS title FROM part),
+    k AS (SELECT c_custkey AS case_id, CASE c_custkey % 3 WHEN 0 THEN 'masters' WHEN 1 THEN 'doctorate' ELSE 'bachelors' END AS level FROM customer),
+    {_ws('rw', "SELECT DISTINCT role AS k, role AS t FROM r WHERE role <> ''")}, {_ws('cw', "SELECT DISTINCT title AS k, title AS t FROM c")}, p AS (SELECT rw.k AS role, cw.k AS title FROM rw, cw WHERE list_has_any(rw.ws, cw.ws)),
+    t AS (SELECT DISTINCT k.case_id, c.country, lower(institution || '|' || c.title) AS key FROM k JOIN (SELECT DISTINCT case_id, title FROM r JOIN p USING (role)) USING (case_id) JOIN c USING (level, title)
+    UNION SELECT DISTINCT k.case_id, c.country, lower(institution || '|' || c.title) FROM k JOIN c USING (level) WHERE k.case_id NOT IN (SELECT case_id FROM r WHERE role <> ''))
     SELECT case_id, country, count(*) AS n_reasons FROM t GROUP BY ALL""")
 def eligible_study(spark, d):
-    courses = table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("course_id"), country("p_partkey").alias("country"), F.element_at(F.array(*map(F.lit, _LEVELS)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("level"), F.col("p_brand").alias("institution"), F.col("p_name").alias("title"))
+    courses = table(spark, d, "part").select(F.col("p_partkey").alias("course_id"), country("p_partkey").alias("country"), F.element_at(F.array(*map(F.lit, _LEVELS)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("level"), F.col("p_brand").alias("institution"), F.col("p_name").alias("title"))
     held = F.element_at(F.array(*map(F.lit, ("Bachelors", "masters", "unheard of"))), (F.col("c_custkey") % 3 + 1).cast("int"))
-    cases = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("case_id"), M.next_level(held).alias("level"))
+    cases = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), M.next_level(held).alias("level"))
     return M.eligible_study(cases, _roles(spark, d), courses)
 
 
@@ -132,10 +133,10 @@ def compare_sets(spark, d):
 
 def _watches(spark, d):
     lane = F.when(F.col("c_custkey") % 2 == 0, "work").otherwise("study")
-    return table(spark, d, "customer").where("c_custkey % 25 = 0").select(F.col("c_custkey").alias("case_id"), country("c_custkey").alias("country"), lane.alias("lane"), F.lit("2000-01-01").cast("timestamp").alias("mark"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), country("c_custkey").alias("country"), lane.alias("lane"), F.lit("2000-01-01").cast("timestamp").alias("mark"))
 
 
-@query(f"""WITH w AS (SELECT c_custkey AS case_id, {_COUNTRY.format('c_custkey')} AS country, CASE WHEN c_custkey % 2 = 0 THEN 'work' ELSE 'study' END AS lane FROM customer WHERE c_custkey % 25 = 0),
+@query(f"""WITH w AS (SELECT c_custkey AS case_id, {_COUNTRY.format('c_custkey')} AS country, CASE WHEN c_custkey % 2 = 0 THEN 'work' ELSE 'study' END AS lane FROM customer),
     o AS (SELECT *, {_COUNTRY.format('o_custkey')} AS country FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01'),
     e AS (SELECT case_id, 'rule' AS kind, o_orderkey AS k, o_orderdate AS happened FROM w JOIN o USING (country) WHERE o_orderstatus = 'F' AND lane = CASE WHEN o_orderkey % 2 = 0 THEN 'work' ELSE 'study' END
     UNION ALL SELECT case_id, CASE WHEN lane = 'work' THEN 'occupation' ELSE 'institution' END, o_orderkey, o_orderdate FROM w JOIN o USING (country) WHERE CASE WHEN lane = 'work' THEN o_orderstatus = 'O' ELSE o_orderstatus = 'P' END
@@ -230,7 +231,8 @@ def coverage_score(spark, d):
     return P.coverage_score(orders, matches, ("5-LOW",))
 
 
-@query(f"""SELECT c_custkey AS institution_id, {_COUNTRY.format('c_custkey')} AS country, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE c_acctbal END DESC, c_name, c_custkey)::INT AS rank FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 4 <> 1""")
+@query(f"""WITH r AS (SELECT c_custkey AS institution_id, {_COUNTRY.format('c_custkey')} AS country, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE c_acctbal END DESC, c_name, c_custkey)::INT AS rank FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 4 <> 1)
+    SELECT *, row_number() OVER (ORDER BY rank, country)::INT AS place FROM r""")
 def reading_order(spark, d):
     key = F.col("c_custkey")
     routes = F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 4 == 1, F.array(F.lit("Child Student"))).otherwise(F.array(F.lit("Child Student"), F.lit("Student")))

@@ -133,7 +133,7 @@ def check_citations(spark, d):
     events = table(spark, d, "events").withColumn("page_id", F.col("user_id") % 10)
     lines = events.select("event_id", "page_id", F.array(*((F.col("event_id") + k).cast("string") for k in (-10, -5, 1))).alias("cites"))
     known = events.select("page_id", F.col("event_id").cast("string").alias("requirement_id"))
-    return Q.check_citations(lines, known).select("event_id", F.size("cites").cast("long").alias("n_cites"), "kept")
+    return Q.check_citations(lines, known, key="event_id").select("event_id", F.size("cites").cast("long").alias("n_cites"), "kept")
 
 
 @query("""WITH m AS (SELECT o_custkey % 50 AS case_id, o_orderkey % 90 AS requirement_id, o_orderkey % 17 AS field_id FROM orders), w AS (SELECT *, CASE WHEN requirement_id >= 70 THEN 'no such requirement' WHEN field_id >= 10 THEN 'no such field was uploaded' END AS why FROM m),

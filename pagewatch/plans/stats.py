@@ -37,12 +37,19 @@ def _orders(spark, d):
     return table(spark, d, "orders").select(F.concat(F.lit("N"), (F.col("o_custkey") % 25).cast("string")).alias("country"), F.when(key % 3 == 0, "study").when(key % 3 == 1, "work").otherwise("living").alias("lane"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("retired_at"), F.when(key % 4 != 0, key % 2 == 0).alias("material"))
 
 
-@query(f"""WITH {_SOURCES}, {_ORDERS}, a AS (SELECT country, count(*) AS pages, count(*) FILTER (lane = 'study') AS study_pages, count(*) FILTER (lane = 'work') AS work_pages, count(*) FILTER (blocked = 'robots_disallowed') AS robots_blocked, max(last_read_at) AS last_read_at FROM s GROUP BY 1),
-    b AS (SELECT country, count(*) FILTER (retired_at IS NULL AND lane IN ('study', 'work')) AS requirements, count(*) AS changes, count(*) FILTER (material) AS material FROM o GROUP BY 1)
-    SELECT coalesce(country, 'all') AS country, sum(pages)::BIGINT AS pages, sum(study_pages)::BIGINT AS study_pages, sum(work_pages)::BIGINT AS work_pages, sum(robots_blocked)::BIGINT AS robots_blocked, sum(coalesce(requirements, 0))::BIGINT AS requirements, sum(coalesce(changes, 0))::BIGINT AS changes, sum(coalesce(material, 0))::BIGINT AS material, max(last_read_at) AS last_read_at FROM a LEFT JOIN b USING (country) GROUP BY ROLLUP (country)""")
+@query(f"""WITH {_SOURCES}, {_ORDERS}, n AS (SELECT 'N' || n_nationkey AS country, n_nationkey % 3 = 0 AS daily FROM nation UNION ALL SELECT 'N90', true), x AS (SELECT * FROM s WHERE country <> 'N3'),
+    t AS (SELECT country, daily::INT AS daily, (SELECT count(*) FROM x WHERE x.country = n.country) AS pages, (SELECT count(*) FROM x WHERE x.country = n.country AND lane = 'study') AS study_pages, (SELECT count(*) FROM x WHERE x.country = n.country AND lane = 'work') AS work_pages,
+        (SELECT count(*) FROM x WHERE x.country = n.country AND lane = 'living') AS living_pages, (SELECT count(*) FROM x WHERE x.country = n.country AND blocked = 'robots_disallowed') AS robots_blocked, (SELECT count(*) FROM o WHERE o.country = n.country AND retired_at IS NULL AND lane IN ('study', 'work')) AS requirements,
+        (SELECT count(*) FROM o WHERE o.country = n.country) AS changes, (SELECT count(*) FROM o WHERE o.country = n.country AND material) AS material, (SELECT count(*) FROM o WHERE o.country = n.country AND lane <> 'living') AS articles, (SELECT max(last_read_at) FROM x WHERE x.country = n.country) AS last_read_at FROM n)
+    SELECT coalesce(country, 'all') AS country, {", ".join(f"sum({k})::BIGINT AS {k}" for k in ("daily", "pages", "study_pages", "work_pages", "living_pages", "robots_blocked", "requirements", "changes", "material", "articles"))}, max(last_read_at) AS last_read_at FROM t GROUP BY ROLLUP (country)""")
 def source_stats(spark, d):
     own = _orders(spark, d)
-    return S.source_stats(_sources(spark, d), own, own).withColumn("country", F.coalesce("country", F.lit("all")))
+    nations = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("country"), (F.col("n_nationkey") % 3 == 0).alias("daily"))
+    countries = nations.union(nations.agg(F.lit("N90").alias("country"), F.lit(True).alias("daily")))
+    # One country has no sources, and one has nothing at all.
+    sources = _sources(spark, d).where("country <> 'N3'")
+    articles = own.select("country", (F.col("lane") == "living").alias("hidden"))
+    return S.source_stats(sources, own, own, articles, countries).withColumn("country", F.coalesce("country", F.lit("all")))
 
 
 @query(f"WITH {_SOURCES} SELECT count(*) AS total, count(*) FILTER (blocked IS NULL AND unverified_reason IS NULL) AS readable, count(blocked) AS blocked, count(unverified_reason) AS unverified, count(DISTINCT kind) AS kinds, count(DISTINCT country) AS countries FROM s")
@@ -107,11 +114,11 @@ def live_feed(spark, d):
 _TERMS = ", ".join(f"('{k}', '{t}')" for k, terms in S.DOCUMENT_TERMS.items() for t in terms)
 
 
-@query(f"""WITH t(kind, term) AS (VALUES {_TERMS}), r AS (SELECT doc_id, lower(left(text, 100) || CASE doc_id % 5 WHEN 0 THEN ' A Passport or travel document' WHEN 1 THEN ' police certificate and degree' WHEN 2 THEN ' job offer from an employer' ELSE '' END || ' ' || coalesce(source, '')) AS h FROM documents)
+@query(f"""WITH t(kind, term) AS (VALUES {_TERMS}), r AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' A Passport or travel document' WHEN 1 THEN ' police certificate and degree' WHEN 2 THEN ' job offer from an employer' ELSE '' END || ' ' || coalesce(source, '')) AS h FROM documents)
     SELECT kind, count(DISTINCT doc_id) AS n FROM (SELECT DISTINCT kind FROM t) LEFT JOIN (SELECT kind, doc_id FROM r JOIN t ON contains(h, term)) USING (kind) GROUP BY 1""")
 def document_worth(spark, d):
     more = F.element_at(F.array(*map(F.lit, (" A Passport or travel document", " police certificate and degree", " job offer from an employer", "", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return S.document_worth(table(spark, d, "documents").select(F.concat(F.left("text", F.lit(100)), more).alias("text"), F.col("source").alias("quote")))
+    return S.document_worth(table(spark, d, "documents").select(F.concat(F.coalesce("text", F.lit("")), more).alias("text"), F.col("source").alias("quote")))
 
 
 @query(r"""SELECT lang, count(*) AS requirements, count(*) FILTER (regexp_matches(text, '\d')) AS concrete, count(*) FILTER (doc_id % 3 = 0) AS costed, count(*) FILTER (doc_id % 4 = 0) AS timed, round_even(count(*) FILTER (regexp_matches(text, '\d')) * 100 / count(*), 0)::INT AS share FROM documents GROUP BY 1""")
@@ -134,14 +141,14 @@ def yearly_peak(spark, d):
     return S.yearly_peak(months)
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 25 = 3 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def recent_changes(spark, d):
-    return S.newest(table(spark, d, "orders").where("o_orderstatus <> 'P' and o_custkey % 25 = 3").select("o_orderkey", "o_orderdate"), "o_orderdate", 20, "o_orderkey")
+    return S.newest(table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderdate"), "o_orderdate", 20, "o_orderkey")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE lang <> 'de' ORDER BY n_chars DESC, doc_id LIMIT 30")
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30")
 def recent_articles(spark, d):
-    return S.newest(table(spark, d, "documents").where("lang <> 'de'").select("doc_id", "n_chars"), "n_chars", 30, "doc_id")
+    return S.newest(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 30, "doc_id")
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 25")

@@ -32,7 +32,7 @@ SUMMARIES = ("Ebola screening extended for travellers at borders", "Ebola screen
 def _changes(spark, d):
     key = F.col("event_id")
     summary = F.element_at(F.array(*map(F.lit, SUMMARIES)), (key % 4 + 1).cast("int"))
-    return table(spark, d, "events").where("event_id % 20 < 4").select(key.alias("change_id"), (F.col("user_id") % 5).alias("country"), F.concat(F.lit("u"), key.cast("string")).alias("source_url"), summary.alias("summary"), F.col("ts").alias("after_read_at"), (key % 40 < 20).alias("material"))
+    return table(spark, d, "events").select(key.alias("change_id"), (F.col("user_id") % 5).alias("country"), F.concat(F.lit("u"), key.cast("string")).alias("source_url"), summary.alias("summary"), F.col("ts").alias("after_read_at"), (key % 40 < 20).alias("material"))
 
 
 @query("""SELECT p_partkey, p_partkey % 4 < 2 AS same FROM part""")
@@ -41,7 +41,7 @@ def same_story(spark, d):
     return table(spark, d, "part").select("p_partkey", S.T.same_story(T.story_stems(F.lit(SUMMARIES[0])), T.story_stems(other)).alias("same"))
 
 
-_GROUPS = "c AS (SELECT event_id, user_id % 5 AS country, ts, ts::DATE AS day, CASE WHEN event_id % 4 < 2 THEN 0 ELSE event_id % 4 END AS kind FROM events WHERE event_id % 20 < 4)"
+_GROUPS = "c AS (SELECT event_id, user_id % 5 AS country, ts, ts::DATE AS day, CASE WHEN event_id % 4 < 2 THEN 0 ELSE event_id % 4 END AS kind FROM events)"
 
 
 @query(f"WITH {_GROUPS} SELECT event_id AS change_id, first_value(event_id) OVER (PARTITION BY country, day, kind ORDER BY ts, event_id) AS story FROM c")
@@ -81,11 +81,11 @@ def voice_gate(spark, d):
     return S.voice_gate(own).withColumn("hits", joined("hits"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_custkey % 7 * 2 + o_orderkey % 5 + o_custkey % 2 AS weight FROM orders WHERE o_custkey % 30 = 1),
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_custkey % 7 * 2 + o_orderkey % 5 + o_custkey % 2 AS weight FROM orders),
     l AS (SELECT arg_max(id, (weight, day, id)) AS lead FROM a WHERE day >= (SELECT max(day) FROM a) - 30)
     SELECT id AS article_id, weight, row_number() OVER (ORDER BY id <> lead, day DESC, id)::INT AS place FROM a, l""")
 def lead_first(spark, d):
-    own = table(spark, d, "orders").where("o_custkey % 30 = 1").select(F.col("o_orderkey").alias("article_id"), F.to_date("o_orderdate").alias("observed_on"), (F.col("o_custkey") % 7).alias("groups"), (F.col("o_orderkey") % 5).alias("conditions"), (F.col("o_custkey") % 2).alias("dates"))
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.to_date("o_orderdate").alias("observed_on"), (F.col("o_custkey") % 7).alias("groups"), (F.col("o_orderkey") % 5).alias("conditions"), (F.col("o_custkey") % 2).alias("dates"))
     return S.lead_first(own, 30).select("article_id", "weight", "place")
 
 

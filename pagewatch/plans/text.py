@@ -105,9 +105,9 @@ def source_id(spark, d):
     return table(spark, d, "pages").select("page_id", T.source_id(F.lit("GB"), F.lit("study"), "url").alias("source_id"))
 
 
-@query("WITH x AS (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 70), '-+$', '') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'article' ELSE s END AS slug FROM x")
+@query("WITH x AS (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 70), '-+$', '') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'article' ELSE s END AS slug FROM x")
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slugify(F.left("text", F.lit(200))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify("text").alias("slug"))
 
 
 @query(f"SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower('The University of ' || p_name || ' at ' || p_brand), '[a-z0-9]+'), lambda x: x NOT IN ({quoted(W.SCHOOL_NOISE)})), '-') AS slug FROM part")
@@ -182,7 +182,7 @@ def search_queries(spark, d):
     return table(spark, d, "part").select("p_partkey", joined(T.search_queries(title)).alias("asked"))
 
 
-_SIGNALS = ", ".join(f"('{k}', '{p}', {w})" for k, p, w in W.kind_signals())
+_SIGNALS = ", ".join(f"('{k}', '{p}', {w})" for k, own in W.KIND_SIGNALS.items() for p, w in own)
 _DETECT = f"""WITH s(kind, phrase, weight) AS (VALUES {_SIGNALS}), x AS (SELECT doc_id, lower(text || CASE doc_id % 5 WHEN 0 THEN ' passport no 1, issuing authority X, nationality' WHEN 1 THEN ' bachelor of arts conferred, academic record, gpa'
         WHEN 2 THEN ' opening balance 1 closing balance 2' ELSE '' END) AS t FROM documents),
     k AS (SELECT doc_id, kind, sum(weight)::INT AS score FROM x JOIN s ON contains(t, phrase) GROUP BY ALL),
