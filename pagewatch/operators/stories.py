@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from pagewatch.functions import text as T
 from pagewatch.functions import words as W
@@ -24,36 +27,63 @@ def _stems(text: str) -> set[str]:
 
 def alike(a: set[str], b: set[str], threshold: float = 0.35) -> bool:
     shared = a & b
-    return bool(shared) and any(len(w) >= 4 and w not in W.STORY_GENERIC for w in shared) and len(shared) / min(len(a), len(b)) >= threshold
+    return bool(shared) and any(map(_telling, shared)) and len(shared) / min(len(a), len(b)) >= threshold
+
+
+def _telling(stem: str) -> bool:
+    return len(stem) >= 4 and stem not in W.STORY_GENERIC
+
+
+class Stories:
+    """Groups of changes in the order they began. A change joins the first one that has its page or tells the same story.
+
+    Groups are looked up by page and by telling stems, of which alike() needs one in common, so that a change meets only those that may be its.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.first: list[object] = []
+        self.stems: list[set[str]] = []
+        self.by_url: dict[object, int] = {}
+        self.by_stem: dict[str, set[int]] = defaultdict(set)
+
+    def add(self, change: object, url: object, summary: str | None) -> object:
+        own = _stems(summary or "")
+        near = set().union(*(self.by_stem[x] for x in own if x in self.by_stem and _telling(x)))
+        if url in self.by_url:
+            near.add(self.by_url[url])
+        k = next((k for k in sorted(near) if self.by_url.get(url) == k or alike(self.stems[k], own, self.threshold)), len(self.first))
+        if k == len(self.first):
+            self.first.append(change)
+            self.stems.append(set())
+        for stem in own - self.stems[k]:
+            self.by_stem[stem].add(k)
+        self.stems[k] |= own
+        self.by_url[url] = min(k, self.by_url.get(url, k))
+        return self.first[k]
 
 
 def cluster_changes(changes: DataFrame, threshold: float = 0.35) -> DataFrame:
     """changes (change_id, country, source_url, summary, after_read_at) with story: the first change of the group.
 
     By read time, a change joins the first group of its country and day with the same page or the same story. That depends on the
-    order, so that a country's day is one group in a task: a day's changes of a country bound it.
+    order: a country's day streams through a task, row by row, which holds its groups' stems and no rows. More countries and days are
+    more tasks. A null summary has no stems.
     """
     own = changes.select("change_id", "country", "source_url", "summary", "after_read_at", F.to_date("after_read_at").alias("day"))
+    schema = types.StructType([*own.schema.fields, types.StructField("story", own.schema["change_id"].dataType)])
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["after_read_at", "change_id"], kind="stable")
-        groups: list[tuple[str, set, set]] = []
-        story = []
-        for i, url, summary in zip(pdf["change_id"], pdf["source_url"], pdf["summary"], strict=True):
-            own = _stems(summary or "")
-            for first, urls, stems in groups:
-                if url in urls or alike(stems, own, threshold):
-                    urls.add(url)
-                    stems |= own
-                    break
-            else:
-                groups.append((first := i, {url}, own))
-            story.append(first)
-        return pdf.assign(story=story)
-
-    kind = changes.schema["change_id"].dataType.simpleString()
-    schema = f"change_id {kind}, country {changes.schema['country'].dataType.simpleString()}, source_url {changes.schema['source_url'].dataType.simpleString()}, summary string, after_read_at timestamp, day date, story {kind}"
-    return own.groupBy("country", "day").applyInPandas(group, schema)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, groups = None, Stories(threshold)
+        for batch in batches:
+            story = []
+            for country, day, change, url, summary in zip(*(batch[k].to_pylist() for k in ("country", "day", "change_id", "source_url", "summary")), strict=True):
+                if (country, day) != at:
+                    at, groups = (country, day), Stories(threshold)
+                story.append(groups.add(change, url, summary))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(story, batch["change_id"].type)], names=[*batch.schema.names, "story"])
+
+    return own.repartition("country", "day").sortWithinPartitions("country", "day", "after_read_at", "change_id").mapInArrow(stream, schema)
 
 
 def pending_stories(changes: DataFrame, done: DataFrame, articles: DataFrame, now: Column, days: int, threshold: float = 0.35) -> DataFrame:
@@ -124,12 +154,19 @@ def stale_guides(candidates: DataFrame, guides: DataFrame) -> DataFrame:
 
 
 def merge_requirements(requirements: DataFrame) -> DataFrame:
-    """category, text, requirement_id, source_url, also: one row per folded text of a category, the newest read, and the other pages that say it."""
+    """category, text, requirement_id, source_url, n_pages: one row per folded text of a category, the newest read, and how many pages say it."""
     own = requirements.withColumn("_k", T.fold_ci("text"))
-    # One row per page before pages are gathered.
+    # One row per page before pages are counted.
     pages = own.groupBy("category", "_k", "source_url").agg(F.max(F.struct("read_at", "requirement_id", "text")).alias("r"))
-    merged = pages.groupBy("category", "_k").agg(F.max_by(F.struct("r", "source_url"), F.struct("r", "source_url")).alias("p"), F.sort_array(F.collect_set("source_url")).alias("urls"))
-    return merged.select("category", "p.r.text", "p.r.requirement_id", "p.source_url", F.array_except("urls", F.array("p.source_url")).alias("also"))
+    merged = pages.groupBy("category", "_k").agg(F.max_by(F.struct("r", "source_url"), F.struct("r", "source_url")).alias("p"), F.count("source_url").alias("n_pages"))
+    return merged.select("category", "p.r.text", "p.r.requirement_id", "p.source_url", "n_pages")
+
+
+def also_said(requirements: DataFrame, merged: DataFrame) -> DataFrame:
+    """requirement_id (of a merged row) and also: each other page that says it, a row each, so that a sentence on very many pages is no long list."""
+    key = [F.col("category"), T.fold_ci("text").alias("_k")]
+    own = requirements.where("source_url is not null").select(*key, F.col("source_url").alias("also")).distinct()
+    return own.join(merged.select(*key, "requirement_id", "source_url"), ["category", "_k"]).where(~F.col("also").eqNullSafe(F.col("source_url"))).select("requirement_id", "also")
 
 
 def lane_requirements(requirements: DataFrame, lane: str, categories: tuple[str, ...] = W.CATEGORIES, near: DataFrame | None = None) -> DataFrame:
@@ -141,34 +178,54 @@ def lane_requirements(requirements: DataFrame, lane: str, categories: tuple[str,
     return own.withColumn("rank", F.when(known > 0, known).otherwise(len(categories) + 1))
 
 
-def index_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, word, field (t, s, b) of documents (doc_id, title, summary, body): the table that searches read."""
-    each = [docs.select("doc_id", F.explode(T.search_words(x)).alias("word"), F.lit(f).alias("field")) for x, f in (("title", "t"), ("summary", "s"), ("body", "b"))]
-    return each[0].union(each[1]).union(each[2])
+#: Letters from which a search word stands for all words that begin with it; the index is grouped by as many.
+PREFIX = 4
+POINTS = {"t": 5, "s": 2, "b": 1}
 
 
-def search(docs: DataFrame, query: str, most: int = 40) -> DataFrame:
-    """doc_id, score, date of documents that have all of a query's words (eight at most): prefixes of four letters and more, else whole words.
+def index_documents(docs: DataFrame) -> DataFrame:
+    """stem, word, doc_id, points, guide, date of documents (doc_id, kind, date, title, summary, body): the table that searches read.
 
-    A title counts 5, a summary 2, a body 1, a guide 1 more. The limit is the feature.
+    A row for each word of a document and each part that has it; stem is a word's first PREFIX letters. Stored sorted by stem and word, a search
+    reads the few row groups of its words.
     """
+
+    def part(column: str, points: int) -> Column:
+        return F.transform(F.array_distinct(T.search_words(column)), lambda w: F.struct(w.alias("word"), F.lit(points).alias("points")))
+
+    words = F.explode(F.concat(*(part(x, POINTS[f]) for x, f in (("title", "t"), ("summary", "s"), ("body", "b")))))
+    own = docs.select("doc_id", (F.col("kind") == "guide").cast("int").alias("guide"), "date", words.alias("w"))
+    return own.select(F.substring("w.word", 1, PREFIX).alias("stem"), "w.word", "doc_id", "w.points", "guide", "date").where("word <> ''")
+
+
+def search_terms(query: str) -> list[str]:
     import unicodedata
 
     plain = unicodedata.normalize("NFKD", query).encode("ascii", "ignore").decode().lower()
-    terms = [w for w in re.findall(r"[a-z0-9]+", plain) if w not in W.SEARCH_STOP][:8]
-    if not terms:
-        return docs.select("doc_id", F.lit(0).alias("score"), "date").where(F.lit(False))
-    words = {f: T.search_words(x) for x, f in (("title", "t"), ("summary", "s"), ("body", "b"))}
-    own = docs.select("doc_id", "kind", "date", *(v.alias(k) for k, v in words.items()))
-
-    def begins(field: str, w: str) -> Column:
-        return F.exists(F.col(field), lambda x: x.startswith(w))
-
-    score = (F.col("kind") == "guide").cast("int")
-    every = F.lit(True)
-    for w in terms:
-        has = [begins(f, w) if len(w) >= 4 else F.array_contains(F.col(f), w) for f in "tsb"]
-        every = every & (has[0] | has[1] | has[2])
-        for f, points in (("t", 5), ("s", 2), ("b", 1)):
-            score = score + F.when(begins(f, w), points).otherwise(0)
-    return own.where(every).select("doc_id", score.alias("score"), "date").orderBy(F.desc("score"), F.desc("date"), "doc_id").limit(most)
+    return [w for w in re.findall(r"[a-z0-9]+", plain) if w not in W.SEARCH_STOP][:8]
+
+
+def search(docs: DataFrame, query: str, most: int = 40) -> DataFrame:
+    """search_index over documents without a stored index: each is read."""
+    return search_index(index_documents(docs), query, most)
+
+
+def search_index(index: DataFrame, query: str, most: int = 40) -> DataFrame:
+    """doc_id, score, date of documents that have all of a query's words (eight at most): prefixes of four letters and more, else whole words.
+
+    index: index_documents' rows, as stored; only those that begin like a word of the query are read. A title counts 5, a summary 2, a body 1, each
+    by prefix and once a word, and a guide 1 more. The limit is the feature.
+    """
+    terms = search_terms(query)
+    begins = [F.col("word").startswith(w) for w in terms]
+    rows = F.lit(False)
+    for w, b in zip(terms, begins, strict=True):
+        rows = rows | ((F.col("stem") == w[:PREFIX]) & b if len(w) >= PREFIX else F.col("stem").startswith(w) & b)
+    own = index.where(rows)
+    every, score = F.lit(bool(terms)), F.max("guide")
+    for w, b in zip(terms, begins, strict=True):
+        every = every & F.bool_or(b if len(w) >= PREFIX else F.col("word") == w)
+        for points in POINTS.values():
+            score = score + F.when(F.bool_or(b & (F.col("points") == points)), points).otherwise(0)
+    found = own.groupBy("doc_id").agg(score.alias("score"), F.max("date").alias("date"), every.alias("_every"))
+    return found.where("_every").select("doc_id", "score", "date").orderBy(F.desc("score"), F.desc("date"), "doc_id").limit(most)

@@ -80,10 +80,13 @@ def text_diff(spark, d):
     return _two_days(spark, d).select("page_id", C.text_diff(T.page_text("old"), T.page_text("now")).alias("d")).select("page_id", "d.added", "d.removed")
 
 
-@query("SELECT doc_id, text AS removed, text || ' more' AS added FROM documents WHERE NOT contains(text, chr(10)) AND trim(text) = text AND NOT starts_with(text, '-') AND NOT starts_with(text, '+')")
+@query("""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '--')), lambda x: trim(x)), chr(10)) AS removed,
+    array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x || ' more')), chr(10)) AS added FROM documents WHERE text IS NOT NULL""")
 def changed_sides(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").contains("\n") & (F.trim("text") == F.col("text")) & ~F.col("text").rlike("^[-+]"))
-    diff = F.concat(F.lit("--- \n+++ \n@@ -1 +1 @@\n-"), "text", F.lit("\n same\n+ "), "text", F.lit(" more"))
+    docs = table(spark, d, "documents").where("text is not null")
+    lines = F.split("text", "\n")
+    gone, come = F.transform(lines, lambda x: F.concat(F.lit("-"), x)), F.transform(lines, lambda x: F.concat(F.lit("+ "), x, F.lit(" more")))
+    diff = F.array_join(F.concat(F.array(F.lit("--- "), F.lit("+++ "), F.lit("@@ -1 +1 @@")), gone, F.array(F.lit(" same")), come), "\n")
     removed, added = C.changed_sides(diff)
     return docs.select("doc_id", removed.alias("removed"), added.alias("added"))
 

@@ -171,9 +171,9 @@ def voice_hits(spark, d):
     return table(spark, d, "documents").select("doc_id", joined(T.voice_hits(F.concat(F.coalesce("text", F.lit("")), more))).alias("hits"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '', 'g'), '(\+?\d[\d\-\s().]{7,}\d)', '', 'g'), '^[ ,;·-]+|[ ,;·-]+$', '', 'g')) AS clean FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\p{L}\p{M}\p{N}_.+-]+@[\p{L}\p{M}\p{N}_-]+\.[\p{L}\p{M}\p{N}_.-]+', '', 'g'), '(\+?\d[\d\-\s().]{7,}\d)', '', 'g'), '^[ ,;·-]+|[ ,;·-]+$', '', 'g')) AS clean FROM documents")
 def strip_contacts(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.strip_contacts("text")).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_contacts("text")).alias("clean"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ', ' || p_type || '|' || p_name ELSE p_name END AS asked FROM part")
