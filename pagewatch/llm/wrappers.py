@@ -432,7 +432,7 @@ def reading(wrapper: Node) -> dict:
     The main part is an article (or what is marked as main) that half of the pages have and that holds a fifth of the varying text, or of all, at least, the
     one with most of it. Without one it is found from the top: the part that holds three fifths of the varying text, as long as there is one
     and no heading that varies stands beside it. On a host whose pages agree in all, or of one page, all text counts.
-    Outside of articles, the main part's own parts of which every page has all blocks are template, if most of the main part's text varies.
+    Outside of articles, the main part's own parts of which every page has all blocks are template, unless they are most of a page's text.
     """
     wrapper = resolve(wrapper)
     pages = max(wrapper[PAGES], 1)
@@ -478,8 +478,7 @@ def reading(wrapper: Node) -> dict:
                 spare(x, here)
 
     spare(node, main)
-    varies = not sure and not every and pages > 1 and 2 * _varying(node, False, inside, marks=False) >= _varying(node, True, inside, marks=False)
-    return {"main": main, "article": inside, "spared": spared, "template": varies}
+    return {"main": main, "article": inside, "spared": spared, "template": not sure and not every and pages > 1}
 
 
 def _blocks(events: list[tuple], main: str = "", article: bool = False, spared: Iterable[str] = ()) -> tuple[list[tuple[int, str]], bool]:
@@ -529,8 +528,12 @@ def main_text(page: str | None, how: dict | None) -> str:
         blocks, seen = _blocks(events, how["main"], how.get("article", True), how.get("spared", ()))
         if seen:
             template = frozenset(how.get("common", ()))
-            own = {number for number, text in blocks if _digest(text) not in template} if template else ()
-            return "\n".join([text for number, text in blocks if not template or number in own])
+            own = {number for number, text in blocks if _digest(text) not in template}
+            kept = [text for number, text in blocks if number in own]
+            # Pages of one host that share most of their text are copies: then it isn't template.
+            if 2 * sum(map(len, kept)) < sum(len(text) for _, text in blocks):
+                kept = [text for _, text in blocks]
+            return "\n".join(kept)
     own = reading(page_wrapper(page))
     return "\n".join([text for _, text in _blocks(events, own["main"], own["article"], own["spared"])[0]])
 
