@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import hashes, mix
+from pagewatch.llm.common import hashes, mix, slices, text_batches
 
 #: Notices that files and pages carry, by name.
 TEMPLATES = {
@@ -97,40 +97,52 @@ class Index:
         kept = [k for k, n in enumerate(self.lengths) if n]
         self.scales = scales([len(self.shingles[k]) for k in kept], containment, miss)
         self.scales = [Scale(s.window, s.stride, s.bands, tuple(kept[k] for k in s.names)) for s in self.scales]
-        self.bands = [[{int(mix(self.shingles[k] ^ _salt(b)).min()): [] for k in s.names} for b in range(s.bands)] for s in self.scales]
-        for s, tables in zip(self.scales, self.bands, strict=True):
-            for b, table in enumerate(tables):
-                for k in s.names:
-                    table[int(mix(self.shingles[k] ^ _salt(b)).min())].append(k)
+        self.bands = [self._minima(s) for s in self.scales]
+
+    def _minima(self, scale: Scale) -> dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]:
+        """The band index, by words of a shingle: shingles that are the least of a template in some band, in order, with the bands and templates."""
+        by: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k in scale.names:
+            table = by.setdefault(min(self.lengths[k], self.width), {})
+            for b in range(scale.bands):
+                least = self.shingles[k][int(np.argmin(mix(self.shingles[k] ^ _salt(b))))]
+                table.setdefault(int(least), []).append((b, k))
+        return {own: (np.array(sorted(table), np.uint64), [table[x] for x in sorted(table)]) for own, table in by.items()}
 
     def scan(self, h: np.ndarray) -> dict[int, tuple[float, int]]:
         """For each template found: containment in the best window, and that window's first word."""
         out: dict[int, tuple[float, int]] = {}
         # A template of fewer words than a shingle is one shingle of all its words.
-        for s, tables in zip(self.scales, self.bands, strict=True):
-            short = {min(self.lengths[k], self.width) for k in s.names}
-            for own in short:
-                names = {k for k in s.names if min(self.lengths[k], self.width) == own}
+        for scale, tables in zip(self.scales, self.bands, strict=True):
+            for own, (minima, bands) in tables.items():
                 if len(h) >= own:
-                    self._scan(shingle_hashes(h, own), s, tables, names, out)
+                    self._scan(shingle_hashes(h, own), scale, minima, bands, out)
         return out
 
-    def _scan(self, x: np.ndarray, s: Scale, tables: list[dict[int, list[int]]], names: set[int], out: dict) -> None:
-        # Only windows near a shingle that some template has can hold a least one of a template.
-        known = np.unique(np.concatenate([self.shingles[k] for k in names]))
-        at = np.searchsorted(known, x)
-        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == x)
-        if not len(hit):
-            return
-        first = np.maximum(0, (hit - s.window) // s.stride)
-        windows = np.unique(np.concatenate([first + j for j in range(s.window // s.stride + 2)])) * s.stride
-        for w in windows[windows < len(x)].tolist():
-            part = x[w : w + s.window]
-            found = {k for b, table in enumerate(tables) for k in table.get(int(mix(part ^ _salt(b)).min()), ())} & names
-            for k in found:
-                share = float(np.isin(self.shingles[k], part).mean())
-                if share >= self.containment and share > out.get(k, (0.0, 0))[0]:
-                    out[k] = (share, w)
+    def _scan(self, x: np.ndarray, scale: Scale, minima: np.ndarray, bands: list[list[tuple[int, int]]], out: dict) -> None:
+        """Windows whose least shingle in a band is a template's are compared with it in all shingles.
+
+        A window meets a template in a band if it has the template's least shingle there, and nothing that is less. So bands are read off where such
+        shingles stand, and a text without any needs no window's minimum.
+        """
+        at = np.minimum(np.searchsorted(minima, x), len(minima) - 1)
+        known: dict[tuple[int, int], int] = {}
+        seen: set[tuple[int, int]] = set()
+        for p in np.flatnonzero(minima[at] == x).tolist():
+            value = x[p]
+            for w in range(max(0, -(-(p - scale.window + 1) // scale.stride)) * scale.stride, p + 1, scale.stride):
+                part = x[w : w + scale.window]
+                for b, k in bands[at[p]]:
+                    if (w, k) in seen:
+                        continue
+                    if (w, b) not in known:
+                        known[w, b] = int(mix(part ^ _salt(b)).min())
+                    if known[w, b] != int(mix(np.array([value]) ^ _salt(b))[0]):
+                        continue
+                    seen.add((w, k))
+                    share = float(np.isin(self.shingles[k], part).mean())
+                    if share >= self.containment and (k not in out or (share, -w) > (out[k][0], -out[k][1])):
+                        out[k] = (share, w)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", id: str = "doc_id", width: int = WIDTH, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
@@ -143,12 +155,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     columns aren't read; an empty table gives none. Only rows found leave a task; nothing is shuffled.
     """
     templates = TEMPLATES if templates is None else templates
+    text_batches(docs.sparkSession)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates, width, containment, miss)
         for batch in batches:
-            rows = []
-            for doc, value in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            rows, docs = [], batch["doc_id"].to_pylist()
+            for doc, value in ((docs[first + k], text) for first, texts in slices(batch["text"]) for k, text in enumerate(texts)):
                 if words := words_of(value):
                     found = index.scan(hashes(words))
                     rows += [(doc, index.names[k], share, at) for k, (share, at) in sorted(found.items())]
