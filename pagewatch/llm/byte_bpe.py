@@ -16,18 +16,30 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from pagewatch.llm.common import slices, text_batches
-from pagewatch.llm.word_ids import Parts, in_order, runs, spelled
+from pagewatch.llm.word_ids import ENDS, KINDS, SYMBOL, WHITE, Parts, cut_contractions, in_order, runs, spelled
 
 #: White space that isn't ASCII, and controls that regular-expression libraries don't agree on.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Fixed value: the pattern that CUT and SPLIT follow. With any other, texts go to the tokenizer whole.
+#: Fixed value: the pattern that CUT and cut_chunks follow. With any other, texts go to the tokenizer whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A run of white space and what follows it. No match of the pattern crosses such a cut.
 CUT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: What isn't printable ASCII, a Latin-1 letter or ASCII white space: all regular-expression libraries sort the other characters alike.
 ODD = re.compile(r"[^!-~À-ÖØ-öø-ÿ \t-\r]")
-#: How the pattern splits text without odd characters.
-SPLIT = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\r\x00A-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r\x00])|[ \t-\r]+")
+
+
+def cut_chunks(raw: np.ndarray) -> np.ndarray:
+    """Where matches of the pattern begin in the bytes of text without odd characters.
+
+    Of white space before something else the last character is apart from the rest, and a space goes with what follows.
+    """
+    kind = KINDS[raw]
+    before, after = np.r_[np.uint8(ENDS), kind[:-1]], np.r_[kind[1:], np.uint8(ENDS)]
+    white, spaced = kind == WHITE, np.r_[False, raw[:-1] == ord(" ")]
+    begins = np.where(white, (before != WHITE) | (after != WHITE) & (after != ENDS), (kind != before) & ~spaced) | (kind == ENDS)
+    begins[:1] = True
+    cut_contractions(raw, begins, (before != SYMBOL) & ~spaced)
+    return begins
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -59,7 +71,7 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
         self.tokenizer = tokenizer_of(self.tokens, pattern)
-        self.parts = Parts(self.tokenizer.model, SPLIT, len(self.tokens)) if pattern == PATTERN else None
+        self.parts = Parts(self.tokenizer.model, cut_chunks, len(self.tokens), white=True) if pattern == PATTERN else None
 
     @classmethod
     def get(cls, path: str, pattern: str) -> ByteBpe:

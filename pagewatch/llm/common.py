@@ -21,7 +21,7 @@ CHUNK_WORDS = 100_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1024
 #: Rows and bytes of an Arrow batch that become Python objects at once, unless one row alone has more.
-SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
 
 _scratch: dict[str, str] = {}
 

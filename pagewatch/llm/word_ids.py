@@ -9,23 +9,25 @@ from itertools import groupby
 from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 from tokenizers.models import Model
 
 #: Parts of texts whose ids a worker remembers; then it keeps those of the latest texts.
-MEMORY = 120_000
-#: Parts of more characters aren't remembered.
+MEMORY = 200_000
+#: Parts of more bytes aren't remembered.
 LONG = 100
-#: Ends a stretch of text, and what stands for it among 32-bit ids.
-STOP, MARK = "\x00", b"\xff\xff\xff\xff"
+#: Ends a stretch of text.
+STOP = "\x00"
 WORD = re.compile(r"[^ \t-\r]+")
 #: What isn't printable ASCII, a Latin-1 letter or ASCII white space, and the beginning of special tokens. Lower-casing and
 #: normalisation leave each of the other characters one of them.
 ODD = re.compile(r"[^!-~À-ÖØ-öø-ÿ \t-\r]|<\|")
-#: Fixed value: how the tokenizers that WordIds knows split text.
+#: Fixed value: how the tokenizers that WordIds knows split text; cut_words does the same for plain text in lower case.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same for plain text in lower case.
-SPLIT = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\r\x00a-z0-9ß-öø-ÿ]+")
+#: Kinds of bytes in plain text: all bytes beyond ASCII are of letters.
+WHITE, LETTER, DIGIT, SYMBOL, ENDS = range(5)
+KINDS = np.array([ENDS if b == 0 else WHITE if chr(b) in " \t\n\v\f\r" else DIGIT if chr(b).isdigit() and b < 128 else LETTER if b >= 128 or chr(b).isalpha() else SYMBOL for b in range(256)], np.uint8)
 
 
 def byte_characters() -> list[str]:
@@ -43,33 +45,79 @@ def spelled(raw: bytes) -> str:
     return raw.decode("latin-1").translate(CHARACTERS)
 
 
+def cut_contractions(raw: np.ndarray, begins: np.ndarray, allowed: np.ndarray) -> None:
+    """Marks where 's 't 're 've 'm 'll 'd begin and end, at apostrophes where a part may begin with one."""
+    here = np.flatnonzero((raw == ord("'")) & allowed)
+    after = np.r_[raw, np.zeros(3, np.uint8)]
+    one, two = after[here + 1], after[here + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for found, size in ((here[short], 2), (here[long], 3)):
+        begins[found] = True
+        for k in range(1, size):
+            begins[found + k] = False
+        begins[(found + size)[found + size < len(raw)]] = True
+
+
+def cut_words(raw: np.ndarray) -> np.ndarray:
+    """Where parts of plain lower-case text begin by PATTERN; what lies between them are parts of white space."""
+    kind = KINDS[raw]
+    before = np.r_[np.uint8(WHITE), kind[:-1]]
+    begins = (kind != before) | (kind == DIGIT) | (kind == ENDS)
+    begins[:1] = True
+    cut_contractions(raw, begins, before != SYMBOL)
+    return begins
+
+
 class Parts:
-    """Ids, as little-endian unsigned 32-bit numbers, by a tokenizer's model; split gives the parts that the model takes whole."""
+    """Ids by a tokenizer's model of the parts that it takes whole. cut tells where those begin in the bytes of plain text.
 
-    def __init__(self, model: Model, split: re.Pattern, size: int):
-        self.model, self.split = model, split
+    Equal parts of some text become one entry of a dictionary, so that each is looked up once, and tokenized only if it isn't remembered.
+    white: whether white space has ids.
+    """
+
+    def __init__(self, model: Model, cut: Callable[[np.ndarray], np.ndarray], size: int, white: bool):
+        self.model, self.cut, self.white = model, cut, white
         self.numbers = [k.to_bytes(4, "little") for k in range(size)]
         self.clear()
 
     def clear(self) -> None:
         """Forget the parts: a worker that goes on to other work keeps only the tokenizer."""
-        self.known: dict[str, bytes] = {STOP: MARK}
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids(self, part: bytes) -> bytes:
+        numbers = self.numbers
+        if part.isalnum():
+            return b"".join([numbers[t.id] for t in self.model.tokenize(part.decode())])
+        if part == b"\x00" or not self.white and part.isspace():
+            return b""
+        return b"".join([numbers[t.id] for t in self.model.tokenize(spelled(part))])
 
     def encode(self, stretches: list[str]) -> list[bytes]:
-        """The ids of each stretch of plain text, all in one go. split has to give STOP as a part of its own."""
-        found = self.split.findall(STOP.join(stretches))
-        known, numbers, tokenize = self.known, self.numbers, self.model.tokenize
-        parts = set(found)
-        for part in parts.difference(known):
-            known[part] = b"".join([numbers[t.id] for t in tokenize(part if part.isascii() and part.isalnum() else spelled(part.encode()))])
-        # Ids are less than 2^24, so that the mark is found only where it was put.
-        out = b"".join(map(known.__getitem__, found)).split(MARK) if stretches else []
+        """The ids of each stretch of plain text as little-endian unsigned 32-bit numbers, all in one go."""
+        raw = np.frombuffer(STOP.join(stretches).encode(), np.uint8)
+        if not len(raw):
+            return [b""] * len(stretches)
+        at = np.flatnonzero(self.cut(raw))
+        parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.r_[at, len(raw)].astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        own, known = parts.dictionary.to_pylist(), self.known
+        for part in own:
+            if part not in known:
+                known[part] = self._ids(part)
+        values = [known[part] for part in own]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        number = parts.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - n), n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(values), "<u4")[place]
+        cuts = [0, *ends[raw[at] == 0].tolist(), len(ids)]
         if len(known) > MEMORY:
-            self.known = {STOP: MARK} | ({p: known[p] for p in parts if len(p) <= LONG} if len(parts) < MEMORY // 2 else {})
-        else:
-            for p in [p for p in parts if len(p) > LONG]:
-                del known[p]
-        return out
+            self.known = dict(zip(own, values, strict=True)) if len(own) < MEMORY // 2 else {}
+            known = self.known
+        for part in [x for x in own if len(x) > LONG]:
+            known.pop(part, None)
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def runs(pieces: list[str], plain: Callable[[str], object], joint: str) -> list[tuple[bool, str]]:
@@ -113,7 +161,7 @@ class WordIds:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Parts(self.tokenizer.model, SPLIT, self.tokenizer.get_vocab_size()) if takes_words(spec) else None
+        self.parts = Parts(self.tokenizer.model, cut_words, self.tokenizer.get_vocab_size(), white=False) if takes_words(spec) else None
 
     @classmethod
     def get(cls, path: str) -> WordIds:
