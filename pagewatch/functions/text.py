@@ -265,11 +265,15 @@ def tidy(text: Col) -> Column:
 
 def voice_hits(text: Col) -> Column:
     """Sorted distinct words that break the house style; none is clean."""
-    text = F.coalesce(c(text), F.lit(""))
-    escaped = [re.sub(r"([-.])", r"\\\1", w) for w in W.BANNED]
-    found = [F.regexp_extract_all(text, F.lit(p), i) for p, i in ((rf"(?i)\b({'|'.join(escaped)})\b", 1), (rf"(?i)({'|'.join(W.INFLATION)})", 1), (rf"(?i)({W.KEY_NOUN})", 1))]
-    more = F.array_compact(F.array(F.when(text.rlike(f"(?i){W.NOT_JUST}"), "not just ... but"), F.when(text.rlike("[—–]"), "dash")))
-    return F.array_sort(F.array_distinct(F.concat(*(F.transform(x, F.lower) for x in found), more)))
+    text = F.lower(F.coalesce(c(text), F.lit("")))
+    # Single words are looked up among the text's words. Patterns of several are searched for only where their rarest words stand.
+    single = [w for w in W.BANNED if re.fullmatch(r"\w+", w)]
+    words = F.array_intersect(F.split(text, r"[^\p{L}\p{M}\p{N}_]+"), words_in(single))
+    phrases = [F.when(text.contains(w) & text.rlike(rf"\b{re.sub(r'([-.])', r'\\\1', w)}\b"), w) for w in W.BANNED if w not in single]
+    phrases += [F.when(text.contains(w), w) for w in W.INFLATION]
+    phrases += [F.when(text.contains("not ") & text.contains("but") & text.rlike(W.NOT_JUST), "not just ... but"), F.when(text.contains("—") | text.contains("–"), "dash")]
+    nouns = F.when(text.contains("key "), F.regexp_extract_all(text, F.lit(f"({W.KEY_NOUN})"), 1)).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(words, F.array_compact(F.array(*phrases)), nouns)))
 
 
 def strip_contacts(text: Col) -> Column:
