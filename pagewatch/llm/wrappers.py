@@ -35,7 +35,6 @@ MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 TAG_END = re.compile(r"(?>[^>=]++|=[ \t-\r]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 APART = re.compile(r"[^a-z0-9]+")
-SPACE = re.compile(r"\s+")
 # HTML element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,8 +69,17 @@ KEY, OPTIONAL, REPEATED, PAGES, CHARS, FIXED, PARTS = range(7)
 SLOT, GROUP = "#", "()"
 
 
-def _digest(*parts: object) -> int:
-    return xxhash.xxh64_intdigest(repr(parts)) >> 1
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _combined(digests: Iterable[int]) -> int:
+    return xxhash.xxh64_intdigest(b"".join([x.to_bytes(8, "little") for x in digests]), 1) >> 1
+
+
+def _plain(raw: str) -> str:
+    """Text with character references decoded and white space as one space."""
+    return " ".join(html.unescape(raw).split())
 
 
 def _name(raw: str, figures: str) -> str:
@@ -224,7 +232,7 @@ def _wrapper(events: list[tuple]) -> Node:
 
     def close(node: Node) -> None:
         node[CHARS] += sum(x[CHARS] for x in node[PARTS])
-        node[FIXED] = _digest(*(x[FIXED] for x in node[PARTS]))
+        node[FIXED] = _combined([x[FIXED] for x in node[PARTS]])
         node[PARTS] = _fold(node[PARTS], lambda a, b: "." in b[KEY] or _tag(b[KEY]) in LISTED)
 
     for event in events:
@@ -238,11 +246,11 @@ def _wrapper(events: list[tuple]) -> Node:
             stack.append(node)
         elif event[0] == "close":
             close(stack.pop())
-        elif text := SPACE.sub(" ", html.unescape(event[1])).strip():
+        elif text := _plain(event[1]):
             parts = stack[-1][PARTS]
             if parts and parts[-1][KEY] == SLOT:
                 parts[-1][CHARS] += len(text)
-                parts[-1][FIXED] = _digest(parts[-1][FIXED], text)
+                parts[-1][FIXED] = _combined((parts[-1][FIXED], _digest(text)))
             else:
                 parts.append([SLOT, False, False, 1, len(text), _digest(text), []])
     close(root)
@@ -272,7 +280,7 @@ def _fold_groups(parts: list[Node]) -> list[Node]:
                 run = [_merge(a, b, same_page=True) for a, b in zip(run, parts[j : j + width], strict=True)]
                 j += width
             if j > i + width:
-                fixed = None if any(x[FIXED] is None for x in run) else _digest(*(x[FIXED] for x in run))
+                fixed = None if any(x[FIXED] is None for x in run) else _combined([x[FIXED] for x in run])
                 parts[i:j] = [[GROUP, all(x[OPTIONAL] for x in run), True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), fixed, run]]
             i += 1
     return parts
@@ -287,6 +295,8 @@ def resolve(node: Node) -> Node:
 
 def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
     """The nth part of a token meets the nth of the other side, in linear time; what one side lacks is paired with None, in order."""
+    if len(a) == len(b) and all(x[KEY] == y[KEY] for x, y in zip(a, b, strict=True)):
+        return list(zip(a, b, strict=True))
     pairs: dict[str, list] = defaultdict(list)
     for x in a:
         pairs[x[KEY]].append((x, None))
@@ -316,7 +326,7 @@ def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
     pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
     fixed = a[FIXED] if a[FIXED] == b[FIXED] and not same_page else None
     if same_page and a[FIXED] is not None and b[FIXED] is not None:
-        fixed = _digest(a[FIXED], b[FIXED])
+        fixed = _combined((a[FIXED], b[FIXED]))
     out: Node = [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], fixed, []]
     for x, y in _align(a[PARTS], b[PARTS]):
         if x and y:
@@ -492,7 +502,7 @@ def _blocks(events: list[tuple], main: str = "", article: bool = False, spared:
     seen = main == ""
 
     def end() -> None:
-        if run and (text := SPACE.sub(" ", html.unescape("".join(run))).strip()):
+        if run and (text := _plain("".join(run))):
             blocks.append((number, text))
         run.clear()
 
