@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewatch.llm import packing, quality, simhash, substring
-from pagewatch.llm.common import materialize
+from pagewatch.llm.common import materialize, small
 from pagewatch.llm.queries import WORD_BPE
 
+#: Ids up to which a list of what is kept is broadcast.
+BROADCAST_ROWS = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL has no tokenizer and no fingerprints of these kinds; a brute-force version in the tests stands in.
 ORACLE_SQL = None
@@ -23,15 +25,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; of repeated rows of it, one.
 
-    Documents without an id stay where no document with one is near, one of each fingerprint.
+    Documents without an id stay where no document with one is near, one of each fingerprint. Texts stay where they are as long as the ids
+    that are kept are few enough to broadcast; only rows of repeated ids, and of none, are compared with each other.
     """
     own = docs.select(*COLUMNS)
     groups = materialize(simhash.simhash_groups(own), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = own.join(first, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    alone = groups.where("component_id is null").select("fp").distinct()
-    nameless = own.where("doc_id is null").withColumn("_h", simhash.fingerprint("text")).join(alone.withColumnRenamed("fp", "_h"), "_h", "left_semi").dropDuplicates(["_h"])
-    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
+    first = materialize(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    once, again = first.where("n = 1").select("doc_id"), first.where("n > 1").select("doc_id")
+    out = own.join(small(once, BROADCAST_ROWS) or once, "doc_id", "left_semi")
+    if again.limit(1).count():
+        out = out.unionByName(own.join(again, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*COLUMNS))
+    alone = groups.where("component_id is null").select(F.col("fp").alias("_h")).distinct()
+    if alone.limit(1).count():
+        nameless = own.where("doc_id is null").withColumn("_h", simhash.fingerprint("text")).join(alone, "_h", "left_semi").dropDuplicates(["_h"])
+        out = out.unionByName(nameless.select(*COLUMNS))
+    return out.select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
