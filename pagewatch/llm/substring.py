@@ -3,8 +3,8 @@
 Words get names, and in rounds runs of two and neighbouring pairs of names get names of their own. A name is a fingerprint of
 what it stands for, so that every executor names equal content alike with no dictionary to hand round. Which pairs join
 is decided by the two names alone, so that equal passages get equal interior symbols, all but those near their ends (`levels`).
-Every window of the given width is found by the highest symbol well inside it, of several the least; for words as English has them nine of ten
-windows have one of the third round of pairs, of which there is one in seven words. With the words around it that are in the window for sure
+Every window of the given width is found by the highest symbol well inside it, of several the least; for windows of 35 words 97 of 100
+have one of the second round of pairs, of which there is one in five words. With the words around it that are in the window for sure
 that is the window's anchor. Spark counts the anchors: one that occurs once rules out all its windows. Where all that an anchor's windows
 hold is equal, its windows are repeats; the others are compared by fingerprints of all their words.
 """
@@ -31,7 +31,7 @@ SALTS = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64
 RUN = 8
 #: Seeds of the two hashes that words have: anchors stand on one, what is compared beyond them on the other.
 SEEDS = (0, 1)
-OCCURRENCES = "key long, ctx long, doc_id long, fp long, lo int, n int"
+OCCURRENCES = "key long, ctx long, doc_id long, fp long, lo int, n int, sure boolean"
 
 
 def levels(width: int) -> list[int]:
@@ -39,13 +39,14 @@ def levels(width: int) -> list[int]:
 
     A run of exactly two words needs the word on either side. A pair is made of two symbols of the round before. Whether those
     are symbols is settled by what may join them from outside: the longest symbol before them, and what settles that.
-    A round is made if its longest symbol fits into a window with what settles it.
+    A round is made if its longest symbol, with what settles it, fits into half of a window: higher ones would be so near the ends of
+    windows that few are inside any, and anchors change more often.
     """
     out: list[int] = []
     settled, longest = 2, 2  # of the symbols, joined or not, after the round of runs
     if width >= 4:
         out.append(1)
-    while out and 2 * settled + 2 * longest <= width:
+    while out and 2 * (2 * settled + 2 * longest) <= width:
         out.append(settled)
         settled, longest = settled + longest, 2 * longest
     return out
@@ -114,11 +115,12 @@ def _least(rank: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, starts: np.ndarray, width: int):
-    """Anchors of all windows of a chunk of documents: (first word, end, document, first and last window, first word of the symbol, round).
+    """Anchors of all windows of a chunk of documents: (first word, end, document, first and last window, first word of the symbol, round), and runs.
 
     Words are counted through the chunk. A window's anchor is a symbol of the last round that has made one inside it, with the words around that
-    settle that it is one; of several the least, of equals the leftmost. A window without any, as in long runs of one word, is found by its least
-    word and those that follow it (round -1). Windows that follow each other and share an anchor are one row.
+    settle that it is one; of several the least, of equals the leftmost. A window without any is found by its least word and those that follow it
+    (round -1). Windows that follow each other and share an anchor are one row. Windows of one word alone that follow each other are equal: of each such
+    run the first stands for all (round -2), and runs has the others too, as (document, first window, windows).
     """
     sizes = np.diff(starts)
     per_doc = np.maximum(sizes - width + 1, 0)
@@ -142,9 +144,17 @@ def anchors(words: np.ndarray, starts: np.ndarray, width: int):
     run = min(RUN, width)
     best = _least(mix(words ^ SALTS[1]) >> np.uint64(1), window[left], window[left] + width - run + 1)
     begin[left], stop[left], symbol[left], kind[left] = best, best + run, best, -1
+    change = np.flatnonzero(words[1:] != words[:-1]) + 1
+    until_run = np.r_[change, len(words)][np.searchsorted(change, window[left], side="right")]
+    alone = until_run >= window[left] + width
+    one = left[alone]
+    begin[one], stop[one], symbol[one], kind[one] = window[one], window[one] + run, until_run[alone], -2
     turn = np.flatnonzero(np.r_[True, (symbol[1:] != symbol[:-1]) | (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])])
     until = np.r_[turn[1:], total] - 1
-    return begin[turn], stop[turn], doc[turn], window[turn], window[until], symbol[turn], kind[turn]
+    lo, kind = window[turn], kind[turn]
+    run, long = kind == -2, (kind == -2) & (until > turn)
+    runs = doc[turn][long], lo[long], (until - turn + 1)[long]
+    return begin[turn], stop[turn], doc[turn], lo, np.where(run, lo, window[until]), np.where(run, lo, symbol[turn]), kind, runs
 
 
 def _chunk(lists, width):
@@ -153,9 +163,9 @@ def _chunk(lists, width):
     found = anchors(words, starts, width)
     if found is None:
         return None
-    begin, end, doc, lo, hi, symbol, _ = found
+    begin, end, doc, lo, hi, symbol, _, runs = found
     key = Powers(words, BASES[0]).of(begin, end)
-    return words, starts, symbol, doc, lo, hi, key, Powers(hashed(lists, SEEDS[1])[0], BASES[1])
+    return words, starts, symbol, doc, lo, hi, key, Powers(hashed(lists, SEEDS[1])[0], BASES[1]), runs
 
 
 def _read(batch: pa.RecordBatch, width: int):
@@ -163,17 +173,21 @@ def _read(batch: pa.RecordBatch, width: int):
         for first, lists in word_lists(texts):
             if (c := _chunk(lists, width)) is None:
                 continue
-            words, starts, begin, doc, lo, hi, key, two = c
+            _, starts, begin, doc, lo, hi, key, two, runs = c
             fps = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts[first : first + len(lists)]], np.uint64).view(np.int64)
-            yield starts, begin, doc, lo, hi, key, two, batch["doc_id"].take(pa.array(at + first + doc)), fps[doc]
+            of = lambda d, at=at, first=first, fps=fps: (batch["doc_id"].take(pa.array(at + first + d)), fps[d])
+            yield starts, begin, doc, lo, hi, key, two, of, runs
 
 
 def _occurrences(width: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for starts, begin, doc, lo, hi, key, two, ids, fp in _read(batch, width):
+            for starts, begin, doc, lo, hi, key, two, of, (docs, first, n) in _read(batch, width):
                 ctx = two.of(lo, hi + width) + mix((begin - lo).astype(np.uint64))
-                yield pa.record_batch({"key": key.view(np.int64), "ctx": ctx.view(np.int64), "doc_id": ids, "fp": fp, "lo": (lo - starts[doc]).astype(np.int32), "n": (hi - lo + 1).astype(np.int32)})
+                rows, none = np.r_[doc, docs], np.zeros(len(docs), np.int64)
+                ids, fp = of(rows)
+                lows = np.r_[lo - starts[doc], first - starts[docs]].astype(np.int32)
+                yield pa.record_batch({"key": np.r_[key.view(np.int64), none], "ctx": np.r_[ctx.view(np.int64), none], "doc_id": ids, "fp": fp, "lo": lows, "n": np.r_[hi - lo + 1, n].astype(np.int32), "sure": np.arange(len(rows)) >= len(doc)})
 
     return stream
 
@@ -183,12 +197,12 @@ def _windows(width: int):
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for starts, begin, doc, lo, hi, key, two, ids, fp in _read(batch, width):
-                n = hi - lo + 1
+            for starts, begin, doc, lo, hi, key, two, of, _ in _read(batch, width):
+                n, (ids, fp) = hi - lo + 1, of(doc)
                 offsets = np.r_[0, np.cumsum(n)]
                 window = np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], n)
-                of = two.of(window, window + width)
-                yield pa.record_batch({"key": key.view(np.int64), "doc_id": ids, "fp": fp, "lo": (lo - starts[doc]).astype(np.int32), "before": (begin - lo).astype(np.int32), "windows": pa.ListArray.from_arrays(offsets.astype(np.int32), of.view(np.int64))})
+                own = two.of(window, window + width)
+                yield pa.record_batch({"key": key.view(np.int64), "doc_id": ids, "fp": fp, "lo": (lo - starts[doc]).astype(np.int32), "before": (begin - lo).astype(np.int32), "windows": pa.ListArray.from_arrays(offsets.astype(np.int32), own.view(np.int64))})
 
     return stream
 
@@ -202,10 +216,11 @@ def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     own = docs.select("doc_id", "text").where("text is not null")
     occ = materialize(own.mapInArrow(_occurrences(width), OCCURRENCES), "anchors")
     # Where all contexts of an anchor are equal, so are all its windows; the others' windows are looked at one by one.
-    counts = occ.groupBy("key").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("contested"))
+    counts = occ.where("not sure").groupBy("key").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("contested"))
     keys = materialize(counts.where("c > 1").select("key", "contested"), "shared-keys")
-    shared = materialize(occ.select("key", "doc_id", "fp", "lo", "n").join(small(keys, BROADCAST_ROWS) or keys, "key"), "shared-anchors")
-    whole = shared.where("not contested").select("doc_id", "fp", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
+    shared = materialize(occ.where("not sure").select("key", "doc_id", "fp", "lo", "n").join(keys, "key"), "shared-anchors")
+    whole = shared.where("not contested").select("doc_id", "fp", "lo", "n").union(occ.where("sure").select("doc_id", "fp", "lo", "n"))
+    whole = whole.select("doc_id", "fp", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + width).alias("e"))
     again = materialize(shared.where("contested").select("doc_id", "fp").distinct(), "documents-again")
     again = (small(again, BROADCAST_ROWS) or again).withColumnsRenamed({"doc_id": "i", "fp": "f"})
     reread = docs.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left_semi").select("doc_id", "text")
@@ -218,7 +233,7 @@ def repeated_ranges(docs: DataFrame, width: int) -> DataFrame:
     )
     same = ["key", "off", "w"]
     twice = materialize(windows.groupBy(*same).agg(F.count("*").alias("c")).where("c > 1").select(*same), "windows-twice")
-    part = windows.join(small(twice, BROADCAST_ROWS) or twice, same, "left_semi").select("doc_id", "fp", "s", (F.col("s") + width).alias("e"))
+    part = windows.join(twice, same, "left_semi").select("doc_id", "fp", "s", (F.col("s") + width).alias("e"))
     return whole.union(part)
 
 

@@ -228,9 +228,17 @@ def test_the_last_round_finds_most_windows():
     rng = random.Random(3)
     lists = [[str(rng.randrange(3000)).encode() for _ in range(500)] for _ in range(40)]
     words, starts = substring.hashed(lists)
-    *_, lo, hi, _, kind = substring.anchors(words, starts, 35)
-    windows = np.bincount(kind + 1, weights=hi - lo + 1)
-    assert substring.levels(35) == [1, 2, 4, 8] and windows[-1] / windows.sum() > 0.85
+    *_, lo, hi, _, kind, _ = substring.anchors(words, starts, 35)
+    windows = np.bincount(kind + 2, weights=hi - lo + 1)
+    assert substring.levels(35) == [1, 2, 4] and windows[-1] / windows.sum() > 0.95
+
+
+def test_runs_of_one_word(spark):
+    """Runs just as long as a window, longer ones, and one that ends a document as the next begins."""
+    texts = ["x " + "a " * 35 + "y", "b " * 35, "b " * 36, "c " * 35, "d " * 80 + "e", "e " * 36 + "d " * 34, "f " * 34 + "g", "a " * 35]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).collect()}
+    assert got == {0: (37, 35), 1: (35, 35), 2: (36, 36), 3: (35, 0), 4: (81, 80), 5: (70, 36), 6: (35, 0), 7: (35, 35)}
 
 
 # 6

@@ -90,7 +90,7 @@ def test_anchors_agree_wherever_a_window_stands():
         k, w = random.choice([1, 2, 3, 5, 50, 1000]), random.choice([35, 35, 64, 12])
         middle = [str(random.randrange(k)) for _ in range(w)]
         lists = [[str(random.randrange(k)) for _ in range(random.randrange(60))] + middle + [str(random.randrange(k)) for _ in range(random.randrange(60))] for _ in range(3)]
-        _, starts, begin, doc, lo, hi, key, _ = substring._chunk([[x.encode() for x in d] for d in lists], w)
+        _, starts, begin, doc, lo, hi, key, *_ = substring._chunk([[x.encode() for x in d] for d in lists], w)
         known = {}
         for b, d, first, last, name in zip(begin, doc, lo, hi, key, strict=True):
             for i in range(first, last + 1):
