@@ -29,7 +29,7 @@ def page_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFr
             out = []
             for page, text in zip(pdf[url], pdf[body], strict=True):
                 text = text or ""
-                declared = _BASE.search(text[:8000])
+                declared = _BASE.search(text)
                 base = canonical(page, declared[1]) + ("/" if declared[1].endswith("/") else "") if declared and canonical(page, declared[1]) else page
                 seen: dict[str, str] = {}
                 for href, label in _ANCHOR.findall(text):
