@@ -60,7 +60,7 @@ HEADINGS = frozenset(["h1", "h2"])
 #: Inside an article its own header holds the heading.
 IN_ARTICLE = frozenset(["header"])
 #: Levels of a wrapper: what lies deeper counts as text of the last one. Reading has no such bound.
-LEVELS = 200
+LEVELS = 100
 #: Nodes that a task holds before it hands on its wrappers.
 HELD = 200_000
 

@@ -293,3 +293,14 @@ def test_digests_by_the_templates_own_rules(spark):
     df = spark.createDataFrame([(1, 0, "assistant", "a\\nb")], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(df, render=lambda turns: "".join(f"[{x}]" for _, x in turns), read=lambda s: ("assistant", s[1:-1]), mask=lambda s: (1, len(s) - 1))
     assert chat.conversation_digests(out, plain=lambda s: s).first()["loss_sha256"] == hashlib.sha256(b"a\\nb").hexdigest()
+
+
+def test_nested_groups_stay_within_the_stack():
+    def nest(depth, twice):
+        inner = "x" if not depth else nest(depth - 1, twice)
+        return f"<h3>a</h3><div class=d>{inner}</div>" + "<h3>b</h3><div class=d>c</div>" * twice
+
+    own = wrappers.align(wrappers.page_wrapper(nest(300, 0)), wrappers.page_wrapper(nest(300, 1)))
+    # Repeats aren't gone down into: the main part is all of the page.
+    assert wrappers.reading(own)["main"] == "" and "(<div.d>((<h3>=</>)?(<div.d>" in wrappers.expression(wrappers.resolve(own))
+    assert json.loads(json.dumps(own)) == own
