@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewatch.llm import byte_bpe, chat, licenses, packing, quality, simhash, substring, token_counts, vectors, wrappers
+from pagewatch.llm import byte_bpe, chat, collocations, learned_partitions, licenses, packing, periodic_runs, quality, simhash, substring, token_counts, vectors, wrappers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,8 +64,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return learned_partitions.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_best_fit_packing, op3_license_scan, op4_html_extraction, op5_substring_dedup, op6_embedding_dedup, op7_chat_format, op8_token_counts, op9_byte_bpe, op10_simhash)
+    own = (op1_quality_rules, op2_best_fit_packing, op3_license_scan, op4_html_extraction, op5_substring_dedup, op6_embedding_dedup, op7_chat_format, op8_token_counts, op9_byte_bpe, op10_simhash, op11_collocations, op12_nearest_neighbours, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
@@ -81,6 +94,19 @@ SQL = {
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95), reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
         c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op11_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p), n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+        f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, k, phrase, a, cut, array_to_string(ws[1 : cut], ' ') AS lp, array_to_string(ws[cut + 1 : k], ' ') AS rp FROM f, LATERAL (SELECT unnest(range(1, k)) AS cut) WHERE k > 1),
+        s AS (SELECT c.lang, c.k, c.phrase, c.a, l.a AS l, r.a AS r, cut, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        x AS (SELECT lang, a AS longer, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM f, (SELECT unnest([2, 3]) AS m), LATERAL (SELECT unnest(range(1, k - m + 2)) AS i) WHERE m < k),
+        y AS (SELECT lang, phrase, max(longer) AS longer FROM x GROUP BY 1, 2), o AS (SELECT b.* FROM b LEFT JOIN y USING (lang, phrase) WHERE NOT coalesce(100 * longer >= 80 * a, false))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op12_nearest_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
     "op7_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
         e AS (SELECT *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|><|im_end|>') + 2 AS n FROM t)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
