@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
+from pagewatch.functions import words as W
 from pagewatch.operators import match as M
 from pagewatch.operators import people as P
 from pagewatch.plans.common import quoted, table
@@ -103,6 +104,40 @@ def _schools(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("institution_id"), country("c_custkey").alias("country"), F.concat(F.lit("The Collège "), (F.col("c_custkey") % 300).cast("string")).alias("name"))
 
 
+def _bulk_sql(left: str, right: str, noise, letters: int, rule: str) -> str:
+    """Each name of left with each of right, the words of both as lists."""
+    words = f"list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: w NOT IN ({quoted(noise)}) AND len(w) >= {letters}))"
+    side = "SELECT name, {0} AS ws FROM (SELECT DISTINCT name FROM ({1}))"
+    return f"WITH l AS ({side.format(words, left)}), r AS ({side.format(words, right)}), p AS (SELECT l.name AS a, r.name AS b, len(l.ws) AS m, len(r.ws) AS n, len(list_intersect(l.ws, r.ws)) AS k FROM l, r) SELECT a, b FROM p WHERE k > 0 AND k = least(m, n) AND {rule}"
+
+
+@query(_bulk_sql("SELECT 'The ' || c_mktsegment || ' University of Nation ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN ', Campus ' || (c_custkey % 40) ELSE '' END AS name FROM customer",
+    "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'University of nation ' || s_nationkey WHEN 1 THEN 'Machinery University (Nation ' || s_nationkey || ') Campus ' || (s_suppkey % 40) || ' in the North' ELSE 'Household, Nation ' || s_nationkey END AS name FROM supplier",
+    W.SCHOOL_NOISE, 1, "true"))
+def names_match_bulk(spark, d):
+    campus = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(", Campus "), (F.col("c_custkey") % 40).cast("string"))).otherwise("")
+    left = table(spark, d, "customer").select(F.concat(F.lit("The "), "c_mktsegment", F.lit(" University of Nation "), F.col("c_nationkey").cast("string"), campus).alias("a"))
+    nation, kind = F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 3
+    name = F.when(kind == 0, F.concat(F.lit("University of nation "), nation)).when(kind == 1, F.concat(F.lit("Machinery University (Nation "), nation, F.lit(") Campus "), (F.col("s_suppkey") % 40).cast("string"), F.lit(" in the North")))
+    right = table(spark, d, "supplier").select(name.otherwise(F.concat(F.lit("Household, Nation "), nation)).alias("b"))
+    return M.names_match_bulk(left, right, "a", "b")
+
+
+@query(_bulk_sql("SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name || ' Ltd.' ELSE split_part(p_name, ' ', 1) || ' Group' END AS name FROM part",
+    "SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type || ' Holdings' ELSE split_part(p_name, ' ', 1) || ' Inc' END AS name FROM part", W.COMPANY_NOISE, 2, "(least(m, n) > 1 OR m = n)"))
+def same_companies_bulk(spark, d):
+    even, first = F.col("p_partkey") % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))
+    parts = table(spark, d, "part")
+    left = parts.select(F.when(even, F.concat("p_name", F.lit(" Ltd."))).otherwise(F.concat(first, F.lit(" Group"))).alias("a"))
+    right = parts.select(F.when(even, F.concat_ws(" ", "p_name", "p_type", F.lit("Holdings"))).otherwise(F.concat(first, F.lit(" Inc"))).alias("b"))
+    return M.same_companies_bulk(left, right, "a", "b")
+
+
+@query(f"WITH {_MATCH} SELECT case_id, occupation_id, title, strength FROM b JOIN o USING (occupation_id) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY strength DESC, title, occupation_id) <= 10")
+def first_occupations(spark, d):
+    return M.match_occupations(_roles(spark, d), _occupations(spark, d), 10)
+
+
 @query(f"""WITH l AS (SELECT {_COUNTRY.format('s_suppkey')} AS country, 'college ' || (s_suppkey % 60) AS k, arg_min(s_name, s_suppkey) AS website, arg_min(s_suppkey % 2 = 0, s_suppkey) AS higher_ed FROM supplier GROUP BY ALL)
     SELECT c_custkey AS institution_id, website, CAST(higher_ed AS VARCHAR) AS higher_ed FROM customer LEFT JOIN l ON l.country = {_COUNTRY.format('c_custkey')} AND k = 'college ' || (c_custkey % 300)""")
 def enrich_by_name(spark, d):

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
 from pagewatch.operators import changes as C
 from pagewatch.operators import stories as S
 from pagewatch.plans.common import joined, stable_digest_sql, table
+from pagewatch.sources.shared import new_folder
 from pagewatch.streaming import watch as ST
 
 QUERIES, SQL = {}, {}
@@ -131,7 +129,7 @@ def lane_requirements(spark, d):
     h AS (SELECT doc_id, guide::INT + CASE WHEN t1 THEN 5 ELSE 0 END + CASE WHEN s2 THEN 2 ELSE 0 END + CASE WHEN s2 THEN 0 ELSE 0 END AS score, date FROM s WHERE t1 AND s2) SELECT doc_id, score, date FROM h ORDER BY score DESC, date DESC, doc_id LIMIT 40""")
 def search(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 2 == 0, "guide").otherwise("article").alias("kind"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"), F.col("p_brand").alias("body"), F.col("p_size").alias("date"))
-    index = f"{_folder(spark)}/index"
+    index = f"{new_folder(spark)}/index"
     S.index_documents(docs).repartitionByRange("stem", "word").sortWithinPartitions("stem", "word").write.parquet(index)
     return S.search_index(spark.read.parquet(index), "The small écon")
 
@@ -139,19 +137,9 @@ def search(spark, d):
 # Streams: each reads a table as a stream of files and drains it.
 
 
-def _folder(spark) -> str:
-    """A new folder in the folder that all executors share. Only where none is set, and only on a local master, a temporary one takes its place."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/pagewatch-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-pagewatch-")
-
-
 def _file_stream(spark, df, name: str):
     """A table as files in the shared folder, to be read as a stream."""
-    path = f"{_folder(spark)}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
@@ -163,28 +151,28 @@ def stream_watch(spark, d):
     first = pages.select(F.col("page_id").cast("string").alias("source_id"), at(0).alias("read_at"), "html")
     second = pages.select(F.col("page_id").cast("string").alias("source_id"), at(1).alias("read_at"), F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>A new line.</p>"))).otherwise(F.col("html")).alias("html"))
     stream = _file_stream(spark, first.union(second), "snapshots")
-    return ST.drain(ST.stream_watch(stream), f"stream_watch_{abs(hash(d))}", _folder(spark)).select("source_id", "change_id", "added", "removed")
+    return ST.drain(ST.stream_watch(stream), f"stream_watch_{abs(hash(d))}", new_folder(spark)).select("source_id", "change_id", "added", "removed")
 
 
 @query("SELECT left(sha256(o_custkey || chr(10) || o_orderstatus || chr(10) || o_orderpriority), 24) AS change_id FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority")
 def stream_dedupe(spark, d):
     own = table(spark, d, "orders").select(C.T.change_id("o_custkey", "o_orderstatus", "o_orderpriority").alias("change_id"), F.lit("2024-01-01").cast("timestamp").alias("after_read_at"))
     stream = _file_stream(spark, own, "changes")
-    return ST.drain(ST.stream_dedupe(stream), f"stream_dedupe_{abs(hash(d))}", _folder(spark)).select("change_id")
+    return ST.drain(ST.stream_dedupe(stream), f"stream_dedupe_{abs(hash(d))}", new_folder(spark)).select("change_id")
 
 
 @query("SELECT ts::DATE::VARCHAR AS day, count(*) AS rounds, sum(event_id % 3)::BIGINT AS changed FROM events GROUP BY ts::DATE HAVING ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def daily_counts(spark, d):
     own = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("started_at"), (F.col("event_id") % 3).alias("changed"), F.col("value").alias("usd"))
     stream = _file_stream(spark, own, "rounds")
-    return ST.drain(ST.daily_counts(stream), f"daily_counts_{abs(hash(d))}", _folder(spark)).select(F.col("day").cast("string").alias("day"), "rounds", "changed")
+    return ST.drain(ST.daily_counts(stream), f"daily_counts_{abs(hash(d))}", new_folder(spark)).select(F.col("day").cast("string").alias("day"), "rounds", "changed")
 
 
 @query("""WITH b AS (SELECT o_orderkey % 500 AS id, o_orderdate AS d, o_orderstatus AS s, o_orderkey FROM orders) SELECT id, arg_max(s, (d, s)) AS title, max(d) AS last_seen_at, max(d) AS first_seen_at FROM b GROUP BY 1""")
 def stream_upsert(spark, d):
     own = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("id"), F.col("o_orderdate").alias("read_at"), F.col("o_orderstatus").alias("title"))
     stream = _file_stream(spark, own, "postings")
-    root, versions = _folder(spark), []
+    root, versions = new_folder(spark), []
     schema = "id long, read_at timestamp, title string, first_seen_at timestamp, last_seen_at timestamp"
 
     def read():
@@ -195,7 +183,7 @@ def stream_upsert(spark, d):
         versions.append(f"{root}/version-{number}")
 
     step = ST.stream_upsert(read, write, "id", "read_at")
-    progress = _folder(spark)
+    progress = new_folder(spark)
     for _ in range(2):  # the second time finds nothing new
         stream.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return read().select("id", "title", "first_seen_at", "last_seen_at")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
 from pagewatch.plans.common import joined, stable_digest_sql, table
-from pagewatch.sources import merge, registers, snapshots
+from pagewatch.sources import merge, registers, shared, snapshots
 
 QUERIES, SQL = {}, {}
 
@@ -31,7 +31,7 @@ def _snapshots(spark, d):
 
 
 @query("SELECT 's' || page_id AS source_id, CASE WHEN page_id % 3 = 1 THEN CAST(octet_length(encode(html)) AS VARCHAR) END AS n_bytes FROM pages")
-def read_snapshots(spark, d):
+def with_bodies(spark, d):
     own = _snapshots(spark, d)
     second = own.where(F.col("day") == F.lit("2024-01-02").cast("date")).where(~F.col("source_id").isin("none") & (F.substring("source_id", 2, 20).cast("long") % 3 == 1))
     return snapshots.with_bodies(own.select("source_id", "path"), second).select("source_id", F.octet_length("body").cast("string").alias("n_bytes"))
@@ -40,7 +40,7 @@ def read_snapshots(spark, d):
 @query(f"""WITH p AS (SELECT page_id, html, {stable_digest_sql('html')} AS h FROM pages),
     b AS (SELECT 's' || (page_id % 40) AS source_id, page_id, h FROM p WHERE page_id % 2 = 0), s AS (SELECT 's' || (page_id % 40) AS source_id, h FROM p WHERE page_id % 4 = 0)
     SELECT source_id, h AS sha256, min(page_id) AS first_page FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source_id = b.source_id AND s.h = b.h) GROUP BY ALL""")
-def append_snapshots(spark, d):
+def new_versions(spark, d):
     pages = table(spark, d, "pages").select(F.concat(F.lit("s"), (F.col("page_id") % 40).cast("string")).alias("source_id"), F.col("page_id").cast("string").alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("read_at"), F.lit("text/html").alias("content_type"), F.encode("html", "utf-8").alias("body"), "page_id", "html")
     stored = pages.where("page_id % 4 = 0").select("source_id", T.stable_digest("html").alias("sha256"))
     new = snapshots.new_versions(pages.where("page_id % 2 = 0").drop("page_id", "html"), stored)
@@ -51,7 +51,7 @@ def append_snapshots(spark, d):
     f AS (SELECT lower(name) AS key, arg_min(name, pos) AS name, arg_min(status, pos) AS status, min(pos) AS pos FROM r GROUP BY 1),
     s AS (SELECT key, string_agg(route, '|' ORDER BY p) AS routes FROM (SELECT lower(name) AS key, route, min(pos) AS p FROM r GROUP BY ALL) GROUP BY 1)
     SELECT key, name, status, routes, pos FROM f JOIN s USING (key)""")
-def read_register_csv(spark, d):
+def register_rows(spark, d):
     rows = table(spark, d, "part").withColumn("pos", F.col("p_partkey"))
     out = registers.register_rows(rows, "p_name", status="p_brand", route="p_type")
     return out.select("key", "name", "status", joined("routes").alias("routes"), "pos")
@@ -66,11 +66,55 @@ def read_register_html(spark, d):
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey * 1000 + 7 AS VARCHAR) END AS n FROM orders")
-def read_counts(spark, d):
+def count_cell(spark, d):
     cells = F.when(F.col("o_orderkey") % 5 == 0, F.element_at(F.array(*map(F.lit, registers.SUPPRESSED)), (F.floor(F.col("o_orderkey") / 5) % 5 + 1).cast("int"))).otherwise(F.format_number(F.col("o_custkey") * 1000 + 7, 0))
     return table(spark, d, "orders").select("o_orderkey", registers.count_cell(cells).cast("string").alias("n"))
 
 
+# Files: each is written to the shared folder first, then read as a publisher's would be.
+
+
+@query("SELECT 's' || page_id AS source_id, CASE WHEN page_id % 3 <> 0 THEN CAST(octet_length(encode(html)) AS VARCHAR) END AS n_bytes FROM pages")
+def read_snapshots(spark, d):
+    own, path = _snapshots(spark, d).drop("path", "day"), f"{shared.new_folder(spark)}/snapshots"
+    snapshots.append_snapshots(own, path, "all")
+    asked = snapshots.read_snapshots(spark, path).select("source_id", "path")
+    return snapshots.with_bodies(asked, snapshots.read_snapshots(spark, path, "2024-01-02")).select("source_id", F.octet_length("body").cast("string").alias("n_bytes"))
+
+
+@query(f"""WITH p AS (SELECT 's' || (page_id % 40) AS source_id, page_id, {stable_digest_sql('html')} AS h FROM pages),
+    a AS (SELECT source_id, h, min(page_id) AS page FROM p WHERE page_id % 4 = 0 GROUP BY ALL), b AS (SELECT source_id, h, min(page_id) AS page FROM p WHERE (source_id, h) NOT IN (SELECT (source_id, h) FROM a) GROUP BY ALL)
+    SELECT 'first' AS batch, source_id, h AS sha256, page FROM a UNION ALL SELECT 'second', source_id, h, page FROM b""")
+def append_snapshots(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("s"), (F.col("page_id") % 40).cast("string")).alias("source_id"), F.col("page_id").cast("string").alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("read_at"), F.lit("text/html").alias("content_type"), F.encode("html", "utf-8").alias("body"))
+    path = f"{shared.new_folder(spark)}/snapshots"
+    # The second batch comes twice, then once more under another name: neither adds a row.
+    for rows, batch in ((pages.where("page_id % 4 = 0"), "first"), (pages, "second"), (pages, "second"), (pages, "third")):
+        snapshots.append_snapshots(rows.drop("page_id"), path, batch)
+    return snapshots.read_snapshots(spark, path).select("batch", "source_id", "sha256", F.col("url").cast("long").alias("page"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS pos, trim(p_name) AS name, p_brand || ', "new"' AS status, p_type AS route FROM part),
+    f AS (SELECT lower(name) AS key, arg_min(name, pos) AS name, arg_min(status, pos) AS status FROM r GROUP BY 1),
+    s AS (SELECT key, string_agg(route, '|' ORDER BY p) AS routes FROM (SELECT lower(name) AS key, route, min(pos) AS p FROM r GROUP BY ALL) GROUP BY 1)
+    SELECT key, name, status, routes FROM f JOIN s USING (key)""")
+def read_register_csv(spark, d):
+    path = f"{shared.new_folder(spark)}/register"
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), "p_name").alias("Organisation Name"), F.concat("p_brand", F.lit(', "new"')).alias("Rating"), F.col("p_type").alias("Route"))
+    # A publisher's files are in order by name, and within.
+    rows.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").drop("p_partkey").write.option("header", True).option("escape", '"').csv(path)
+    out = registers.read_register_csv(spark, path, "Organisation Name", status="Rating", route="Route")
+    return out.select("key", "name", "status", joined("routes").alias("routes"))
+
+
+@query("SELECT 'College, ' || o_orderkey AS name, o_custkey * 1000 + 7 AS n FROM orders WHERE o_orderkey % 5 <> 0")
+def read_counts(spark, d):
+    cells = F.when(F.col("o_orderkey") % 5 == 0, F.element_at(F.array(*map(F.lit, registers.SUPPRESSED)), (F.floor(F.col("o_orderkey") / 5) % 5 + 1).cast("int"))).otherwise(F.format_number(F.col("o_custkey") * 1000 + 7, 0))
+    path = f"{shared.new_folder(spark)}/counts"
+    table(spark, d, "orders").select(F.concat(F.lit(" College, "), F.col("o_orderkey").cast("string")).alias("Institution"), cells.alias("Permit holders"), F.lit("x").alias("a"), F.lit("y").alias("b")).write.option("header", True).option("sep", "\t").csv(path)
+    return registers.read_counts(spark, path, "Institution", "Permit holders")
+
+
 def _postings(spark, d):
     own = table(spark, d, "orders").select((F.col("o_orderkey") % 6000).alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("note"), "o_orderdate", "o_orderkey")
     return own.where("o_orderkey % 2 = 0"), own.where("o_orderkey % 2 = 1 or o_orderkey % 7 = 0")

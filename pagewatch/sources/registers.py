@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from pagewatch.functions import text as T
 
@@ -37,10 +38,23 @@ def register_rows(rows: DataFrame, name: str, status: str | None = None, locatio
     return out.select("key", "first.name", "first.status", "first.location", F.col("routes.route").alias("routes"), "pos")
 
 
-def read_register_csv(spark: SparkSession, path: str, name: str, **columns: str | None) -> DataFrame:
-    """A register published as CSV with a header."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    return register_rows(rows.withColumn("pos", F.monotonically_increasing_id()), name, **columns)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", lines: bool = False) -> DataFrame:
+    """A published CSV with a header, all as strings, with pos and corrupt. pos: file, place of the split in it, row within; it orders rows as they stand in files that are
+    ordered by their names, however the files are split.
+
+    corrupt is the line as it stands where it has more or fewer cells than the header; its cells are what could be read. Files whose header differs are an error. lines: may
+    cells hold line ends? Files are then not split.
+    """
+    read = spark.read.option("header", True).option("encoding", "UTF-8").option("sep", sep).option("multiLine", lines).option("escape", '"')
+    names = read.csv(path).columns
+    schema = types.StructType([types.StructField(x, types.StringType()) for x in (*names, "corrupt")])
+    rows = read.schema(schema).option("enforceSchema", False).option("columnNameOfCorruptRecord", "corrupt").csv(path)
+    return rows.withColumn("pos", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
+
+
+def read_register_csv(spark: SparkSession, path: str, name: str, lines: bool = False, **columns: str | None) -> DataFrame:
+    """A register published as CSV with a header: register_rows() of all its lines. Of a corrupt line what could be read counts."""
+    return register_rows(read_csv(spark, path, lines=lines), name, **columns)
 
 
 _ROW = re.compile(r"<tr\b.*?(?=<tr\b|</table|$)", re.I | re.S)
@@ -80,7 +94,10 @@ def count_cell(cell: T.Col) -> Column:
 
 def read_counts(spark: SparkSession, path: str, name: str, count: str) -> DataFrame:
     """name and n of a file of counts; its delimiter is whichever of tab and comma its head has more of."""
-    head = F.concat_ws("\n", F.collect_list("value"))
-    sample = spark.read.text(path).limit(50).agg(F.left(head, F.lit(4000)).alias("s")).first()["s"] or ""
-    rows = spark.read.option("header", True).option("sep", "\t" if sample.count("\t") > sample.count(",") else ",").csv(path)
+    # The head is a few lines, and is for the delimiter alone.
+    sample = "\n".join(r["value"] for r in spark.read.text(path).limit(20).collect())[:4000]
+    rows = read_csv(spark, path, "\t" if sample.count("\t") > sample.count(",") else ",")
+    for x in (name, count):
+        if x not in rows.columns:
+            raise ValueError(f"no column named {x!r} in the counts; columns are {rows.columns}")
     return rows.select(F.trim(name).alias("name"), count_cell(count).alias("n")).where("n is not null and name <> ''")

@@ -1,4 +1,4 @@
-"""Stored versions of pages: one Parquet table, in folders by day."""
+"""Stored versions of pages: one Parquet table, in folders by day, and by the batch that wrote them."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
+from pagewatch.sources import shared
 
-SCHEMA = "source_id string, url string, read_at timestamp, content_type string, body binary, sha256 string, raw_sha256 string, path string, day date"
+SCHEMA = "source_id string, url string, read_at timestamp, content_type string, body binary, sha256 string, raw_sha256 string, path string, day date, batch string"
 
 
 def read_snapshots(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
@@ -33,13 +34,13 @@ def new_versions(pages: DataFrame, stored: DataFrame) -> DataFrame:
     return first.withColumn("path", F.concat_ws("/", "source_id", F.date_format("read_at", "yyyy-MM-dd"), F.concat(F.date_format("read_at", "HHmmss"), F.lit(".html"))))
 
 
-def append_snapshots(pages: DataFrame, path: str) -> None:
-    """Append the new versions to the table at path, in folders by day."""
+def append_snapshots(pages: DataFrame, path: str, batch: str) -> None:
+    """Append the new versions to the table at path, in folders by day and batch.
+
+    What other batches have stored isn't new, whoever wrote it. A batch that is written again, after a failure or twice, takes the place of what it
+    wrote before, in the same folders, so that a retry adds nothing.
+    """
     spark = pages.sparkSession
-    try:
-        stored = read_snapshots(spark, path)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = spark.createDataFrame([], SCHEMA)
-    new_versions(pages, stored).write.mode("append").partitionBy("day").parquet(path)
+    stored = read_snapshots(spark, path).where(F.col("batch") != batch) if shared.exists(spark, path) else spark.createDataFrame([], SCHEMA)
+    new = new_versions(pages, stored).withColumn("batch", F.lit(batch))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
