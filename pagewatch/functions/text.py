@@ -216,17 +216,28 @@ def ranking_slug(name: Col) -> Column:
 # Figures, obligations, money
 
 
+_FIGURE = r"(\d[\d.,]*)"
+_DUTIES = {w: kind for kind, own in (("obligation", W.OBLIGATION), ("permission", W.PERMISSION), ("negation", W.NEGATION)) for w in own}
+_DUTY = rf"\b({'|'.join(sorted({*_DUTIES, W.REFUSED}, key=lambda w: (-len(w), w)))})\b"
+
+
+def said(text: str) -> tuple[list[str], list[str]]:
+    """numbers_in and modality_in of one text outside of a DataFrame: for state functions, which see the lines that moved."""
+    figures = sorted(re.sub("[.,]", "", x) for x in re.findall(_FIGURE, text, re.A))
+    found = (x.lower() for x in re.findall(_DUTY, text, re.I))
+    return figures, sorted(kind for w in found for kind in (("negation", "permission") if w == W.REFUSED else (_DUTIES[w],)))
+
+
 def numbers_in(text: Col) -> Column:
     """Sorted figures of a text; 1.270 and 1,270 are the same."""
-    found = F.regexp_extract_all(c(text), F.lit(r"(\d[\d.,]*)"), 1)
+    found = F.regexp_extract_all(c(text), F.lit(_FIGURE), 1)
     return F.array_sort(F.transform(found, lambda x: F.regexp_replace(x, "[.,]", "")))
 
 
 def modality_in(text: Col) -> Column:
     """Sorted obligations, permissions and negations of a text, each as often as it occurs."""
-    lookup = F.create_map(*(F.lit(x) for kind, own in (("obligation", W.OBLIGATION), ("permission", W.PERMISSION), ("negation", W.NEGATION)) for w in own for x in (w, kind)))
-    every = sorted({*W.OBLIGATION, *W.PERMISSION, *W.NEGATION, W.REFUSED}, key=lambda w: (-len(w), w))
-    found = F.transform(F.regexp_extract_all(c(text), F.lit(rf"(?iU)\b({'|'.join(every)})\b"), 1), F.lower)
+    lookup = F.create_map(*(F.lit(x) for pair in _DUTIES.items() for x in pair))
+    found = F.transform(F.regexp_extract_all(c(text), F.lit(f"(?iU){_DUTY}"), 1), F.lower)
     kinds = F.transform(found, lambda w: F.when(w == W.REFUSED, F.array(F.lit("negation"), F.lit("permission"))).otherwise(F.array(F.element_at(lookup, w))))
     return F.array_sort(F.flatten(kinds))
 

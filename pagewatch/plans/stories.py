@@ -146,12 +146,16 @@ def _file_stream(spark, df, name: str):
 
 @query(f"""SELECT page_id::VARCHAR AS source_id, left(sha256(page_id || chr(10) || {stable_digest_sql('html')} || chr(10) || {stable_digest_sql("(html || '<p>A new line.</p>')")}), 24) AS change_id, 1 AS added, 1 AS removed FROM pages WHERE page_id % 2 = 0""")
 def stream_watch(spark, d):
-    pages = table(spark, d, "pages")
-    at = lambda k: F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * k))
-    first = pages.select(F.col("page_id").cast("string").alias("source_id"), at(0).alias("read_at"), "html")
-    second = pages.select(F.col("page_id").cast("string").alias("source_id"), at(1).alias("read_at"), F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>A new line.</p>"))).otherwise(F.col("html")).alias("html"))
-    stream = _file_stream(spark, first.union(second), "snapshots")
-    return ST.drain(ST.stream_watch(stream), f"stream_watch_{abs(hash(d))}", new_folder(spark)).select("source_id", "change_id", "added", "removed")
+    pages = table(spark, d, "pages").withColumn("source_id", F.col("page_id").cast("string"))
+    at = lambda k: F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * k)).alias("read_at")
+    later = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>A new line.</p>"))).otherwise(F.col("html")).alias("html")
+    first, second, third = pages.select("source_id", at(0), "html"), pages.select("source_id", at(1), later), pages.select("source_id", at(5), later)
+    # The second day's files come first; the last reading, which changes nothing, brings the watermark past both.
+    path = f"{new_folder(spark)}/snapshots"
+    for k, day in enumerate((second, first, third)):
+        day.coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{path}/part={k}")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    return ST.drain(ST.stream_watch(stream, "2 days"), f"stream_watch_{abs(hash(d))}", new_folder(spark)).select("source_id", "change_id", "added", "removed")
 
 
 @query("SELECT left(sha256(o_custkey || chr(10) || o_orderstatus || chr(10) || o_orderpriority), 24) AS change_id FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority")

@@ -2,49 +2,109 @@
 
 from __future__ import annotations
 
-import difflib
+import datetime
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pagewatch.functions import text as T
+from pagewatch.operators.changes import SAME_MEANING, moves, same_meaning
 from pagewatch.sources import merge
 
-CHANGES = "source_id string, change_id string, read_at timestamp, before_digest string, digest string, added int, removed int"
-STATE = "digest string, read_at timestamp, text string"
-
-
-def stream_watch(snapshots: DataFrame) -> DataFrame:
-    """A stream of snapshots (source_id, read_at, html) to a stream of change rows, with the last version of each source as state.
-
-    Digest and text are made by built-in functions before the state; the state sees each source's versions in order of their time. Equal digests
-    and equal lines make no row, but the digest moves. Versions older than the last one seen are left out.
+CHANGES = "source_id string, change_id string, at long, before_digest string, digest string, outcome string, added int, removed int"
+#: What is kept of a source: the digest last read, the text of the version last stored (compressed), when it was read (microseconds), and when it counts as silent (milliseconds).
+STATE = "digest string, text binary, at long, silent_at long"
+#: Versions that wait for the watermark, by time and digest.
+WAITING_KEY, WAITING = "at long, digest string", "text binary, vec_before array<double>, vec_after array<double>"
+#: transformWithState keeps its state in this store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _ms(at: int) -> int:
+    """Milliseconds of a time in microseconds, rounded up: a timer of then has the version behind it."""
+    return -(-at // 1000)
+
+
+class Watch(StatefulProcessor):
+    """The versions of a source in the order of their time, as far as the watermark has come."""
+
+    def __init__(self, silent_ms: int | None, threshold: float) -> None:
+        self.silent_ms, self.threshold = silent_ms, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+        self.waiting = handle.getMapState("waiting", WAITING_KEY, WAITING)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        last = self.last.get() if self.last.exists() else None
+        for r in rows:
+            # What was read before the version last compared comes too late to be put in its place.
+            if last is None or r.at > last[2]:
+                self.waiting.updateValue((r.at, r.digest), (zlib.compress(r.text.encode(), 1), r.vec_before, r.vec_after))
+                self.handle.registerTimer(_ms(r.at))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        out: list[Row] = []
+        last = tuple(self.last.get()) if self.last.exists() else None
+        due = sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if _ms(k[0]) <= now), key=lambda x: x[0]) if self.waiting.exists() else []
+        for (at, digest), (packed, vec_before, vec_after) in due:
+            self.waiting.removeKey((at, digest))
+            last = self._step(key[0], last, at, digest, packed, vec_before, vec_after, out)
+        if due:
+            silent_at = _ms(last[2]) + self.silent_ms if self.silent_ms is not None else None
+            self.last.update((*last[:3], silent_at))
+            if silent_at is not None:
+                self.handle.registerTimer(silent_at)
+        elif last is not None and last[3] is not None and last[3] <= now:
+            # Nothing came after it: the source has fallen silent, and nothing is kept of it. When it speaks again it begins anew.
+            out.append(Row(source_id=key[0], change_id=None, at=last[2], before_digest=last[0], digest=None, outcome="silent", added=0, removed=0))
+            self.last.clear()
+        return iter(out)
+
+    def _step(self, source: str, last: tuple | None, at: int, digest: str, packed: bytes, vec_before: list | None, vec_after: list | None, out: list[Row]) -> tuple:
+        """The state after a version; a change goes to out."""
+        if last is None or (last[0] == digest):
+            return (digest, bytes(packed) if last is None else last[1], at, None)
+        old, new = (zlib.decompress(bytes(x)).decode() for x in (last[1], packed))
+        if old == new:
+            return (digest, last[1], at, None)
+        moved = moves(*([x for x in t.split("\n") if x] for t in (old, new)))
+        if same_meaning(moved["gone"], moved["come"], vec_before, vec_after, self.threshold):
+            return (digest, last[1], at, None)
+        change = hashlib.sha256(f"{source}\n{last[0]}\n{digest}".encode()).hexdigest()[:24]
+        out.append(Row(source_id=source, change_id=change, at=at, before_digest=last[0], digest=digest, outcome="changed", added=moved["added"], removed=moved["removed"]))
+        return (digest, bytes(packed), at, None)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_watch(snapshots: DataFrame, delay: str = "1 day", silent: datetime.timedelta | None = None, threshold: float = SAME_MEANING) -> DataFrame:
+    """A stream of snapshots (source_id, read_at, html, and where there are any vec_before and vec_after) to a stream of change rows.
+
+    Digest and text are made by built-in functions before the state. Versions wait until the watermark (read_at less the delay) has passed them, and are then
+    compared in the order of their time, so that files may come in any order within the delay; what comes later than that is left out. Each goes through the gates of
+    the batch watch (watch_round): equal digests, equal lines and the same meaning in other words make no row. Then the digest moves; the stored text only with a change. A
+    page's vectors are those of what this version removed and added.
+
+    Of a source the state holds one text, compressed, and what waits. silent: where no version has come for so long after the last (by the watermark), the source gets a row with
+    outcome "silent" and its state goes. A null html or source_id is no version. The session's state store has to be RocksDB (see drain, which sets it).
     """
-    own = snapshots.select("source_id", "read_at", T.stable_digest("html").alias("digest"), F.array_join(T.lines(T.page_text("html")), "\n").alias("text"))
-
-    def follow(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        digest, at, text = state.get if state.exists else (None, None, None)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["read_at", "digest"]).itertuples(index=False):
-            if at is not None and r.read_at <= pd.Timestamp(at):
-                continue
-            if digest is not None and r.digest != digest and r.text != text:
-                diff = list(difflib.ndiff(text.split("\n"), r.text.split("\n")))
-                added, removed = (sum(x.startswith(s) for x in diff) for s in ("+ ", "- "))
-                change = hashlib.sha256(f"{key[0]}\n{digest}\n{r.digest}".encode()).hexdigest()[:24]
-                rows.append((key[0], change, r.read_at, digest, r.digest, added, removed))
-            digest, at, text = r.digest, r.read_at, r.text
-        if digest is not None:
-            state.update((digest, pd.Timestamp(at).to_pydatetime(), text))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHANGES.split(", ")])
-
-    return own.groupBy("source_id").applyInPandasWithState(follow, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    vectors = [F.col(x).cast("array<double>").alias(x) if x in snapshots.columns else F.lit(None).cast("array<double>").alias(x) for x in ("vec_before", "vec_after")]
+    own = snapshots.where("html is not null and source_id is not null and read_at is not null").select("source_id", "read_at", T.stable_digest("html").alias("digest"), F.array_join(T.lines(T.page_text("html")), "\n").alias("text"), F.unix_micros("read_at").alias("at"), *vectors)
+    silent_ms = None if silent is None else silent // datetime.timedelta(milliseconds=1)
+    rows = own.withWatermark("read_at", delay).groupBy("source_id").transformWithState(Watch(silent_ms, threshold), CHANGES, "append", "eventTime")
+    return rows.select("source_id", "change_id", F.timestamp_micros("at").alias("read_at"), "before_digest", "digest", "outcome", "added", "removed")
 
 
 def stream_upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], key: str, at: str) -> Callable[[DataFrame, int], None]:
@@ -76,6 +136,12 @@ def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Everything that a stream has now, as a table: for backfills and tests. Executors write it as Parquet beside the checkpoint; no row goes to the driver."""
     name = _SAFE.sub("_", name.lower())
     path = f"{checkpoint.rstrip('/')}-{name}"
-    query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
