@@ -59,8 +59,6 @@ LISTED = frozenset("p li dt dd tr td th option pre blockquote figure hr".split()
 HEADINGS = frozenset(["h1", "h2"])
 #: Inside an article its own header holds the heading.
 IN_ARTICLE = frozenset(["header"])
-#: Levels of a wrapper: what lies deeper counts as text of the last one. Reading has no such bound.
-LEVELS = 100
 #: Nodes that a task holds before it hands on its wrappers.
 HELD = 200_000
 
@@ -228,7 +226,6 @@ def page_wrapper(page: str | None) -> Node:
 def _wrapper(events: list[tuple]) -> Node:
     root: Node = ["", False, False, 1, 0, 0, []]
     stack = [root]
-    deeper = 0
 
     def close(node: Node) -> None:
         node[CHARS] += sum(x[CHARS] for x in node[PARTS])
@@ -236,11 +233,7 @@ def _wrapper(events: list[tuple]) -> Node:
         node[PARTS] = _fold(node[PARTS], lambda a, b: "." in b[KEY] or _tag(b[KEY]) in LISTED)
 
     for event in events:
-        if event[0] == "open" and len(stack) > LEVELS:
-            deeper += 1
-        elif event[0] == "close" and deeper:
-            deeper -= 1
-        elif event[0] == "open":
+        if event[0] == "open":
             node: Node = [event[1], False, False, 1, 0, 0, []]
             stack[-1][PARTS].append(node)
             stack.append(node)
@@ -286,11 +279,23 @@ def _fold_groups(parts: list[Node]) -> list[Node]:
     return parts
 
 
+def _below(node: Node) -> list[Node]:
+    """The nodes of a tree, each before what it contains: backwards, each after. Trees are as deep as pages are; nothing here recurses."""
+    out, open_ = [], [node]
+    while open_:
+        out.append(x := open_.pop())
+        open_ += x[PARTS]
+    return out
+
+
 def resolve(node: Node) -> Node:
     """The wrapper with its mismatches resolved: optional tokens that go on like their neighbours are repeats. Within a page of its own, any do."""
-    alone = node[PAGES] == 1
-    parts = _fold([resolve(x) for x in node[PARTS]], lambda a, b: alone or b[OPTIONAL] or a[REPEATED])
-    return [*node[:PARTS], _fold_groups(parts)]
+    done: dict[int, Node] = {}
+    for x in reversed(_below(node)):
+        alone = x[PAGES] == 1
+        parts = _fold([done[id(y)] for y in x[PARTS]], lambda a, b, alone=alone: alone or b[OPTIONAL] or a[REPEATED])
+        done[id(x)] = [*x[:PARTS], _fold_groups(parts)]
+    return done[id(node)]
 
 
 def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
@@ -323,21 +328,52 @@ def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]
 
 def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """The least general wrapper of two with the same first token."""
-    pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
-    fixed = a[FIXED] if a[FIXED] == b[FIXED] and not same_page else None
-    if same_page and a[FIXED] is not None and b[FIXED] is not None:
-        fixed = _combined((a[FIXED], b[FIXED]))
-    out: Node = [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], fixed, []]
-    for x, y in _align(a[PARTS], b[PARTS]):
-        if x and y:
-            out[PARTS].append(_merge(x, y, same_page))
-        else:
-            out[PARTS].append([*(x or y)[:OPTIONAL], True, *(x or y)[REPEATED:]])
-    return out
+
+    def both(a: Node, b: Node) -> Node:
+        pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
+        fixed = a[FIXED] if a[FIXED] == b[FIXED] and not same_page else None
+        if same_page and a[FIXED] is not None and b[FIXED] is not None:
+            fixed = _combined((a[FIXED], b[FIXED]))
+        return [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], fixed, []]
+
+    root = both(a, b)
+    open_ = [(a, b, root)]
+    while open_:
+        a, b, out = open_.pop()
+        for x, y in _align(a[PARTS], b[PARTS]):
+            if x and y:
+                out[PARTS].append(both(x, y))
+                open_.append((x, y, out[PARTS][-1]))
+            else:
+                out[PARTS].append([*(x or y)[:OPTIONAL], True, *(x or y)[REPEATED:]])
+    return root
 
 
 def _count(node: Node) -> int:
-    return 1 + sum(map(_count, node[PARTS]))
+    return len(_below(node))
+
+
+def flat(node: Node) -> list:
+    """A wrapper as one list: each node's fields and how many parts it has, before those of its parts."""
+    out, open_ = [], [node]
+    while open_:
+        x = open_.pop()
+        out.append([*x[:PARTS], len(x[PARTS])])
+        open_ += reversed(x[PARTS])
+    return out
+
+
+def from_flat(rows: list) -> Node:
+    root: Node = [*rows[0][:PARTS], []]
+    open_ = [(root, rows[0][PARTS])]
+    for row in rows[1:]:
+        while not open_[-1][1]:
+            open_.pop()
+        parent, left = open_.pop()
+        node: Node = [*row[:PARTS], []]
+        parent[PARTS].append(node)
+        open_ += [(parent, left - 1), (node, row[PARTS])]
+    return root
 
 
 def align(a: Node, b: Node) -> Node:
@@ -375,32 +411,47 @@ class _Wrappers:
 
     def add_json(self, text: str) -> None:
         own = json.loads(text)
-        self.add(own["wrapper"], None if own["common"] is None else frozenset(own["common"]))
+        self.add(from_flat(own["wrapper"]), None if own["common"] is None else frozenset(own["common"]))
 
     def to_json(self) -> str:
         own = self.stack[-1][1]
         for _, x in self.stack[-2::-1]:
             own = align(x, own)
-        return json.dumps({"wrapper": own, "common": None if self.common is None else sorted(self.common)})
+        return json.dumps({"wrapper": flat(own), "common": None if self.common is None else sorted(self.common)})
 
 
-def _main_only(node: Node, inside: bool = False) -> Node:
+def _main_only(node: Node) -> Node:
     """Without parts that never hold main text."""
-    inside = inside or _article(node[KEY]) > 0
-    return [*node[:PARTS], [_main_only(x, inside) for x in node[PARTS] if x[KEY] in (GROUP, SLOT) or not _never(x[KEY], inside)]]
+    root: Node = [*node[:PARTS], []]
+    open_ = [(node, root, False)]
+    while open_:
+        x, out, inside = open_.pop()
+        inside = inside or _article(x[KEY]) > 0
+        for y in x[PARTS]:
+            if y[KEY] in (GROUP, SLOT) or not _never(y[KEY], inside):
+                out[PARTS].append([*y[:PARTS], []])
+                open_.append((y, out[PARTS][-1], inside))
+    return root
 
 
 def expression(node: Node) -> str:
     """The wrapper as a regular expression over tokens."""
-    inner = "".join(map(expression, node[PARTS]))
-    if node[KEY] == SLOT:
-        own = "=" if _constant(node) else "#"
-    elif node[KEY] in ("", GROUP):
-        own = inner
-    else:
-        own = f"<{node[KEY]}>{inner}</>"
-    mark = "*" if node[OPTIONAL] and node[REPEATED] else "?" if node[OPTIONAL] else "+" if node[REPEATED] else ""
-    return f"({own}){mark}" if mark else own
+    out: list[str] = []
+    open_: list[Node | str] = [node]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        mark = "*" if x[OPTIONAL] and x[REPEATED] else "?" if x[OPTIONAL] else "+" if x[REPEATED] else ""
+        tag = x[KEY] not in ("", GROUP, SLOT)
+        out.append("(" * bool(mark) + (f"<{x[KEY]}>" if tag else ""))
+        open_.append("</>" * tag + (f"){mark}" if mark else ""))
+        if x[KEY] == SLOT:
+            out.append("=" if _constant(x) else "#")
+        else:
+            open_ += reversed(x[PARTS])
+    return "".join(out)
 
 
 def _constant(node: Node) -> bool:
@@ -408,31 +459,67 @@ def _constant(node: Node) -> bool:
     return node[FIXED] is not None and node[PAGES] > 1
 
 
-def _varying(node: Node, every: bool, inside: bool, marks: bool = True) -> float:
-    """Characters of varying text in a part; every: constants count too. What never holds main text has none, marked parts an eighth."""
-    if node[KEY] == SLOT:
-        return node[CHARS] if every or not _constant(node) else 0
-    if node[KEY] != GROUP:
-        if _never(node[KEY], inside) or not every and _constant(node):
-            return 0
-        inside = inside or _article(node[KEY]) > 0
-    own = sum(_varying(x, every, inside, marks) for x in node[PARTS])
-    return own / WEAK if marks and node[KEY] != GROUP and _marked(node[KEY], inside) else own
+class _Varying:
+    """Characters of varying text in each part of a wrapper; every: constants count too. What never holds main text has none, marked parts an eighth.
+
+    A part is asked for as it counts inside an article, and outside of one: both are added up from below, once for the whole wrapper.
+    """
+
+    def __init__(self, wrapper: Node, every: bool, marks: bool = True) -> None:
+        self.every, self.marks = every, marks
+        self.known: dict[int, tuple[float, float]] = {}
+        self.add(wrapper)
+
+    def add(self, wrapper: Node) -> None:
+        for x in reversed(_below(wrapper)):
+            self.known[id(x)] = (self._own(x, False), self._own(x, True))
+
+    def _own(self, x: Node, inside: bool) -> float:
+        if x[KEY] == SLOT:
+            return x[CHARS] if self.every or not _constant(x) else 0
+        if x[KEY] != GROUP:
+            if _never(x[KEY], inside) or not self.every and _constant(x):
+                return 0
+            inside = inside or _article(x[KEY]) > 0
+        own = sum(self.known[id(y)][inside] for y in x[PARTS])
+        return own / WEAK if self.marks and x[KEY] != GROUP and _marked(x[KEY], inside) else own
+
+    def of(self, x: Node, inside: bool = False) -> float:
+        return self.known[id(x)][inside]
+
+    def parts_of(self, x: Node, inside: bool = False) -> float:
+        """What a part's own parts hold together, whatever it is itself."""
+        return sum(self.known[id(y)][inside] for y in x[PARTS])
 
 
-def _parts(node: Node) -> Iterator[Node]:
-    """What a part contains; groups count as what they repeat."""
+def _parts(node: Node) -> Iterator[tuple[Node, bool]]:
+    """What a part contains, and whether it repeats; groups count as what they repeat."""
     for x in node[PARTS]:
         if x[KEY] == GROUP:
-            yield from ([*y[:REPEATED], True, *y[PAGES:]] for y in _parts(x))
+            yield from ((y, True) for y, _ in _parts(x))
         else:
-            yield x
+            yield x, x[REPEATED]
 
 
-def _has_heading(node: Node, every: bool) -> bool:
-    if node[KEY] in (SLOT, GROUP) or _never(node[KEY], False) or _marked(node[KEY], False):
-        return False
-    return _tag(node[KEY]) in HEADINGS and _varying(node, every, False) > 0 or any(_has_heading(x, every) for x in _parts(node))
+def _headed(wrapper: Node, varying: _Varying) -> set[int]:
+    """Of the nodes: those that are or contain a heading that varies."""
+    out: set[int] = set()
+    for x in reversed(_below(wrapper)):
+        if x[KEY] == GROUP and any(id(y) in out for y in x[PARTS]):
+            out.add(id(x))
+        elif x[KEY] in (SLOT, GROUP) or _never(x[KEY], False) or _marked(x[KEY], False):
+            continue
+        elif _tag(x[KEY]) in HEADINGS and varying.of(x) > 0 or any(id(y) in out for y in x[PARTS]):
+            out.add(id(x))
+    return out
+
+
+def _path(place: tuple | None) -> str:
+    keys = []
+    while place is not None:
+        place, key = place
+        keys.append(key)
+    return "".join(f"/{x}" for x in reversed(keys))
 
 
 def reading(wrapper: Node) -> dict:
@@ -446,49 +533,55 @@ def reading(wrapper: Node) -> dict:
     """
     wrapper = resolve(wrapper)
     pages = max(wrapper[PAGES], 1)
-    every = not _varying(wrapper, False, False)
-    total, whole = _varying(wrapper, every, False), _varying(wrapper, True, False)
+    varying, all_text = _Varying(wrapper, False), _Varying(wrapper, True)
+    every = not varying.of(wrapper)
+    if every:
+        varying = all_text
+    total, whole = varying.of(wrapper), all_text.of(wrapper)
     sure: list[tuple] = []
-
-    def articles(node: Node, path: str, inside: bool) -> None:
-        for x in _parts(node):
+    unweighed: dict[bool, _Varying] = {}
+    # A place is its parent's place and a token: paths are spelt out for few.
+    open_: list[tuple[Node, tuple | None, bool]] = [(wrapper, None, False)]
+    while open_:
+        node, place, inside = open_.pop()
+        for x, _ in reversed(list(_parts(node))):
             if x[KEY] == SLOT or _never(x[KEY], inside):
                 continue
-            here = f"{path}/{x[KEY]}"
+            here = (place, x[KEY])
             if _article(x[KEY]) and not (_tag(x[KEY]) == "article" and _marked(x[KEY], False)) and 2 * x[PAGES] >= pages:
-                marks = _marked(x[KEY], True)
-                own, all_ = _varying(x, every, False, marks), _varying(x, True, False, marks)
+                if _marked(x[KEY], True):
+                    own, all_ = varying.of(x), all_text.of(x)
+                else:
+                    unweighed = unweighed or {k: _Varying(wrapper, k, marks=False) for k in (every, True)}
+                    own, all_ = unweighed[every].of(x), unweighed[True].of(x)
                 if own and 5 * own >= total or all_ and 5 * all_ >= whole:
-                    sure.append((min(_article(x[KEY]), 2), own, all_, here, x))
-            articles(x, here, inside or _article(x[KEY]) > 0)
-
-    articles(wrapper, "", False)
+                    sure.append((min(_article(x[KEY]), 2), own, all_, _path(here), x))
+            open_.append((x, here, inside or _article(x[KEY]) > 0))
     if sure:
         *_, main, node = max(sure, key=lambda s: s[:4])
     else:
-        main, node = "", wrapper
+        main, node, headed = "", wrapper, _headed(wrapper, varying)
         while True:
-            parts = [x for x in _parts(node) if x[KEY] != SLOT]
-            own = [(_varying(x, every, False), f"{main}/{x[KEY]}", x) for x in parts]
-            rest = _varying([*node[:KEY], GROUP, *node[OPTIONAL:]], every, False)
-            big = [o for o in own if 5 * o[0] > 3 * rest and not o[2][REPEATED] and _tag(o[2][KEY]) not in LISTED | HEADINGS]
-            if not big or any(_has_heading(x, every) for x in parts if x is not big[0][2]):
+            parts = [(x, repeated) for x, repeated in _parts(node) if x[KEY] != SLOT]
+            rest = varying.parts_of(node)
+            big = [x for x, repeated in parts if 5 * varying.of(x) > 3 * rest and not repeated and _tag(x[KEY]) not in LISTED | HEADINGS]
+            if not big or any(id(x) in headed for x, _ in parts if x is not big[0]):
                 break
-            _, main, node = big[0]
+            node = big[0]
+            main += f"/{node[KEY]}"
     inside = bool(sure)
-    whole = max(_varying([*node[:KEY], GROUP, *node[OPTIONAL:]], every, inside), 1e-9)
+    whole = max(varying.parts_of(node, inside), 1e-9)
     spared: list[str] = []
-
-    def spare(node: Node, path: str) -> None:
-        for x in _parts(node):
+    open_ = [(node, None, inside)]
+    while open_:
+        node, place, _ = open_.pop()
+        for x, _ in reversed(list(_parts(node))):
             if x[KEY] != SLOT and not _never(x[KEY], inside):
-                here = f"{path}/{x[KEY]}"
-                if _marked(x[KEY], inside) and 2 * _varying(x, every, inside) > whole:
-                    spared.append(here)
-                spare(x, here)
-
-    spare(node, main)
-    return {"main": main, "article": inside, "spared": spared, "template": not sure and not every and pages > 1}
+                here = (place, x[KEY])
+                if _marked(x[KEY], inside) and 2 * varying.of(x, inside) > whole:
+                    spared.append(main + _path(here))
+                open_.append((x, here, inside))
+    return {"main": main, "article": inside, "spared": sorted(spared), "template": not sure and not every and pages > 1}
 
 
 def _blocks(events: list[tuple], main: str = "", article: bool = False, spared: Iterable[str] = ()) -> tuple[list[tuple[int, str]], bool]:
@@ -605,7 +698,7 @@ def extract_main_text(pages: DataFrame, id: str = "page_id", url: str = "url", b
     def how(wrappers: pd.Series) -> pd.Series:
         def one(text: str) -> str:
             own = json.loads(text)
-            found = reading(own["wrapper"])
+            found = reading(from_flat(own["wrapper"]))
             return json.dumps(found | ({"common": own["common"]} if found.pop("template") and own["common"] else {}))
 
         return wrappers.map(one)

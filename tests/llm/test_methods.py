@@ -304,3 +304,49 @@ def test_nested_groups_stay_within_the_stack():
     # Repeats aren't gone down into: the main part is all of the page.
     assert wrappers.reading(own)["main"] == "" and "(<div.d>((<h3>=</>)?(<div.d>" in wrappers.expression(wrappers.resolve(own))
     assert json.loads(json.dumps(own)) == own
+
+
+def nested(k, n):
+    """An article and other stories, neutrally named, inside n plain divs."""
+    inner = f"<article><h1>Title {k}</h1><p>Body {k} is long enough to be the main part of this page, {k * 7}.</p></article><div class='c9'><p>Other story {k}</p><p>More {k * 3}</p></div>"
+    return f"<html><body>{'<div>' * n}{inner}{'</div>' * n}</body></html>"
+
+
+@pytest.mark.parametrize("n", [5, 98, 99, 120, 1000, 12_000])
+def test_no_depth_is_special(n):
+    held = wrappers._Wrappers()
+    for k in range(5):
+        held.add_page(nested(k, n))
+    again = wrappers._Wrappers()
+    again.add_json(held.to_json())
+    how = wrappers.reading(wrappers.from_flat(json.loads(again.to_json())["wrapper"]))
+    assert how["article"]
+    for k in range(5):
+        want = f"Title {k}\nBody {k} is long enough to be the main part of this page, {k * 7}."
+        assert wrappers.main_text(nested(k, n), how) == wrappers.main_text(nested(k, n), None) == want
+    assert wrappers.expression(wrappers.resolve(again.stack[0][1])).count("<div") == n + 1
+
+
+def test_wrappers_as_lists():
+    own = wrappers.align(*(wrappers.page_wrapper(f"<div><h2>Menu</h2></div><p>Text {k}</p>{'<p>more</p>' * k}<ul><li>a<li>b</ul>") for k in (1, 2)))
+    assert wrappers.from_flat(json.loads(json.dumps(wrappers.flat(own)))) == own
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(300)]
+    t, u, v = (" ".join(words[a : a + 90]) for a in (0, 100, 200))
+    near = t + " and one more word"
+    rows = [(3, t), (5, u), (5, t), (7, v), (7, v), (9, near), (9, u), (5, u), (None, v), (None, "all alone here"), (None, "all alone here"), (11, None), (12, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("3", t), ("5", u), ("7", v), ("None", "all alone here"), ("11", None)])
+
+
+def test_near_dedup_of_an_id_with_groups_of_its_own(spark):
+    import corpus_pipeline
+
+    t, u = (" ".join(f"{c}{k}" for k in range(90)) for c in "ab")
+    docs = spark.createDataFrame([(5, x, None, None, 1) for x in (t, u, t, u)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted([t, u])
