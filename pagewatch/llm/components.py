@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.common import materialize
+from pagewatch.llm.common import forget, materialize
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     One row for each a that isn't the smallest of its component, with the smallest as b. A round
     hangs every node on the smallest neighbour it knows; stars of stars halve in depth, so that the rounds
-    grow with the logarithm of the longest path. Each round is written to the shared folder. Minima are combined before
+    grow with the logarithm of the longest path. Each round is written to the shared folder, and takes the place of the one before. Minima are combined before
     the shuffle, and joins on a hot node are ones that adaptive execution can split. Null ends are no links.
     """
     edges = materialize(
@@ -34,5 +34,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = materialize(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(moved.union(least.select("a", "m")).distinct(), "small-star")
+        before, edges = edges, materialize(moved.union(least.select("a", "m")).distinct(), "small-star")
+        forget(before)
+        forget(large)
     raise RuntimeError(f"the components did not settle in {rounds} rounds")

@@ -194,7 +194,7 @@ def near_links(values: DataFrame, radius: int = 3, bucket: int = BUCKET) -> Data
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", radius: int = 3) -> DataFrame:
-    """docs' ids with fp (long) and component_id: the smallest id reachable over links of fingerprints.
+    """docs' ids with fp (long), root (a fingerprint that names the group, whatever its ids) and component_id: the smallest id reachable over links of fingerprints.
 
     Documents of one fingerprint count as one node, so that copies cost one row. A null or empty text has the fingerprint
     zero and is linked like any other. A null id stays null and never is a component's name unless it has no other; repeated
@@ -209,8 +209,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", radi
     named = nodes.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "nodes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "root").select("fp", "root", "component_id")
+    return own.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex16(fp: str | Column) -> Column:

@@ -15,7 +15,10 @@ BLOCK = 1024
 
 
 def document_lengths(docs: DataFrame, ranks: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id and n_tokens of each whole text; a null or empty text has 0 tokens."""
+    """doc_id and n_tokens of each whole text; a null or empty text has 0 tokens.
+
+    Null ids and repeated rows each give their row; other columns aren't read; an empty table gives none.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.get(ranks, pattern)

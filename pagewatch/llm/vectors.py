@@ -9,6 +9,7 @@ estimate may reach the threshold are computed again exactly, and only those that
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -31,11 +32,14 @@ WIDTH = 3.5
 CODE = 128
 
 
+@functools.lru_cache(4)
 def rotations(dim: int, bits: int, seed: int = 7) -> np.ndarray:
     """Random rotations of dim dimensions on top of each other, cut off at `bits` rows."""
     rng = np.random.default_rng(seed)
     out = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-bits // dim))]
-    return np.concatenate(out)[:bits] if out else np.zeros((0, dim))
+    turned = np.concatenate(out)[:bits] if out else np.zeros((0, dim))
+    turned.flags.writeable = False  # a worker shares it
+    return turned
 
 
 def plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
@@ -83,7 +87,6 @@ def _index(bits: int, tables: int):
     """For each vector: its code, its correction factor, and its key in each table."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             unit = _units(batch, "embedding")
             dims = np.array([len(v) for v in unit])
@@ -91,9 +94,7 @@ def _index(bits: int, tables: int):
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
                 size = _size(dim, bits, tables)
-                if dim not in turns:
-                    turns[dim] = rotations(dim, size)
-                z = np.stack([unit[k] for k in rows]) @ turns[dim].T
+                z = np.stack([unit[k] for k in rows]) @ rotations(dim, size).T
                 factors[rows] = np.abs(z).sum(axis=1) / size * math.sqrt(dim)
                 for k, code in zip(rows.tolist(), np.packbits(z > 0, axis=1), strict=True):
                     codes[k] = code.tobytes()
