@@ -17,39 +17,55 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, each judged where it is read. A null text goes."""
+    """Documents that the quality rules keep, each judged where it is read.
+
+    A null or empty text goes. Null ids and repeated rows are judged like any other; columns beyond those of documents go; an empty table gives none.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.select(*COLUMNS).where(quality.verdict(model, spark, "text")["kept"])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of repeated rows of it, one.
+    """One document of each group of near-duplicates: the one with the smallest id; of repeated rows of it, one.
 
-    Documents without an id stay where no document with one is near, one of each fingerprint. Texts stay where they are as long as the ids
+    An id may repeat with other texts: its rows are judged by id and fingerprint, each in its own group. A group in which no document has an id keeps one without. A null or empty text has
+    the fingerprint zero, and one such stays. Columns beyond those of documents go; an empty table gives none. Texts stay where they are as long as the ids
     that are kept are few enough to broadcast; only rows of repeated ids, and of none, are compared with each other.
     """
     own = docs.select(*COLUMNS)
     groups = materialize(simhash.simhash_groups(own), "groups")
-    first = materialize(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    once, again = first.where("n = 1").select("doc_id"), first.where("n > 1").select("doc_id")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("first"))
+    ids = materialize(ids.where("first > 0").select("doc_id", "rows"), "kept-ids")
+    once, again = ids.where("rows = 1").select("doc_id"), ids.where("rows > 1").select("doc_id")
     out = own.join(small(once, BROADCAST_ROWS) or once, "doc_id", "left_semi")
+    hashed = own.withColumn("_h", simhash.fingerprint("text"))
     if again.limit(1).count():
-        out = out.unionByName(own.join(again, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*COLUMNS))
-    alone = groups.where("component_id is null").select(F.col("fp").alias("_h")).distinct()
+        # Rows of one id may be of different groups: each group that the id names keeps its row with the least fingerprint.
+        named = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("fp").alias("_h"))
+        rows = hashed.where("doc_id is not null").join(again, "doc_id", "left_semi").join(named.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi")
+        out = out.unionByName(rows.dropDuplicates(["doc_id", "_h"]).select(*COLUMNS))
+    alone = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_h")).select("_h")
     if alone.limit(1).count():
-        nameless = own.where("doc_id is null").withColumn("_h", simhash.fingerprint("text")).join(alone, "_h", "left_semi").dropDuplicates(["_h"])
-        out = out.unionByName(nameless.select(*COLUMNS))
+        out = out.unionByName(hashed.where("doc_id is null").join(alone, "_h", "left_semi").dropDuplicates(["_h"]).select(*COLUMNS))
     return out.select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; those of which nothing is left go, and so do those without words."""
+    """Documents without their repeated passages; those of which nothing is left go, and so do those without words.
+
+    Rows of one id are different documents: null ids and repeated ids stay, each with its row's lang and source, and a text that stands
+    in two rows is a repeat. Columns beyond those of documents go, and names that clash with the operator's (n_words, kept_text) aren't read; an empty table gives none.
+    """
     cut = substring.remove_repeats(docs, with_text=True, carry=("lang", "source")).where("n_removed < n_words")
     return cut.select("doc_id", F.col("kept_text").alias("text"), "carry.lang", "carry.source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document: its tokens' place in a sequence."""
+    """A row per piece of a document: its tokens' place in a sequence.
+
+    A null or empty text is a document of its end token alone. Null ids and repeated rows each are documents; columns besides id and text aren't
+    read; an empty table gives none.
+    """
     return packing.pack_documents(docs, WORD_BPE)
 
 
