@@ -13,8 +13,11 @@ from pyspark.sql import types
 
 from pagewatch.functions import text as T
 from pagewatch.functions import words as W
+from pagewatch.operators.graph import components
 
 MIN_REQUIREMENTS, MAX_REQUIREMENTS = 10, 140
+#: Changes of a country's day beyond which it is parted into components.
+SPLIT_ROWS = 200_000
 
 
 def _stems(text: str) -> set[str]:
@@ -63,27 +66,47 @@ class Stories:
         return self.first[k]
 
 
-def cluster_changes(changes: DataFrame, threshold: float = 0.35) -> DataFrame:
+def cluster_changes(changes: DataFrame, threshold: float = 0.35, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """changes (change_id, country, source_url, summary, after_read_at) with story: the first change of the group.
 
     By read time, a change joins the first group of its country and day with the same page or the same story. That depends on the
-    order: a country's day streams through a task, row by row, which holds its groups' stems and no rows. More countries and days are
-    more tasks. A null summary has no stems.
+    order, but a change can only join a group with which it shares the page or a stem that tells stories apart. So a country's day of more than split_rows changes is
+    parted into the connected components of changes, pages and telling stems, and each component is gone through in order, row by row, in a task that
+    holds its groups' stems and no rows. Smaller days are gone through whole, which gives the same. A null summary has no stems; null pages are one page.
     """
     own = changes.select("change_id", "country", "source_url", "summary", "after_read_at", F.to_date("after_read_at").alias("day"))
     schema = types.StructType([*own.schema.fields, types.StructField("story", own.schema["change_id"].dataType)])
+    key = ("country", "day", "_part")
+    same_day = F.col("country").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d"))
+    large = own.groupBy(F.col("country").alias("_c"), F.col("day").alias("_d")).count().where(F.col("count") > split_rows).drop("count")
+    dealt = own.withColumn("_part", F.lit(0).cast("long"))
+    if large.limit(1).count():
+        dealt = own.join(large, same_day, "left_anti").withColumn("_part", F.lit(0).cast("long")).unionByName(_parted(own.join(large, same_day, "left_semi")))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, groups = None, Stories(threshold)
         for batch in batches:
             story = []
-            for country, day, change, url, summary in zip(*(batch[k].to_pylist() for k in ("country", "day", "change_id", "source_url", "summary")), strict=True):
-                if (country, day) != at:
-                    at, groups = (country, day), Stories(threshold)
+            for *place, change, url, summary in zip(*(batch[k].to_pylist() for k in (*key, "change_id", "source_url", "summary")), strict=True):
+                if place != at:
+                    at, groups = place, Stories(threshold)
                 story.append(groups.add(change, url, summary))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(story, batch["change_id"].type)], names=[*batch.schema.names, "story"])
+            kept = batch.drop_columns(["_part"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(story, batch["change_id"].type)], names=[*kept.schema.names, "story"])
 
-    return own.repartition("country", "day").sortWithinPartitions("country", "day", "after_read_at", "change_id").mapInArrow(stream, schema)
+    return dealt.repartition(*key).sortWithinPartitions(*key, "after_read_at", "change_id").mapInArrow(stream, schema)
+
+
+def _parted(changes: DataFrame) -> DataFrame:
+    """changes with _part: a number for each connected component of changes, pages and telling stems. Equal hashes join components, which does no harm."""
+    own = changes.withColumn("_node", F.xxhash64("country", "day", "change_id"))
+    telling = F.filter(T.story_stems("summary"), lambda w: (F.length(w) >= 4) & ~F.array_contains(T.words_in(W.STORY_GENERIC), w))
+    page = F.xxhash64("country", "day", F.lit(1), "source_url")
+    shared = F.array_union(F.array(page), F.transform(telling, lambda w: F.xxhash64("country", "day", F.lit(2), w)))
+    keys = own.select("_node", F.explode(shared).alias("_key")).distinct()
+    links = keys.join(keys.groupBy("_key").agg(F.min("_node").alias("b")), "_key").select(F.col("_node").alias("a"), "b")
+    found = components(links)
+    return own.join(found.select(F.col("a").alias("_node"), F.col("b").alias("_root")), "_node", "left").withColumn("_part", F.coalesce("_root", "_node")).drop("_node", "_root")
 
 
 def pending_stories(changes: DataFrame, done: DataFrame, articles: DataFrame, now: Column, days: int, threshold: float = 0.35) -> DataFrame:
@@ -93,11 +116,18 @@ def pending_stories(changes: DataFrame, done: DataFrame, articles: DataFrame, no
     out. Articles meet stories of their country and day only.
     """
     own = changes.where(F.coalesce("material", F.lit(False)) & (F.col("after_read_at") >= F.date_sub(now, days)))
-    grouped = cluster_changes(own, threshold).groupBy("country", "day", "story").agg(F.sort_array(F.collect_list(F.col("change_id").cast("string"))).alias("changes"), F.concat_ws(" ", F.collect_list("summary")).alias("text"))
+    told = cluster_changes(own, threshold)
+    grouped = told.groupBy("country", "day", "story").agg(F.sort_array(F.collect_list(F.col("change_id").cast("string"))).alias("changes"))
     grouped = grouped.withColumn("article_id", T.article_id("changes")).join(done.select("article_id"), "article_id", "left_anti")
-    told = grouped.join(articles.select("country", "day", F.col("summary").alias("_s")), ["country", "day"])
-    twins = told.where(T.same_story(T.story_stems("text"), T.story_stems("_s"), threshold)).select("article_id").distinct()
-    return grouped.join(twins, "article_id", "left_anti").select("story", "country", "day", "changes", "article_id")
+    # Stems are rows: a story's and an article's meet by equality, and no text of a whole story is put together.
+    place = ["country", "day"]
+    mine = told.select(*place, "story", F.explode(T.story_stems("summary")).alias("_w")).distinct()
+    theirs = articles.select(*place, "summary").distinct().withColumn("_w", F.explode(T.story_stems("summary"))).select(*place, F.col("summary").alias("_s"), "_w").distinct()
+    telling = (F.length("_w") >= 4) & ~F.array_contains(T.words_in(W.STORY_GENERIC), F.col("_w"))
+    both = mine.join(theirs, [*place, "_w"]).groupBy(*place, "story", "_s").agg(F.count("*").alias("_n"), F.bool_or(telling).alias("_t"))
+    both = both.join(mine.groupBy(*place, "story").agg(F.count("*").alias("_a")), [*place, "story"]).join(theirs.groupBy(*place, "_s").agg(F.count("*").alias("_b")), [*place, "_s"])
+    twins = both.where(F.col("_t") & (F.col("_n") / F.least("_a", "_b") >= threshold)).select(*place, "story").distinct()
+    return grouped.join(twins, [*place, "story"], "left_anti").select("story", "country", "day", "changes", "article_id")
 
 
 def admin_only(groups: DataFrame, key: str = "story") -> DataFrame:
