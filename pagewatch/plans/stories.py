@@ -8,6 +8,7 @@ from pagewatch.functions import text as T
 from pagewatch.operators import changes as C
 from pagewatch.operators import stories as S
 from pagewatch.plans.common import joined, stable_digest_sql, table
+from pagewatch.sources import bucketed
 from pagewatch.sources.shared import new_folder
 from pagewatch.streaming import watch as ST
 
@@ -176,18 +177,9 @@ def daily_counts(spark, d):
 def stream_upsert(spark, d):
     own = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("id"), F.col("o_orderdate").alias("read_at"), F.col("o_orderstatus").alias("title"))
     stream = _file_stream(spark, own, "postings")
-    root, versions = new_folder(spark), []
-    schema = "id long, read_at timestamp, title string, first_seen_at timestamp, last_seen_at timestamp"
-
-    def read():
-        return spark.read.schema(schema).parquet(versions[-1]) if versions else spark.createDataFrame([], schema)
-
-    def write(df, number):
-        df.select("id", "read_at", "title", "first_seen_at", "last_seen_at").write.mode("overwrite").parquet(f"{root}/version-{number}")
-        versions.append(f"{root}/version-{number}")
-
-    step = ST.stream_upsert(read, write, "id", "read_at")
-    progress = new_folder(spark)
+    path, progress = f"{new_folder(spark)}/postings", new_folder(spark)
+    schema = "id long, title string, first_seen_at timestamp, last_seen_at timestamp"
+    step = ST.stream_upsert(path, "id", "read_at", schema)
     for _ in range(2):  # the second time finds nothing new
         stream.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-    return read().select("id", "title", "first_seen_at", "last_seen_at")
+    return bucketed.read_table(spark, path, schema)

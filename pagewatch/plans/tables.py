@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
 from pagewatch.plans.common import joined, stable_digest_sql, table
-from pagewatch.sources import merge, registers, shared, snapshots
+from pagewatch.sources import bucketed, merge, registers, shared, snapshots
 
 QUERIES, SQL = {}, {}
 
@@ -137,6 +137,17 @@ def upsert_first_seen(spark, d):
     return merge.upsert_first_seen(_existing(old), batch, "id", "read_at").select("id", "title", "note", "first_seen_at", "last_seen_at")
 
 
+@query(f"""WITH {_POSTINGS}, e AS {_LATEST.format('e0')}, b AS {_LATEST.format('b0')}
+    SELECT coalesce(e.id, b.id) AS id, coalesce(b.title, e.title) AS title, coalesce(b.note, e.note) AS note,
+    CASE WHEN e.id IS NOT NULL THEN e.o_orderdate ELSE b.o_orderdate END AS first_seen_at, coalesce(b.o_orderdate, e.o_orderdate) AS last_seen_at FROM e FULL JOIN b ON e.id = b.id""")
+def merge_table(spark, d):
+    path, schema = f"{shared.new_folder(spark)}/postings", "id long, title string, note string, first_seen_at timestamp, last_seen_at timestamp"
+    for rows in _postings(spark, d):
+        latest = merge.collapsed(rows.select("id", "o_orderdate", "o_orderkey", "title", "note"), "id", "o_orderdate").select("id", F.col("o_orderdate").alias("read_at"), "title", "note")
+        bucketed.merge_table(path, latest, "id", "read_at", schema)
+    return bucketed.read_table(spark, path, schema)
+
+
 @query(f"""WITH {_POSTINGS}, e AS {_LATEST.format('e0')}, b AS {_LATEST.format('b0')}
     SELECT coalesce(e.id, b.id) AS id, coalesce(b.title, e.title) AS title, CASE WHEN e.id IS NOT NULL THEN e.note ELSE b.note END AS note FROM e FULL JOIN b ON e.id = b.id""")
 def upsert_preserving(spark, d):

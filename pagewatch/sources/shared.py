@@ -34,6 +34,11 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in system.listStatus(at) if x.isDirectory()) if system.exists(at) else []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _system(spark, path)
+    system.delete(at, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, there in whole or not at all: written beside, then renamed over."""
     at, system = _system(spark, path)

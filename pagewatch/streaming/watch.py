@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from pagewatch.functions import text as T
 from pagewatch.operators.changes import SAME_MEANING, moves, same_meaning
-from pagewatch.sources import merge
+from pagewatch.sources import bucketed
 
 CHANGES = "source_id string, change_id string, at long, before_digest string, digest string, outcome string, added int, removed int"
 #: What is kept of a source: the digest last read, the text of the version last stored (compressed), when it was read (microseconds), and when it counts as silent (milliseconds).
@@ -107,14 +107,19 @@ def stream_watch(snapshots: DataFrame, delay: str = "1 day", silent: datetime.ti
     return rows.select("source_id", "change_id", F.timestamp_micros("at").alias("read_at"), "before_digest", "digest", "outcome", "added", "removed")
 
 
-def stream_upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], key: str, at: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges a batch into a table by derived ids. A batch that comes twice changes nothing.
+def stream_upsert(path: str, key: str, at: str, schema: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch into the table at path (see bucketed.merge_table) by derived ids. A batch that comes twice changes nothing.
 
-    read gives the table, write stores its next version under the batch's number and swaps it in.
+    Only buckets that the batch touches are rewritten; what nobody reads any more is deleted two merges later.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        write(merge.upsert_first_seen(read(), batch, key, at), number)
+        own = batch.persist()  # its ids are read before its rows
+        try:
+            if bucketed.merge_table(path, own, key, at, schema, buckets):
+                bucketed.vacuum(batch.sparkSession, path)
+        finally:
+            own.unpersist()
 
     return step
 
