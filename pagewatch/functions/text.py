@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,29 +89,51 @@ def lines(text: Col) -> Column:
 # Folding and keys
 
 
+#: Characters that NFKC leaves alone in whatever company: ASCII, letters and signs of Latin-1, quotes, dashes and the euro. Text of these alone needs no normalising.
+_STEADY = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u20AC"
+#: Accented letters that come apart into one ASCII letter and marks.
+_ACCENTED = {chr(k): x for k in range(0xC0, 0x180) for x in ["".join(ch for ch in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(ch))] if len(x) == 1 and x.isascii()}
+
+
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(StringType())
-def without_accents(text: pd.Series) -> pd.Series:
-    """NFKD without combining marks."""
-    return text.map(lambda x: x if x is None or x.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
+def _unmarked(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
+
+
+def _where(test: Column, changed: Callable[[Column], Column], text: Column) -> Column:
+    """changed(text) where the test holds; other rows don't take part, not even as an argument."""
+    return F.coalesce(changed(F.when(test, text)), text)
+
+
+def composed(text: Col) -> Column:
+    """NFKC. Only text with characters that it may change goes to Python."""
+    return _where(c(text).rlike(f"[^{_STEADY}]"), _nfkc, c(text))
+
+
+def without_accents(text: Col) -> Column:
+    """NFKD without combining marks. Accented Latin letters lose theirs by a table; only text with other characters goes to Python."""
+    plain = F.when(c(text).rlike(r"[\u00C0-\u017F]"), F.translate(c(text), "".join(_ACCENTED), "".join(_ACCENTED.values()))).otherwise(c(text))
+    return _where(plain.rlike(r"[^\x00-\x7F]"), _unmarked, plain)
 
 
 def straight(text: Col) -> Column:
     """Curly quotes, long dashes and hard spaces as plain ones."""
-    return F.translate(c(text), "‘’“”–—\xa0", "''\"\"-- ")
+    return F.when(c(text).rlike("[‘’“”–—\xa0]"), F.translate(c(text), "‘’“”–—\xa0", "''\"\"-- ")).otherwise(c(text))
 
 
 def squeeze(text: Col) -> Column:
-    return F.regexp_replace(F.regexp_replace(c(text), r"(?U)\s+", " "), r"^ | $", "")
+    """White space as one space, none at the ends. What is one space already isn't touched."""
+    return F.trim(F.regexp_replace(c(text), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def fold(text: Col) -> Column:
     """NFKC, plain punctuation, one space for white space: what quotes are compared in."""
-    return squeeze(straight(_nfkc(c(text))))
+    return squeeze(straight(composed(text)))
 
 
 def fold_ci(text: Col) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import urls as U
 from pagewatch.functions import words as W
+from pagewatch.sources.shared import new_folder
 
 _ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)(?=</a\s*>|<a\b|$)", re.I | re.S)
 _BASE = re.compile(r"<base[^>]+href=[\"']([^\"']+)[\"']", re.I)
@@ -75,25 +77,53 @@ def worth_reading(links: DataFrame, navigation: DataFrame) -> DataFrame:
     return own.withColumn("why", F.coalesce(reason, F.lit("unique to this page"))).withColumn("keep", reason.isNull()).drop("_nav", "_host", "_learned")
 
 
-def walk(entries: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> DataFrame:
+def walk(entries: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, once: bool = False) -> DataFrame:
     """entry_url, url, lead_url, depth: pages reached from each entry over kept links (page_url, link, pos), breadth first.
 
     A page has its smallest depth, and of several leads the smallest. The cap on pages of an entry is the feature: by depth, lead and
-    position. Every level is checkpointed where the session has a folder for it.
+    position. It is applied at every level before links are joined, and of a page's links only those are joined that the cap can let through, so that an
+    entry's frontier has max_pages rows at most however many links a portal has. Each level is a table in the shared folder.
+
+    once: a page belongs to the first entry that finds it, and later entries neither have it nor go on from it. Entries are in the order of their column pos, if
+    they have one, then of their address. What earlier entries claim changes what later ones reach, so that rounds of walks follow until none changes: as
+    many as claims depend on each other in a chain, and one more. That is what one entry after the other gives.
     """
+    own = entries.select("entry_url", (F.col("pos") if "pos" in entries.columns else F.lit(0)).alias("_p")).groupBy("entry_url").agg(F.min("_p").alias("_p"))
+    ahead = F.struct("_p", "entry_url")
+    folder = new_folder(entries.sparkSession)
+    if not once:
+        return _walked(own, links, max_depth, max_pages, None, folder)
+    claims = before = None
+    for round_ in itertools.count():
+        found = _walked(own, links, max_depth, max_pages, claims, f"{folder}/{round_}")
+        now = found.agg(F.count("*"), F.bit_xor(F.xxhash64("entry_url", "url", "lead_url", "depth")), F.sum(F.xxhash64("url", "entry_url") % (1 << 40))).first()
+        if now == before:
+            return found
+        before = now
+        claims = found.where("depth > 0").join(own, "entry_url").groupBy(F.col("url").alias("_u")).agg(F.min(ahead).alias("_first"))
+
+
+def _walked(entries: DataFrame, links: DataFrame, max_depth: int, max_pages: int, claims: DataFrame | None, folder: str) -> DataFrame:
+    """The walk from each entry. claims: _u and _first, the first entry (its pos and address) that has a page; later ones can't."""
     spark = entries.sparkSession
-    found = entries.select("entry_url", F.col("entry_url").alias("url"), F.lit(None).cast("string").alias("lead_url"), F.lit(0).alias("depth"), F.lit(0).alias("pos"))
+    out = links.select("page_url", "link", "pos").groupBy("page_url", "link").agg(F.min("pos").alias("pos"))
+    if claims is None:
+        # Of the links before a page's 2 * max_pages-th, an entry has max_pages already at most, and smaller leads have as many at most.
+        out = _first(out, ["page_url"], [F.col("pos"), F.col("link")], 2 * max_pages)
+    found = entries.select("entry_url", F.col("entry_url").alias("url"), F.lit(None).cast("string").alias("lead_url"), F.lit(0).alias("depth"), "_p")
     frontier = found
     for depth in range(1, max_depth + 1):
-        reached = frontier.select("entry_url", F.col("url").alias("page_url")).join(links.select("page_url", "link", "pos"), "page_url")
-        first = reached.groupBy("entry_url", F.col("link").alias("url")).agg(F.min(F.struct("page_url", "pos")).alias("f"))
-        new = first.join(found.select("entry_url", "url"), ["entry_url", "url"], "left_anti")
-        frontier = new.select("entry_url", "url", F.col("f.page_url").alias("lead_url"), F.lit(depth).alias("depth"), F.col("f.pos").alias("pos"))
-        if spark.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
+        reached = frontier.select("entry_url", "_p", F.col("url").alias("page_url")).join(out, "page_url")
+        new = reached.groupBy("entry_url", "_p", F.col("link").alias("url")).agg(F.min(F.struct("page_url", "pos")).alias("f")).join(found.select("entry_url", "url"), ["entry_url", "url"], "left_anti")
+        if claims is not None:
+            new = new.join(claims, F.col("url") == F.col("_u"), "left").where(F.col("_first").isNull() | (F.col("_first") >= F.struct("_p", "entry_url"))).drop("_u", "_first")
+        room = found.groupBy("entry_url").agg((max_pages - F.count("*")).alias("_room"))
+        order = Window.partitionBy("entry_url").orderBy("f.page_url", "f.pos", "url")
+        new = new.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_pages).join(room, "entry_url").where("_n <= _room")
+        new.select("entry_url", "url", F.col("f.page_url").alias("lead_url"), F.lit(depth).alias("depth"), "_p").write.parquet(f"{folder}/level-{depth}")
+        frontier = spark.read.schema(found.schema).parquet(f"{folder}/level-{depth}")
         found = found.unionByName(frontier)
-    order = Window.partitionBy("entry_url").orderBy("depth", "lead_url", "pos", "url")
-    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_pages).select("entry_url", "url", "lead_url", "depth")
+    return found.drop("_p")
 
 
 def link_depth(sources: DataFrame, steps: int = 3) -> DataFrame:
@@ -232,11 +262,17 @@ def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFra
 
 
 def register_discovered(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """found (country, lane, url, lead_url, depth, ok) that were read, with source_id: a known page keeps its own."""
+    """found (country, lane, url, lead_url, depth, ok) that were read, with source_id: a known page keeps its own.
+
+    Of a page that several lead to, the row of the least depth stays, then of the least lead, then by all its columns.
+    """
     from pagewatch.functions.text import source_id
 
     known = sources.groupBy("country", "lane", "url").agg(F.min("source_id").alias("_id"))
-    own = found.where("ok").dropDuplicates(["country", "lane", "url"]).join(known, ["country", "lane", "url"], "left")
+    rest = [x for x in found.columns if x not in ("country", "lane", "url")]
+    order = F.struct(*(x for x in ("depth", "lead_url") if x in rest), *rest)
+    once = found.where("ok").groupBy("country", "lane", "url").agg(F.min_by(F.struct(*rest), order).alias("_r")).select("country", "lane", "url", *(F.col(f"_r.{x}").alias(x) for x in rest)).select(*found.columns)
+    own = once.join(known, ["country", "lane", "url"], "left")
     return own.withColumn("source_id", F.coalesce("_id", source_id("country", "lane", "url"))).withColumn("known", F.col("_id").isNotNull()).drop("_id")
 
 

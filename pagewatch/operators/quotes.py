@@ -177,8 +177,12 @@ def score_fit(matches: DataFrame, claims: DataFrame, postings: DataFrame, plain:
 
 
 def invented_numbers(drafts: DataFrame, claims: DataFrame, key: str = "case_id") -> DataFrame:
-    """drafts with invented: figures of two digits and more in the text that are in no claim of the case."""
-    theirs = claims.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(T.numbers_in(F.concat_ws(" ", "value", "quote", "detail"))))).alias("_theirs"))
-    found = F.filter(F.array_distinct(T.numbers_in("text")), lambda x: F.length(x) > 1)
-    own = drafts.join(theirs, key, "left")
-    return own.withColumn("invented", F.array_sort(F.array_except(found, F.coalesce("_theirs", F.array().cast("array<string>"))))).drop("_theirs")
+    """drafts with invented: figures of two digits and more in the text that are in no claim of the case.
+
+    Figures are rows on both sides: a draft's meet those of its case's claims by equality, and no case's figures come together.
+    """
+    said = claims.select(key, F.explode(T.numbers_in(F.concat_ws(" ", "value", "quote", "detail"))).alias("_n"))
+    own = drafts.select(key, "text").distinct().withColumn("_n", F.explode(F.filter(F.array_distinct(T.numbers_in("text")), lambda x: F.length(x) > 1)))
+    left = own.join(said, [key, "_n"], "left_anti").groupBy(F.col(key).alias("_k"), F.col("text").alias("_t")).agg(F.sort_array(F.collect_list("_n")).alias("_new"))
+    out = drafts.join(left, F.col(key).eqNullSafe(F.col("_k")) & F.col("text").eqNullSafe(F.col("_t")), "left").drop("_k", "_t")
+    return out.withColumn("invented", F.coalesce("_new", F.array().cast("array<string>"))).drop("_new")

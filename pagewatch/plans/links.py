@@ -180,6 +180,13 @@ def walk(spark, d):
     return L.walk(*_site(spark, d)).select("entry_url", "url", "depth")
 
 
+#: In order of their numbers, entries on even levels of the heap find the two levels below them; those on odd levels find all taken.
+@query(f"{_WALK} SELECT entry::VARCHAR AS entry_url, u::VARCHAR AS url, min(depth) AS depth FROM e WHERE depth = 0 OR length(to_base(entry + 1, 2)) % 2 = 1 GROUP BY ALL")
+def walk_once(spark, d):
+    entries, links = _site(spark, d)
+    return L.walk(entries.withColumn("pos", F.col("entry_url").cast("long")), links, once=True).select("entry_url", "url", "depth")
+
+
 @query("SELECT p_partkey AS k, CASE WHEN p_partkey = 0 THEN 0 WHEN p_partkey <= 2 THEN 1 WHEN p_partkey <= 6 THEN 2 WHEN p_partkey <= 14 THEN 3 ELSE -1 END AS depth FROM part")
 def link_depth(spark, d):
     part = table(spark, d, "part")

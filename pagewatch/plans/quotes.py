@@ -118,15 +118,32 @@ def off_lane_pages(spark, d):
     return Q.off_lane_pages(sources, verdicts).select("source_id")
 
 
-@query(f"""WITH {_CLAIMS} SELECT doc_id AS requirement_id, CASE WHEN lang NOT IN ('en', 'fr') THEN 'left alone' WHEN q = '' OR NOT contains(left(h, 500), q) THEN 'unverified' WHEN doc_id % 3 = 0 THEN 'agreed' WHEN doc_id % 3 = 1 THEN 'disputed' ELSE 'unverified' END AS state FROM k""")
+#: Claims of the second reading: of every seventh long page the quote is its end, of the next one what stands around the end of the window.
+_SECOND = f"""{_CLAIMS}, s AS (SELECT *, CASE WHEN length(h) > 1000 AND doc_id % 7 < 2 THEN right(h, 40) WHEN length(h) > {Q.WINDOW_CHARS} AND doc_id % 7 = 2 THEN substr(h, {Q.WINDOW_CHARS} - 39, 40)
+    WHEN length(h) > {Q.WINDOW_CHARS} AND doc_id % 7 = 3 THEN substr(h, {Q.WINDOW_CHARS} - 38, 40) ELSE q END AS w FROM k)"""
+
+
+@query(f"""WITH {_SECOND} SELECT doc_id AS requirement_id, CASE WHEN lang NOT IN ('en', 'fr') THEN 'left alone' WHEN trim(w) = '' OR NOT contains(left(h, {Q.WINDOW_CHARS}), trim(w)) THEN 'unverified' WHEN doc_id % 3 = 0 THEN 'agreed' WHEN doc_id % 3 = 1 THEN 'disputed' ELSE 'unverified' END AS state FROM s""")
 def second_read(spark, d):
-    own = _claims(spark, d).select(F.col("doc_id").alias("requirement_id"), F.col("doc_id").alias("page_id"), F.col("lang").alias("country"), "quote")
+    pages = _pages(spark, d)
+    own = _claims(spark, d).join(pages, "doc_id")
+    k, n, w = F.col("doc_id") % 7, F.length("haystack"), Q.WINDOW_CHARS
+    quote = F.when((n > 1000) & (k < 2), F.right("haystack", F.lit(40))).when((n > w) & (k == 2), F.substring("haystack", w - 39, 40)).when((n > w) & (k == 3), F.substring("haystack", w - 38, 40)).otherwise(F.col("quote"))
+    own = own.select(F.col("doc_id").alias("requirement_id"), F.col("doc_id").alias("page_id"), F.col("lang").alias("country"), quote.alias("quote"))
     answer = F.element_at(F.array(*map(F.lit, ("Yes.", "NO\nnot stated", "maybe"))), (F.col("requirement_id") % 3 + 1).cast("int"))
-    pages = _pages(spark, d).withColumnRenamed("doc_id", "page_id")
-    out = Q.second_read(own, pages, own.select("requirement_id", answer.alias("answer")), ("en", "fr"), plain=True)
+    out = Q.second_read(own, pages.withColumnRenamed("doc_id", "page_id"), own.select("requirement_id", answer.alias("answer")), ("en", "fr"), plain=True)
     return out.select("requirement_id", F.coalesce("state", F.lit("left alone")).alias("state"))
 
 
+#: A full-width letter is its plain form in NFKC, and a ligature its letters: a quote written so is on the page all the same.
+@query(r"""SELECT doc_id, CASE WHEN trim(regexp_replace(substr(text, 3, 50), '\s+', ' ', 'g')) = '' THEN 'no quote given' WHEN doc_id % 2 = 1 AND NOT contains(text, 'zzz') THEN 'the quote is not on the page' END AS why FROM documents""")
+def check_quotes_nfkc(spark, d):
+    docs = table(spark, d, "documents")
+    own = F.translate(F.substring("text", 3, 50), "aeinr", "ａｅｉｎｒ")
+    claims = docs.select("doc_id", F.lit("x").alias("text"), F.when(F.col("doc_id") % 2 == 1, F.concat(own, F.lit("zzz"))).otherwise(own).alias("quote"))
+    return Q.check_quotes(claims, Q.folded_pages(docs, "doc_id", "text"), "doc_id").select("doc_id", "why")
+
+
 @query("""WITH c AS (SELECT event_id, user_id, unnest([event_id - 10, event_id - 5, event_id + 1]) AS cite FROM events)
     SELECT e.event_id, count(k.event_id) AS n_cites, count(k.event_id) > 0 AS kept FROM events e LEFT JOIN c USING (event_id) LEFT JOIN events k ON k.event_id = c.cite AND k.user_id % 10 = c.user_id % 10 GROUP BY 1""")
 def check_citations(spark, d):
