@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
@@ -247,10 +247,7 @@ def search_index(index: DataFrame, query: str, most: int = 40) -> DataFrame:
     by prefix and once a word, and a guide 1 more. The limit is the feature.
     """
     terms = search_terms(query)
-    begins = [F.col("word").startswith(w) for w in terms]
-    rows = F.lit(False)
-    for w, b in zip(terms, begins, strict=True):
-        rows = rows | ((F.col("stem") == w[:PREFIX]) & b if len(w) >= PREFIX else F.col("stem").startswith(w) & b)
+    begins, rows = _begins(terms)
     own = index.where(rows)
     every, score = F.lit(bool(terms)), F.max("guide")
     for w, b in zip(terms, begins, strict=True):
@@ -259,3 +256,78 @@ def search_index(index: DataFrame, query: str, most: int = 40) -> DataFrame:
             score = score + F.when(F.bool_or(b & (F.col("points") == points)), points).otherwise(0)
     found = own.groupBy("doc_id").agg(score.alias("score"), F.max("date").alias("date"), every.alias("_every"))
     return found.where("_every").select("doc_id", "score", "date").orderBy(F.desc("score"), F.desc("date"), "doc_id").limit(most)
+
+
+# A stored index in blocks: postings, and for each word and block the best that the block's documents can score by it.
+
+#: Documents of a block, at most on average, and blocks that a search reads before it knows how far it has to go.
+BLOCK_DOCS, FIRST_BLOCKS = 4096, 8
+
+
+def write_index(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> None:
+    """Write the index of documents (as index_documents) to path: postings and blocks, both sorted by stem and word.
+
+    A block is documents of one date, so that of equal scores the blocks of the newest come first; a date of very many documents is several. For each
+    word and block: the parts that have the word in some document (a bit for each of title, summary and body), the most points that a document has by it, and the most with those of a guide.
+    """
+    spark = docs.sparkSession
+    sizes = docs.groupBy(F.col("date").alias("_d")).agg(F.ceil(F.count("*") / block_docs).cast("int").alias("_n"))
+    own = docs.join(sizes, F.col("date").eqNullSafe(F.col("_d")))
+    block = F.concat_ws("/", F.coalesce(F.col("date").cast("string"), F.lit("")), F.pmod(F.xxhash64("doc_id"), "_n").cast("string"))
+    rows = index_documents(own).join(own.select("doc_id", block.alias("block")), "doc_id")
+    rows.repartitionByRange("stem", "word", "block").sortWithinPartitions("stem", "word", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    bit = F.when(F.col("points") == POINTS["t"], 4).when(F.col("points") == POINTS["s"], 2).otherwise(1)
+    per_doc = spark.read.parquet(f"{path}/postings").groupBy("stem", "word", "block", "doc_id").agg(F.sum("points").cast("int").alias("points"), F.max("guide").alias("guide"), F.max("date").alias("date"), F.bit_or(bit).alias("parts"))
+    blocks = per_doc.groupBy("stem", "word", "block").agg(F.bit_or("parts").alias("parts"), F.max("points").alias("points"), F.max(F.col("points") + F.col("guide")).alias("with_guide"), F.max("guide").alias("guide"), F.max("date").alias("date"))
+    blocks.repartitionByRange("stem", "word").sortWithinPartitions("stem", "word").write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def _begins(terms: list[str]) -> tuple[list[Column], Column]:
+    """For each term, the words that begin with it; and the rows of any, by stem as well, which the scan can skip by."""
+    begins = [F.col("word").startswith(w) for w in terms]
+    rows = F.lit(False)
+    for w, b in zip(terms, begins, strict=True):
+        rows = rows | ((F.col("stem") == w[:PREFIX]) & b if len(w) >= PREFIX else F.col("stem").startswith(w) & b)
+    return begins, rows
+
+
+def ranked_blocks(blocks: DataFrame, query: str) -> DataFrame:
+    """block, best and date of blocks in which every word of the query stands somewhere: what a document of the block can score at most, and its newest date."""
+    terms = search_terms(query)
+    begins, rows = _begins(terms)
+    every, most, guided = F.lit(bool(terms)), [], []
+    for w, b in zip(terms, begins, strict=True):
+        every = every & F.bool_or(b if len(w) >= PREFIX else F.col("word") == w)
+        parts = F.coalesce(F.bit_or(F.when(b, F.col("parts"))), F.lit(0))
+        # Several words may begin with the term: a document has each part's points once, and no more than its words have together.
+        by_parts = sum((F.when(parts.bitwiseAND(bit) > 0, POINTS[x]).otherwise(0) for bit, x in ((4, "t"), (2, "s"), (1, "b"))), F.lit(0))
+        most.append(F.least(by_parts, F.coalesce(F.sum(F.when(b, F.col("points"))), F.lit(0))))
+        guided.append(F.coalesce(F.sum(F.when(b, F.col("with_guide"))), F.lit(0)))
+    total = sum(most, F.lit(0))
+    best = F.least(total + F.max("guide"), *(total - m + g for m, g in zip(most, guided, strict=True))) if terms else F.lit(0)
+    return blocks.where(rows).groupBy("block").agg(best.cast("int").alias("best"), F.max("date").alias("date"), every.alias("_every")).where("_every").drop("_every")
+
+
+def search_stored(spark: SparkSession, path: str, query: str, most: int = 40, first: int = FIRST_BLOCKS) -> DataFrame:
+    """search_index over an index that write_index has written, reading only blocks that can hold one of the first `most` documents.
+
+    The blocks of the best possible score and newest date are read first; what the last of the first `most` documents found there has is then the least that a block must be
+    able to reach. Blocks below it are never read. The `first` blocks and the bound, one row, come to the driver.
+    """
+    postings, blocks = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "blocks"))
+    ranked = ranked_blocks(blocks, query)
+    ahead = [r["block"] for r in ranked.orderBy(F.desc("best"), F.desc("date"), "block").limit(first).collect()]
+    found = search_index(postings.where(F.col("block").isin(ahead)), query, most)
+    last = found.orderBy("score", "date", F.desc("doc_id")).limit(most).collect()
+    rest = further_blocks(ranked, ahead, last[0] if len(last) == most else None)
+    more = search_index(postings.join(rest.select("block"), "block", "left_semi"), query, most)
+    return found.unionByName(more).orderBy(F.desc("score"), F.desc("date"), "doc_id").limit(most)
+
+
+def further_blocks(ranked: DataFrame, ahead: list[str], last: Row | None) -> DataFrame:
+    """Blocks beyond those ahead that may hold a document before the last one found; all of them where too few were found. A block without a date is looked into."""
+    rest = ranked.where(~F.col("block").isin(ahead))
+    if last is None:
+        return rest
+    reaches = (F.col("best") > last["score"]) | (F.col("best") == last["score"]) & (F.lit(last["date"]).isNull() | F.col("date").isNull() | (F.col("date") >= F.lit(last["date"])))
+    return rest.where(reaches)
