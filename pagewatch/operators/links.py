@@ -233,32 +233,63 @@ def longer_reading(first: DataFrame, second: DataFrame, key: str = "url", text:
     return own.withColumn("usable", F.length(F.coalesce(text, F.lit(""))) > usable).drop("_second")
 
 
-def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """urls with permission: allowed, disallowed or unknown, by what their host's robots file (host, status, body) says.
+def _unquoted(x: Column) -> Column:
+    """Percent codes decoded; what is none stays. A plus is a plus."""
+    whole = F.regexp_replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.when(x.contains("%"), F.url_decode(whole)).otherwise(x)
 
-    200: its rules decide. 404 and 410: there are none. Anything else is unknown, and never a no. Rules are parsed once a file.
-    """
-    from urllib.robotparser import RobotFileParser
 
-    own = urls.withColumn("_host", U.host_of("url")).join(robots.select(F.col("host").alias("_host"), F.col("status").alias("_status"), F.col("body").alias("_body")), "_host", "left")
+def _without_empty(x: Column) -> Column:
+    """Without a question mark or hash that nothing follows."""
+    return F.regexp_replace(F.regexp_replace(x, "#$", ""), r"^([^?#]*)\?(?=#|$)", "$1")
 
-    @F.pandas_udf("boolean")
-    def may(url: pd.Series, body: pd.Series) -> pd.Series:
-        known: dict[str, RobotFileParser] = {}
 
-        def one(u: str, rules: str | None) -> bool:
-            rules = rules or ""
-            if rules not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[rules] = RobotFileParser()
-                known[rules].parse(rules.splitlines())
-            return known[rules].can_fetch(agent, u)
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """host, n, allow, prefix: the rules of each robots file (host, body) that are meant for the agent, in their order.
+
+    A group is one or more user-agent lines and what follows them; a blank line ends it. Its rules count if there are any. Of groups that name the agent the first one is
+    meant, else the first for all. Codes in paths are decoded.
+    """
+    ends = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+    rows = robots.where("body is not null").select("host", F.posexplode(F.split("body", ends)).alias("n", "raw"))
+    line = F.regexp_replace(F.regexp_replace("raw", "(?s)#.*", ""), r"(?U)^\s+|\s+$", "")
+    field = F.lower(F.regexp_replace(F.regexp_extract(line, "(?s)^([^:]*):", 1), r"(?U)^\s+|\s+$", ""))
+    value = _unquoted(F.regexp_replace(F.regexp_extract(line, "(?s)^[^:]*:(.*)$", 1), r"(?U)^\s+|\s+$", ""))
+    kind = F.when(F.col("raw") == "", "blank").when(field == "user-agent", "agent").when(field.isin("allow", "disallow"), "rule").when(field.isin("crawl-delay", "request-rate"), "other")
+    rows = rows.select("host", "n", kind.alias("kind"), field.alias("field"), value.alias("value")).where("kind is not null")
+    order = Window.partitionBy("host").orderBy("n")
+    begins = (F.col("kind") == "blank") | (F.col("kind") == "agent") & F.lag("kind").over(order).isin("rule", "other")
+    rows = rows.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int")).withColumn("group", F.sum("_begins").over(order))
+    own, is_agent = agent.split("/")[0].lower(), F.col("kind") == "agent"
+    groups = rows.groupBy("host", "group").agg(
+        F.bool_or(is_agent).alias("named"), F.bool_or(F.col("kind").isin("rule", "other")).alias("rules"), F.bool_or(is_agent & (F.col("value") == "*")).alias("all"), F.bool_or(is_agent & F.lit(own).contains(F.lower("value"))).alias("mine")
+    )
+    meant = groups.where(F.col("named") & F.col("rules") & (F.col("all") | F.col("mine"))).groupBy("host").agg(F.min(F.struct("all", "group")).alias("m")).select("host", F.col("m.group").alias("group"))
+    rules = rows.where("kind = 'rule'").join(meant, ["host", "group"], "left_semi")
+    return rules.select("host", "n", ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), _without_empty(F.col("value")).alias("prefix"))
 
-        return pd.Series([one(*x) for x in zip(url, body, strict=True)])
 
-    permission = F.when(F.col("_status") == 200, F.when(may("url", "_body"), "allowed").otherwise("disallowed")).when(F.col("_status").isin(404, 410), "allowed").otherwise("unknown")
-    return own.withColumn("permission", permission).drop("_host", "_status", "_body")
+def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+    """urls with permission: allowed, disallowed or unknown, by what their host's robots file (host, status, body) says.
+
+    200: its rules decide, the first that fits. 404 and 410: there are none. Anything else is unknown, and never a no. Rules are rows: an address meets a rule as one of its own
+    beginnings, of the lengths that the host's rules have, by equality. So a file is taken apart once, and no text of it goes to the addresses. Of
+    several files of a host the one with the least status counts.
+    """
+    files = robots.groupBy("host").agg(F.min(F.struct("status", "body")).alias("_f")).select(F.col("host").alias("_host"), F.col("_f.status").alias("_status"), F.col("_f.body").alias("_body"))
+    rules = robots_rules(files.where("_status = 200").select(F.col("_host").alias("host"), F.col("_body").alias("body")), agent)
+    lengths = rules.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    plain = _unquoted(F.coalesce(F.col("url"), F.lit("")))
+    rest = _without_empty(F.regexp_replace(F.regexp_replace(plain, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), "^//[^/?#]*", ""))
+    path = F.when(rest == "", "/").when(rest.startswith("//"), F.concat(F.lit("//"), rest)).otherwise(rest)
+    own = urls.select("url", U.host_of("url").alias("_host"), path.alias("_path")).distinct()
+    begins = own.join(lengths, "_host").withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length("_path"))
+    begins = begins.select("url", "_host", F.left("_path", F.col("_n")).alias("prefix"))
+    found = begins.join(rules.withColumnRenamed("host", "_host"), ["_host", "prefix"]).groupBy("url").agg(F.min_by("allow", "n").alias("_allow"))
+    known = own.select("url", "_host").join(files.select("_host", "_status"), "_host", "left").join(found, "url", "left")
+    permission = F.when(F.col("_status") == 200, F.when(F.coalesce("_allow", F.lit(True)), "allowed").otherwise("disallowed")).when(F.col("_status").isin(404, 410), "allowed").otherwise("unknown")
+    known = known.select(F.col("url").alias("_url"), permission.alias("permission"))
+    return urls.join(known, F.col("url").eqNullSafe(F.col("_url")), "left").withColumn("permission", F.coalesce("permission", F.lit("unknown"))).drop("_url")
 
 
 def register_discovered(found: DataFrame, sources: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from urllib.robotparser import RobotFileParser
 
 import pytest
 
@@ -109,3 +110,34 @@ def test_figures_of_a_draft(spark):
     claims = spark.createDataFrame([(1, "12", None, "x"), (1, "about 7", "", ""), (2, None, "in 1999", None)], "case_id int, value string, quote string, detail string")
     got = {(r["case_id"], r["text"]): r["invented"] for r in Q.invented_numbers(drafts, claims).collect()}
     assert got == {(1, "12 and 1,200 and 7 and 12"): ["1200"], (1, "none"): [], (2, "99"): ["99"], (None, "55 44"): ["44", "55"], (3, None): []}
+
+
+def test_robots_rules_decide_as_the_parser_does(spark):
+    rng = random.Random(11)
+    paths = ["/", "", "/a", "/a/b", "/a?", "/a?x=1", "/a%2Fb", "/ä", "/%C3%A4", "/a+b", "*", "/*", "a", "/a#", "/a#f", "//x", "%", "/%zz", "/a;p"]
+    agents = ["*", "Watch", "watchbot", "other", "bot", ""]
+    lines = lambda: rng.choice([f"User-agent: {rng.choice(agents)}", f"USER-AGENT :{rng.choice(agents)}  # x", f"Disallow: {rng.choice(paths)}", f"Allow:{rng.choice(paths)} ", f"Disallow: {rng.choice(paths)}", "", "", " ", "# only", "Crawl-delay: 3", "Sitemap: /s", "nonsense", "Request-rate: 1/5"])
+    files = ["\n".join(lines() for _ in range(rng.randint(0, 14))) for _ in range(250)]
+    files += ["User-agent: *\r\nDisallow: /a\r\n\r\nUser-agent: watch\r\nAllow: /", None, "Disallow: /\nUser-agent: *\nDisallow: /a"]
+    asked = ["/", "", "/a", "/a/b/c", "/ab", "/a?x=1&y", "/a%2fb", "/%c3%a4x", "/ä", "/a+b", "/a%2Bb", "/*", "/x#f", "/a?", "//x/y", "/%zz", "/a;p?q"]
+    robots = spark.createDataFrame([(f"h{k}", 200, f) for k, f in enumerate(files)], "host string, status int, body string")
+    urls = spark.createDataFrame([(f"https://h{k}{p}",) for k in range(len(files)) for p in asked], "url string")
+    for agent in ("*", "WatchBot/1.0"):
+        got = {r["url"]: r["permission"] for r in L.robots_gate(urls, robots, agent).collect()}
+        wrong = []
+        for k, body in enumerate(files):
+            parser = RobotFileParser()
+            parser.parse((body or "").splitlines())
+            for p in asked:
+                url = f"https://h{k}{p}"
+                if (got[url] == "allowed") != parser.can_fetch(agent, url):
+                    wrong.append((url, got[url], body))
+        assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_the_gate_asks_no_python(spark):
+    robots = spark.createDataFrame([("h", 200, "User-agent: *\nDisallow: /a")], "host string, status int, body string")
+    urls = spark.createDataFrame([("https://h/a", 1), ("https://h/a", 2), (None, 3), ("https://other/", 4), ("odd", 5)], "url string, n int")
+    gate = L.robots_gate(urls, robots)
+    assert {r["n"]: r["permission"] for r in gate.collect()} == {1: "disallowed", 2: "disallowed", 3: "unknown", 4: "unknown", 5: "unknown"}
+    assert "Python" not in gate._jdf.queryExecution().executedPlan().toString()
