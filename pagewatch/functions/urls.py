@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from pagewatch.functions import words as W
 from pagewatch.functions.text import Col, c
 
+#: Session marks in paths.
 _SESSION = re.compile(r";(?:jsessionid|phpsessid|sid)=[^/;?]*", re.I)
 
 
@@ -30,14 +31,52 @@ def canonical(base: str | None, href: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def canonical_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([canonical(*x) for x in zip(base, href, strict=True)], dtype=object)
+def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([None if y is None and x is None else canonical(x, y) for x, y in zip(base, href, strict=True)], dtype=object)
 
 
-@F.pandas_udf(StringType())
-def listing_url(url: pd.Series) -> pd.Series:
-    """A posting's address without session, fragment and tracking; the order of parameters stays."""
+def _cleaned(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"(?U)^[\s\x00-\x20]+|[\s]+$", ""), r"[\t\r\n]", "")
+
+
+#: Addresses that say everything themselves: with a host in plain letters, figures, dots, hyphens, and perhaps a port or a name.
+_WHOLE = r"^[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.:_@~-]+([/?#]|$)"
+
+
+def _parameters(query: Column, left_out: list[str] | tuple[str, ...] | set[str], blanks: bool) -> Column:
+    """The parameters of a query as structs of decoded name and value."""
+    plus = F.regexp_replace(query, "%(?![0-9A-Fa-f]{2})", "%25")
+    parts = F.filter(F.split(plus, "&"), lambda x: x != "")
+    both = F.transform(parts, lambda x: F.struct(F.url_decode(F.regexp_replace(x, "(?s)=.*", "")).alias("k"), F.url_decode(F.regexp_replace(x, "(?s)^[^=]*=?", "")).alias("v")))
+    kept = F.filter(both, lambda p: ~F.lower(p["k"]).isin(*left_out))
+    return kept if blanks else F.filter(kept, lambda p: p["v"] != "")
+
+
+def _written(parameters: Column) -> Column:
+    def code(x: Column) -> Column:
+        return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+    query = F.array_join(F.transform(parameters, lambda p: F.concat(code(p["k"]), F.lit("="), code(p["v"]))), "&")
+    return F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
 
+
+def canonical_absolute(url: Col) -> Column:
+    """The canonical form of an address that says its scheme and host, by expressions alone; null for any other."""
+    own = _cleaned(c(url))
+    scheme, host = F.lower(F.regexp_extract(own, "^([A-Za-z]+):", 1)), F.lower(F.regexp_extract(own, "^[A-Za-z]+://([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(own, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1), f"(?i){_SESSION.pattern}", ""), "/+$", "")
+    kept = F.array_sort(_parameters(F.regexp_extract(own, r"^[^?#]*\?([^#]*)", 1), W.VISITOR_PARAMS, True))
+    return F.when(own.rlike(_WHOLE), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), _written(kept)))
+
+
+def canonical_url(base: Col, href: Col) -> Column:
+    """canonical() as a column: by expressions where the address says its scheme and host; only others go to Python, with their base."""
+    whole = F.coalesce(_cleaned(c(href)).rlike(_WHOLE), F.lit(False))
+    return F.when(whole, canonical_absolute(href)).otherwise(_resolved(F.when(~whole, F.coalesce(c(base), F.lit(""))), F.when(~whole, c(href))))
+
+
+@F.pandas_udf(StringType())
+def _listing(url: pd.Series) -> pd.Series:
     def one(u: str | None) -> str | None:
         if u is None:
             return None
@@ -51,6 +90,15 @@ def listing_url(url: pd.Series) -> pd.Series:
     return url.map(one)
 
 
+def listing_url(url: Col) -> Column:
+    """A posting's address without session, fragment and tracking; the order of parameters stays. Only addresses without scheme and host go to Python."""
+    own = F.regexp_replace(F.regexp_replace(F.regexp_replace(c(url), "(?i);jsessionid=[^/?#]*", ""), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    scheme = F.lower(F.regexp_extract(own, "^([A-Za-z]+):", 1))
+    kept = _parameters(F.regexp_extract(own, r"^[^?#]*\?([^#]*)", 1), W.POSTING_PARAMS, False)
+    whole = F.coalesce(own.rlike(_WHOLE), F.lit(False))
+    return F.when(whole, F.concat(scheme, F.regexp_extract(own, "^[A-Za-z]+(://[^?#]*)", 1), _written(kept))).otherwise(_listing(F.when(~whole, c(url))))
+
+
 def host_of(url: Col) -> Column:
     return F.lower(F.regexp_extract(c(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 

@@ -16,6 +16,7 @@ from pagewatch.functions import words as W
 from pagewatch.sources.shared import new_folder
 
 _ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)(?=</a\s*>|<a\b|$)", re.I | re.S)
+#: How a page declares its base address.
 _BASE = re.compile(r"<base[^>]+href=[\"']([^\"']+)[\"']", re.I)
 _TAG = re.compile(r"<[^>]+>")
 #: Pages that a walk reads at most, and how deep it goes.

@@ -27,6 +27,12 @@ def canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", U.canonical_url(F.lit("https://x.example/"), F.concat("url", F.lit(""))).alias("link"))
 
 
+@query(r"""SELECT page_id, regexp_extract(url, '^(https?)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') || '?a=%C3%A9+x&b=' || page_id AS link FROM pages""")
+def canonical_absolute(spark, d):
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?utm_source=q&b="), F.col("page_id").cast("string"), F.lit("&&a=é%20x#top"))
+    return table(spark, d, "pages").select("page_id", U.canonical_absolute(url).alias("link"))
+
+
 @query(r"""SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?b=2&a=1' AS link FROM pages""")
 def listing_url(spark, d):
     url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(";jsessionid=AB12?b=2&utm_source=x&a=1&source=y#top"))

@@ -8,6 +8,7 @@ from urllib.robotparser import RobotFileParser
 import pytest
 
 from pagewatch.functions import text as T
+from pagewatch.functions import urls as U
 from pagewatch.operators import links as L
 from pagewatch.operators import quotes as Q
 
@@ -141,3 +142,19 @@ def test_the_gate_asks_no_python(spark):
     gate = L.robots_gate(urls, robots)
     assert {r["n"]: r["permission"] for r in gate.collect()} == {1: "disallowed", 2: "disallowed", 3: "unknown", 4: "unknown", 5: "unknown"}
     assert "Python" not in gate._jdf.queryExecution().executedPlan().toString()
+
+
+def test_addresses_by_expressions_are_those_of_python(spark):
+    rng = random.Random(12)
+    hosts = ["https://A.example", "http://a.example:80", "HTTP://a.b", "https://", "", "//c.example", "mailto:x@y", "ftp://a.b", "https://u:p@a.b", "https://ä.example", "https://[::1", "https:/x"]
+    paths = ["", "/", "/a/b/", "/a;jsessionid=1/b", "/x;SID=2?", "/ä/%C3%A4", "/a/../b", "a b", "/a//"]
+    queries = ["", "?", "?b=2&a=1", "?a", "?a=&b", "?=v", "?utm_source=x&a=%e9", "?a=b=c", "?q=%C3%A9+x*~", "?a=%zz&&c=%", "?UTM_Source=1", "?a=1;b=2", "?x=é", "#f", "?a=1#f?b"]
+    hrefs = ["".join(map(rng.choice, (["", "", " ", "\t"], hosts, paths, queries, ["", "", " ", "\n"]))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame([(k, "https://base.example/x/y?z", h) for k, h in enumerate(hrefs)], "k int, base string, href string")
+    got = df.select("k", U.canonical_url("base", "href").alias("url"), U.canonical_absolute("href").alias("whole"), U.listing_url("href").alias("posting"), U._listing("href").alias("plain")).collect()
+    wrong = [(hrefs[r["k"]], r["url"], U.canonical("https://base.example/x/y?z", hrefs[r["k"]])) for r in got if r["url"] != U.canonical("https://base.example/x/y?z", hrefs[r["k"]])]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert all(r["whole"] in (None, r["url"]) for r in got) and sum(r["whole"] is not None for r in got) > 400
+    wrong = [(hrefs[r["k"]], r["posting"], r["plain"]) for r in got if r["posting"] != r["plain"]]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert "Python" not in df.select(U.canonical_absolute("href"))._jdf.queryExecution().executedPlan().toString()
