@@ -51,7 +51,8 @@ def chatml_mask(span: str) -> tuple[int, int]:
 class Spans:
     """Follows one conversation turn by turn. rewrites: some prefix's output isn't a prefix of the next one's.
 
-    window: None renders true prefixes. A number says that the template looks back fewer turns than half of it: then prefixes begin later.
+    window: None renders true prefixes. A number says that the template looks back fewer turns than half of it: then prefixes begin later. Where the first
+    one does, the true prefix is rendered too, and a turn's span that isn't the same is an error: the template looks back further than was said.
     """
 
     render: Callable[[list[Turn]], str]
@@ -59,12 +60,20 @@ class Spans:
     recent: list[Turn] = field(default_factory=list)
     before: str | None = None
     rewrites: bool = False
+    moved: bool = False
 
     def add(self, turn: Turn) -> str:
         """The part of the output that is the turn's: what the output of the prefix with it has more than without it."""
         if len(self.recent) == self.window:
-            self.recent = self.recent[self.window // 2 :]
-            self.before = None
+            if not self.moved and self.before is not None:
+                self.moved = True
+                whole = Spans(self.render, None, self.recent[:], self.before, self.rewrites)
+                expected = whole.add(turn)
+                self.recent, self.before = self.recent[self.window // 2 :], None
+                if self.add(turn) != expected or self.rewrites != whole.rewrites:
+                    raise ValueError(f"the template looks back further than half of {self.window} turns: give a larger window, or none")
+                return expected
+            self.recent, self.before = self.recent[self.window // 2 :], None
         if self.before is None:
             self.before = self.render(self.recent) if self.recent else ""
         self.recent.append(turn)
@@ -96,7 +105,7 @@ def format_conversations(
     before. A template whose output for a prefix isn't the beginning of the next rewrites history: its conversations are
     marked, and spans begin where the outputs part. The prefixes are whole, so that a conversation of n turns takes n renderings of up to n
     turns and is held in a task; for a template that looks back fewer turns than half of `window`, giving that renders the latest turns only, and
-    conversations of any length stream through a task turn by turn. role and text are read back from the span.
+    conversations of any length stream through a task turn by turn; a template that looks back further is an error where it shows at a conversation's first move. role and text are read back from the span.
     Rows sort by turn, role and text; a null turn comes first, a null role or text counts as empty; null conversations are
     one conversation. Repeated rows are turns of their own. Other columns aren't read; an empty table gives none.
     """

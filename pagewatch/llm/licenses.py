@@ -145,16 +145,22 @@ class Index:
                         out[k] = (share, w)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", id: str = "doc_id", width: int = WIDTH, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, text: str = "text", id: str = "doc_id", width: int = WIDTH, containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """A row per document and template found in it: doc_id, template, containment, first_word.
 
     containment: the largest share of the template's distinct shingles (of width words; templates of fewer words are one
     shingle) that a window of the text has, at least the given one; first_word: where the first such window begins, in
     words of letters and digits, lower-cased. A window of that containment is missed with at most the chance given. Templates
     without a word match nothing; null and empty texts have no rows. Null ids and repeated rows are kept as they are; other
-    columns aren't read; an empty table gives none. Only rows found leave a task; nothing is shuffled.
+    columns aren't read; an empty table gives none. Only rows found leave a task; nothing is shuffled. templates: texts by name, whole licenses as well as notices, or a
+    table of template and text of at most MAX_TEMPLATES rows, which goes to every task; more are an error. Of repeated names the least text counts.
     """
     templates = TEMPLATES if templates is None else templates
+    if isinstance(templates, DataFrame):
+        own = templates.where("template is not null").groupBy("template").agg(F.min("text").alias("text"))
+        templates = {r["template"]: r["text"] or "" for r in own.limit(MAX_TEMPLATES + 1).collect()}
+    if len(templates) > MAX_TEMPLATES:
+        raise ValueError(f"at most {MAX_TEMPLATES} templates go with a task")
     text_batches(docs.sparkSession)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from pagewatch.llm import byte_bpe, chat, quality, queries, substring, vectors, word_ids, wrappers
+from pagewatch.llm import byte_bpe, chat, licenses, quality, queries, substring, vectors, word_ids, wrappers
 
 LONG = "and so on for many more words than any menu has, " * 3
 
@@ -350,3 +350,33 @@ def test_near_dedup_of_an_id_with_groups_of_its_own(spark):
     t, u = (" ".join(f"{c}{k}" for k in range(90)) for c in "ab")
     docs = spark.createDataFrame([(5, x, None, None, 1) for x in (t, u, t, u)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["text"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted([t, u])
+
+
+def test_a_window_that_is_too_small_is_an_error():
+    numbered = lambda turns: "".join(f"[{k}:{r}]{t}\n" for k, (r, t) in enumerate(turns))
+    forgets = lambda turns: "".join(f"<{r}>{t}\n" for r, t in turns) if len(turns) < 8 else "short"
+    last_two = lambda turns: "".join(f"<{r}|{turns[k - 1][0] if k else ''}>{t}\n" for k, (r, t) in enumerate(turns))
+    turns = [(f"r{k}", f"t{k}") for k in range(40)]
+    for render, window, fits in ((chat.chatml, 4, True), (last_two, 4, True), (numbered, 8, False), (forgets, 7, False)):
+        spans = chat.Spans(render, window)
+        if fits:
+            assert "".join(spans.add(t) for t in turns) == render(turns) and not spans.rewrites
+        else:
+            with pytest.raises(ValueError, match="looks back further"):
+                for t in turns:
+                    spans.add(t)
+
+
+def test_whole_licenses_of_a_table(spark, monkeypatch):
+    rng = random.Random(13)
+    license_ = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(900 + 300 * k))
+    texts = {f"L{k}": license_(k) for k in range(6)}
+    table = spark.createDataFrame([*texts.items(), ("L1", "zzz"), (None, "x"), ("none", None)], "template string, text string")
+    altered = texts["L3"].split()
+    altered[::40] = ["changed"] * len(altered[::40])  # each takes five shingles: seven of eight stay
+    docs = [(1, f"before {texts['L2']} after"), (2, " ".join(altered)), (3, texts["L4"][: len(texts["L4"]) // 2]), (4, texts["L0"].upper() + texts["L5"]), (5, None)]
+    got = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert sorted((r["doc_id"], r["template"], r["containment"] > 0.99) for r in got) == [(1, "L2", True), (2, "L3", False), (4, "L0", True), (4, "L5", True)]
+    monkeypatch.setattr(licenses, "MAX_TEMPLATES", 3)
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
