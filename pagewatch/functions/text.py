@@ -110,9 +110,14 @@ def _where(test: Column, changed: Callable[[Column], Column], text: Column) -> C
     return F.coalesce(changed(F.when(test, text)), text)
 
 
+def _ascii(text: Column) -> Column:
+    """Told by lengths, without looking at the characters."""
+    return F.octet_length(text) == F.length(text)
+
+
 def composed(text: Col) -> Column:
     """NFKC. Only text with characters that it may change goes to Python."""
-    return _where(c(text).rlike(f"[^{_STEADY}]"), _nfkc, c(text))
+    return _where(~_ascii(c(text)) & c(text).rlike(f"[^{_STEADY}]"), _nfkc, c(text))
 
 
 def without_accents(text: Col) -> Column:
@@ -123,12 +128,16 @@ def without_accents(text: Col) -> Column:
 
 def straight(text: Col) -> Column:
     """Curly quotes, long dashes and hard spaces as plain ones."""
-    return F.when(c(text).rlike("[‘’“”–—\xa0]"), F.translate(c(text), "‘’“”–—\xa0", "''\"\"-- ")).otherwise(c(text))
+    return F.when(_ascii(c(text)), c(text)).when(c(text).rlike("[‘’“”–—\xa0]"), F.translate(c(text), "‘’“”–—\xa0", "''\"\"-- ")).otherwise(c(text))
 
 
 def squeeze(text: Col) -> Column:
-    """White space as one space, none at the ends. What is one space already isn't touched."""
-    return F.trim(F.regexp_replace(c(text), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
+    """White space as one space, none at the ends. ASCII text is gone through by bytes, and only where spaces stand side by side by a pattern."""
+    plain = c(text)
+    for space in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    plain = F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+    return F.trim(F.when(_ascii(c(text)), plain).otherwise(F.regexp_replace(c(text), r"(?U)\s+", " ")))
 
 
 def fold(text: Col) -> Column:
