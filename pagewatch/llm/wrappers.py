@@ -4,8 +4,9 @@ A page's tokens (structural tags with their classes, and text) nest into a tree.
 expression over such tokens, held as a tree as well: a tag with what it contains in order, where parts may be optional `( )?` or
 repeated `( )+`; text is a slot `#` where it varies between pages, and a constant `=` where all pages that have it agree. Aligning a
 page with a wrapper resolves each mismatch: text that differs becomes a slot, tokens that one side lacks become optional, and optional
-ones that go on like what stands before them fold into a repeat. Parts of two pages meet by token and number, wherever they stand, and what is kept
-of each (pages, characters, whether all agree) doesn't depend on the order of aligning. Aligning two wrappers is the
+ones that go on like what stands before them fold into a repeat. Parts of two pages meet in the order of both, so that a wrapper generates
+each of its pages; a part that pages have in two orders is there twice, and what is kept of it (pages, characters, whether all agree) is put together
+for reading, so that it doesn't depend on the order of aligning. Aligning two wrappers is the
 same, so that Spark aligns pages within tasks, tasks within salted parts of a host, and those into the host's wrapper.
 
 The wrapper decides: constants are template, and the main part is the subtree that holds the varying text. Element names
@@ -15,6 +16,7 @@ against a part that holds most of the varying text.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import json
@@ -62,8 +64,10 @@ IN_ARTICLE = frozenset(["header"])
 #: Nodes that a task holds before it hands on its wrappers.
 HELD = 200_000
 
-Node = list  # [key, optional, repeated, pages, characters, digest or None, parts]
-KEY, OPTIONAL, REPEATED, PAGES, CHARS, FIXED, PARTS = range(7)
+Node = list  # [key, optional, repeated, pages, characters, digest or None, number among the parts of its token, parts]
+KEY, OPTIONAL, REPEATED, PAGES, CHARS, FIXED, NTH, PARTS = range(8)
+#: Why a part is optional: other pages lack it in this place, or another turn of a repeat within a page does.
+OTHER_PAGE, SAME_PAGE = 1, 2
 SLOT, GROUP = "#", "()"
 
 
@@ -224,17 +228,21 @@ def page_wrapper(page: str | None) -> Node:
 
 
 def _wrapper(events: list[tuple]) -> Node:
-    root: Node = ["", False, False, 1, 0, 0, []]
+    root: Node = ["", 0, False, 1, 0, 0, 0, []]
     stack = [root]
 
     def close(node: Node) -> None:
         node[CHARS] += sum(x[CHARS] for x in node[PARTS])
         node[FIXED] = _combined([x[FIXED] for x in node[PARTS]])
         node[PARTS] = _fold(node[PARTS], lambda a, b: "." in b[KEY] or _tag(b[KEY]) in LISTED)
+        seen: Counter = Counter()
+        for x in node[PARTS]:
+            x[NTH] = seen[x[KEY]]
+            seen[x[KEY]] += 1
 
     for event in events:
         if event[0] == "open":
-            node: Node = [event[1], False, False, 1, 0, 0, []]
+            node: Node = [event[1], 0, False, 1, 0, 0, 0, []]
             stack[-1][PARTS].append(node)
             stack.append(node)
         elif event[0] == "close":
@@ -245,7 +253,7 @@ def _wrapper(events: list[tuple]) -> Node:
                 parts[-1][CHARS] += len(text)
                 parts[-1][FIXED] = _combined((parts[-1][FIXED], _digest(text)))
             else:
-                parts.append([SLOT, False, False, 1, len(text), _digest(text), []])
+                parts.append([SLOT, 0, False, 1, len(text), _digest(text), 0, []])
     close(root)
     return root
 
@@ -274,7 +282,7 @@ def _fold_groups(parts: list[Node]) -> list[Node]:
                 j += width
             if j > i + width:
                 fixed = None if any(x[FIXED] is None for x in run) else _combined([x[FIXED] for x in run])
-                parts[i:j] = [[GROUP, all(x[OPTIONAL] for x in run), True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), fixed, run]]
+                parts[i:j] = [[GROUP, all(x[OPTIONAL] for x in run), True, max(x[PAGES] for x in run), sum(x[CHARS] for x in run), fixed, 0, run]]
             i += 1
     return parts
 
@@ -298,32 +306,64 @@ def resolve(node: Node) -> Node:
     return done[id(node)]
 
 
+def _chain(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of pairs (i, j, weight) in order of i and falling j, those that rise in both and weigh most together."""
+    at = {j: k + 1 for k, j in enumerate(sorted({j for _, j, _ in pairs}))}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(at) + 1)  # by a binary indexed tree: weight of a chain, and its last pair
+    before: list[int] = []
+    for n, (_, j, weight) in enumerate(pairs):
+        k, top = at[j] - 1, (0, -1)
+        while k:
+            top = max(top, best[k])
+            k &= k - 1
+        before.append(top[1])
+        k, own = at[j], (top[0] + weight, n)
+        while k < len(best):
+            best[k] = max(best[k], own)
+            k += k & -k
+    k, top = len(at), (0, -1)
+    while k:
+        top = max(top, best[k])
+        k &= k - 1
+    out, n = [], top[1]
+    while n >= 0:
+        out.append(pairs[n][:2])
+        n = before[n]
+    return out[::-1]
+
+
 def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """The nth part of a token meets the nth of the other side, in linear time; what one side lacks is paired with None, in order."""
-    if len(a) == len(b) and all(x[KEY] == y[KEY] for x, y in zip(a, b, strict=True)):
+    """Parts of one token meet in the order of both sides, so that the wrapper generates both; what one side lacks is paired with None, in its place.
+
+    The nth part of a token meets the nth of the other side. Where pages have them in several orders, a side has such a part in several places:
+    they are paired from the front and from the end; of all pairs the chain with most text is taken, and between its pairs what else
+    meets in order. This takes n log n steps.
+    """
+    if len(a) == len(b) and all(x[KEY] == y[KEY] and x[NTH] == y[NTH] for x, y in zip(a, b, strict=True)):
         return list(zip(a, b, strict=True))
-    pairs: dict[str, list] = defaultdict(list)
-    for x in a:
-        pairs[x[KEY]].append((x, None))
-    seen: Counter = Counter()
-    before: dict[tuple[str, int], list[str]] = {}
-    run: list[str] = []
-    for y in b:
-        key, n = y[KEY], seen[y[KEY]]
-        seen[key] += 1
-        if n < len(pairs[key]):
-            pairs[key][n] = (pairs[key][n][0], y)
-            before[key, n], run = run, []
-        else:
-            pairs[key].append((None, y))
-            run.append(key)
-    order, seen = [], Counter()
-    for x in a:
-        order += before.get((x[KEY], seen[x[KEY]]), ())
-        order.append(x[KEY])
-        seen[x[KEY]] += 1
-    nth = {key: iter(own) for key, own in pairs.items()}
-    return [next(nth[key]) for key in order + run]
+    places: dict[tuple[str, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for side, parts in enumerate((a, b)):
+        for i, x in enumerate(parts):
+            places[x[KEY], x[NTH]][side].append(i)
+    candidates = {p for own, other in places.values() for p in (*zip(own, other, strict=False), *zip(own[::-1], other[::-1], strict=False))}
+    chain = _chain([(i, j, 1 + a[i][CHARS] + b[j][CHARS]) for i, j in sorted(candidates, key=lambda p: (p[0], -p[1]))])
+    out: list[tuple[Node | None, Node | None]] = []
+    i = j = 0
+    for end_a, end_b in [*chain, (len(a), len(b))]:
+        for k in range(i, end_a):
+            later = places[a[k][KEY], a[k][NTH]][1]
+            n = bisect.bisect_left(later, j)
+            if n < len(later) and later[n] < end_b:
+                out += [(None, y) for y in b[j : later[n]]]
+                out.append((a[k], b[later[n]]))
+                j = later[n] + 1
+            else:
+                out.append((a[k], None))
+        out += [(None, y) for y in b[j:end_b]]
+        if end_a < len(a):
+            out.append((a[end_a], b[end_b]))
+        i, j = end_a + 1, end_b + 1
+    return out
 
 
 def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
@@ -334,7 +374,7 @@ def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
         fixed = a[FIXED] if a[FIXED] == b[FIXED] and not same_page else None
         if same_page and a[FIXED] is not None and b[FIXED] is not None:
             fixed = _combined((a[FIXED], b[FIXED]))
-        return [a[KEY], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], fixed, []]
+        return [a[KEY], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] or b[REPEATED], pages, a[CHARS] + b[CHARS], fixed, a[NTH], []]
 
     root = both(a, b)
     open_ = [(a, b, root)]
@@ -345,7 +385,8 @@ def _merge(a: Node, b: Node, same_page: bool = False) -> Node:
                 out[PARTS].append(both(x, y))
                 open_.append((x, y, out[PARTS][-1]))
             else:
-                out[PARTS].append([*(x or y)[:OPTIONAL], True, *(x or y)[REPEATED:]])
+                one = x or y
+                out[PARTS].append([one[KEY], one[OPTIONAL] | (SAME_PAGE if same_page else OTHER_PAGE), *one[REPEATED:]])
     return root
 
 
@@ -514,6 +555,27 @@ def _headed(wrapper: Node, varying: _Varying) -> set[int]:
     return out
 
 
+def one_place(wrapper: Node) -> Node:
+    """The wrapper with parts that stand in several orders put together where the first stands, for reading: how many pages have a part, how much of
+    it and whether all agree, wherever it stands. It doesn't depend on the order in which pages were aligned."""
+    root: Node = [*wrapper[:PARTS], []]
+    open_: list[tuple[list[Node], Node]] = [([wrapper], root)]
+    while open_:
+        nodes, out = open_.pop()
+        own: dict[tuple[str, int], list[Node]] = defaultdict(list)
+        for node in nodes:
+            for x in node[PARTS]:
+                own[x[KEY], x[NTH]].append(x)
+        for (key, nth), same in own.items():
+            pages = min(sum(x[PAGES] for x in same), out[PAGES])
+            within = any(x[OPTIONAL] & SAME_PAGE for x in same)
+            fixed = same[0][FIXED] if all(x[FIXED] == same[0][FIXED] for x in same) else None
+            optional = SAME_PAGE * within | OTHER_PAGE * (pages < out[PAGES])
+            out[PARTS].append([key, optional, any(x[REPEATED] for x in same), pages, sum(x[CHARS] for x in same), fixed, nth, []])
+            open_.append((same, out[PARTS][-1]))
+    return root
+
+
 def _path(place: tuple | None) -> str:
     keys = []
     while place is not None:
@@ -531,7 +593,7 @@ def reading(wrapper: Node) -> dict:
     and no heading that varies stands beside it. On a host whose pages agree in all, or of one page, all text counts.
     Outside of articles, the main part's own parts of which every page has all blocks are template, unless they are most of a page's text.
     """
-    wrapper = resolve(wrapper)
+    wrapper = resolve(one_place(wrapper))
     pages = max(wrapper[PAGES], 1)
     varying, all_text = _Varying(wrapper, False), _Varying(wrapper, True)
     every = not varying.of(wrapper)

@@ -380,3 +380,55 @@ def test_whole_licenses_of_a_table(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MAX_TEMPLATES", 3)
     with pytest.raises(ValueError):
         licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+
+
+def _grammar(node):
+    """A wrapper as a regular expression over tokens that end in a NUL."""
+    own = "".join(map(_grammar, node[wrappers.PARTS]))
+    if node[wrappers.KEY] == wrappers.SLOT:
+        own = "#\0"
+    elif node[wrappers.KEY] not in ("", wrappers.GROUP):
+        own = re.escape(f"<{node[wrappers.KEY]}\0") + own + "/\0"
+    optional, repeated = node[wrappers.OPTIONAL], node[wrappers.REPEATED]
+    return f"(?:{own})" + ("*" if optional and repeated else "?" if optional else "+" if repeated else "")
+
+
+def _tokens(page):
+    out = []
+    for event in wrappers._parse(page):
+        token = f"<{event[1]}\0" if event[0] == "open" else "/\0" if event[0] == "close" else "#\0" if event[1].strip() else ""
+        if token and (token != "#\0" or not out or out[-1] != token):
+            out.append(token)
+    return "".join(out)
+
+
+def test_wrappers_generate_their_pages():
+    one, two = "<p>one</p><ul><li>a</ul><h2>t</h2>", "<h2>t</h2><ul><li>a</ul><p>two</p>"
+    own = wrappers.align(wrappers.page_wrapper(one), wrappers.page_wrapper(two))
+    assert all(re.fullmatch(_grammar(x), _tokens(page)) for x in (own, wrappers.resolve(own)) for page in (one, two))
+    # A third page that has one of the two orders makes the wrapper no longer.
+    assert wrappers._count(wrappers.align(own, wrappers.page_wrapper(one))) == wrappers._count(own)
+    rng = random.Random(6)
+    blocks = ["<p>{}</p>", "<p>{}<p>more", "<ul><li>{}<li>b</ul>", "<h2>{}</h2>", "<div class=x>{}</div>", "<section><h2>t</h2><p>{}</section>", "{}", "<hr>"]
+    for _ in range(300):
+        pages = ["".join(x.format(rng.choice("abc")) for x in rng.choices(blocks, k=rng.randrange(1, 6))) for _ in range(rng.randrange(2, 5))]
+        own = wrappers.page_wrapper(pages[0])
+        for page in pages[1:]:
+            own = wrappers.align(own, wrappers.page_wrapper(page))
+        for x in (own, wrappers.resolve(own)):
+            for page in pages:
+                assert re.fullmatch(_grammar(x), _tokens(page)), (pages, wrappers.expression(x))
+
+
+def test_an_article_that_stands_in_two_places_is_found():
+    def page(k):
+        parts = [f"<article><h1>Story {k}</h1><p>{LONG}{k}</p></article>", f"<div class=teasers>{'<p>Another story %d' % k * (1 + 30 * (k % 3 == 0))}</div>"]
+        return f"<body>{''.join(parts if k % 2 else parts[::-1])}</body>"
+
+    pages = [page(k) for k in range(12)]
+    assert host_texts(None, pages[:1], inferred=False)[0]
+    how = wrappers.page_wrapper(pages[0])
+    for x in pages[1:]:
+        how = wrappers.align(how, wrappers.page_wrapper(x))
+    how = wrappers.reading(how)
+    assert [wrappers.main_text(x, how) for x in pages] == [f"Story {k}\n{LONG}{k}" for k in range(12)]
