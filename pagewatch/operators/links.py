@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions import urls as U
 from pagewatch.functions import words as W
+from pagewatch.operators.dealt import dealt, never_broadcast
 from pagewatch.sources.shared import new_folder
 
 _ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)(?=</a\s*>|<a\b|$)", re.I | re.S)
@@ -195,15 +196,19 @@ def contact_links(links: DataFrame, most: int = 2) -> DataFrame:
 
 
 def course_url(titles: DataFrame, links: DataFrame) -> DataFrame:
-    """titles (page_url, title) with link: that of the anchor whose folded text is the title, else of the only one that contains it."""
+    """titles (page_url, title) with link: that of the anchor whose folded text is the title, else of the only one that contains it.
+
+    Titles and links meet by a shuffle on their page, as many as they are.
+    """
     from pagewatch.functions.text import fold_ci
 
+    titles, links = dealt(titles, "page_url"), dealt(links.select("page_url", "link", "label", "pos"), "page_url")
     own = titles.select("page_url", "title").distinct().withColumn("_t", fold_ci("title")).where("_t <> ''")
-    pairs = own.join(links.withColumn("_l", fold_ci("label")), "page_url").where(F.col("_l").contains(F.col("_t")))
+    pairs = own.join(never_broadcast(links.withColumn("_l", fold_ci("label"))), "page_url").where(F.col("_l").contains(F.col("_t")))
     exact = F.col("_l") == F.col("_t")
     found = pairs.groupBy("page_url", "title").agg(F.min(F.when(exact, F.struct("pos", "link"))).alias("e"), F.count_distinct("link").alias("n"), F.min("link").alias("only"))
     link = F.when(F.col("e").isNotNull(), F.col("e.link")).when(F.col("n") == 1, F.col("only"))
-    return titles.join(found.select("page_url", "title", link.alias("link")), ["page_url", "title"], "left")
+    return titles.join(never_broadcast(found.select("page_url", "title", link.alias("link"))), ["page_url", "title"], "left")
 
 
 def link_shapes(links: DataFrame, least: int = 8) -> DataFrame:

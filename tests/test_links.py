@@ -6,6 +6,7 @@ import unicodedata
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
 from pagewatch.functions import urls as U
@@ -158,3 +159,24 @@ def test_addresses_by_expressions_are_those_of_python(spark):
     wrong = [(hrefs[r["k"]], r["posting"], r["plain"]) for r in got if r["posting"] != r["plain"]]
     assert not wrong, (len(wrong), wrong[:5])
     assert "Python" not in df.select(U.canonical_absolute("href"))._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan_and_tasks(df):
+    """The plan as run, and in how many tasks rows come out."""
+    rows = df.withColumn("_task", F.spark_partition_id()).collect()
+    return df._jdf.queryExecution().toString(), len({r["_task"] for r in rows})
+
+
+def test_links_of_a_small_file_are_dealt_to_tasks_and_not_broadcast(spark, tmp_path):
+    """A file of a few kilobytes may become any number of links: none goes through the driver, and no task looks at all of them."""
+    path = str(tmp_path / "sites")
+    spark.range(400).coalesce(1).write.parquet(path)
+    labels = ["Extend your stay", "Renew a permit", "News"]
+    page = F.concat(F.lit("https://s"), F.col("id").cast("string"), F.lit(".example/"))
+    links = spark.read.parquet(path).select(page.alias("page_url"), F.posexplode(F.array(*map(F.lit, labels))).alias("pos", "label"))
+    links = links.withColumn("link", F.concat("page_url", F.lit("p"), F.col("pos").cast("string")))
+    titles = links.where("pos = 0").select("page_url", F.lit("RENEW a permit").alias("title"))
+    found = L.course_url(titles, links)
+    plan, tasks = _plan_and_tasks(found)
+    assert "Broadcast" not in plan and tasks > 3
+    assert found.where(F.col("link").endswith("p1")).count() == 400
