@@ -148,7 +148,8 @@ def topic_links(links: DataFrame, topics: dict[str, str] = W.LIVING_TOPICS, most
 
 
 def _own_host(links: DataFrame) -> DataFrame:
-    return links.where(U.host_of("link") == U.host_of("page_url"))
+    """Links to the page's own host, dealt out by page before anything is looked at, where what is first of a page is found too."""
+    return dealt(links, "page_url").where(U.host_of("link") == U.host_of("page_url"))
 
 
 def _first(df: DataFrame, per: list[str], order: list[Column], most: int) -> DataFrame:

@@ -180,3 +180,6 @@ def test_links_of_a_small_file_are_dealt_to_tasks_and_not_broadcast(spark, tmp_p
     plan, tasks = _plan_and_tasks(found)
     assert "Broadcast" not in plan and tasks > 3
     assert found.where(F.col("link").endswith("p1")).count() == 400
+    topics = L.topic_links(links)
+    plan, tasks = _plan_and_tasks(topics)
+    assert tasks > 3 and topics.where("topic = 'renew'").count() == 800
