@@ -138,9 +138,10 @@ def retire_missing(spark, d):
 @query("""WITH p AS (SELECT o_custkey, max('s/' || strftime(o_orderdate, '%Y-%m-%d')) AS m FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
     SELECT c_custkey AS source_id, m AS latest_path, CASE WHEN m IS NULL THEN 'without' WHEN c_custkey % 2 = 0 THEN 'right' ELSE 'fixed' END AS state FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
 def point_latest(spark, d):
+    # Every other source points to a version that was never stored, so that none of these is right by chance.
     paths = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("source_id"), F.concat(F.lit("s/"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("path"))
     newest = paths.groupBy("source_id").agg(F.max("path").alias("m"))
-    sources = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id")).join(newest, "source_id", "left").select("source_id", F.when(F.col("source_id") % 2 == 0, F.col("m")).otherwise("s/2000-01-01").alias("snapshot_path"))
+    sources = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id")).join(newest, "source_id", "left").select("source_id", F.when(F.col("source_id") % 2 == 0, F.col("m")).otherwise("s/none").alias("snapshot_path"))
     return C.point_latest(sources, paths).select("source_id", "latest_path", "state")
 
 

@@ -256,3 +256,14 @@ def test_nothing_is_quoted_of_a_text_that_is_too_short(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = dict(map(tuple, quotes.QUERIES["check_quotes_nfkc"](spark, str(tmp_path)).collect()))
     assert got == {1: Q.NO_QUOTE, 2: Q.NO_QUOTE, 3: Q.NO_QUOTE, 5: Q.NOT_ON_PAGE, 6: None}
+
+
+def test_a_version_of_the_first_of_2000_is_a_version_like_any_other(spark, tmp_path):
+    """By the query's SQL: an odd source is fixed, whenever its newest version was stored."""
+    from pagewatch.plans import changes
+
+    orders = [(2, 1, "2000-01-01"), (4, 2, "2000-01-01"), (3, 3, "2000-01-01")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d string").select("o_orderkey", "o_custkey", F.col("d").cast("timestamp").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["source_id"]: r["state"] for r in changes.QUERIES["point_latest"](spark, str(tmp_path)).collect()}
+    assert got == {1: "fixed", 2: "right", 3: "without"}
