@@ -299,18 +299,20 @@ def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFra
     return urls.join(known, F.col("url").eqNullSafe(F.col("_url")), "left").withColumn("permission", F.coalesce("permission", F.lit("unknown"))).drop("_url")
 
 
-def register_discovered(found: DataFrame, sources: DataFrame) -> DataFrame:
+def register_discovered(found: DataFrame, sources: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """found (country, lane, url, lead_url, depth, ok) that were read, with source_id: a known page keeps its own.
 
-    Of a page that several lead to, the row of the least depth stays, then of the least lead, then by all its columns.
+    Of a page that several lead to, the row of the least depth stays, then of the least lead, then by all its columns. per: columns of both sides that tell pages of
+    one address apart, such as a number of their own.
     """
     from pagewatch.functions.text import source_id
 
-    known = sources.groupBy("country", "lane", "url").agg(F.min("source_id").alias("_id"))
-    rest = [x for x in found.columns if x not in ("country", "lane", "url")]
+    key = ["country", "lane", "url", *per]
+    known = sources.groupBy(*key).agg(F.min("source_id").alias("_id"))
+    rest = [x for x in found.columns if x not in key]
     order = F.struct(*(x for x in ("depth", "lead_url") if x in rest), *rest)
-    once = found.where("ok").groupBy("country", "lane", "url").agg(F.min_by(F.struct(*rest), order).alias("_r")).select("country", "lane", "url", *(F.col(f"_r.{x}").alias(x) for x in rest)).select(*found.columns)
-    own = once.join(known, ["country", "lane", "url"], "left")
+    once = found.where("ok").groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, *(F.col(f"_r.{x}").alias(x) for x in rest)).select(*found.columns)
+    own = once.join(known, key, "left")
     return own.withColumn("source_id", F.coalesce("_id", source_id("country", "lane", "url"))).withColumn("known", F.col("_id").isNotNull()).drop("_id")
 
 

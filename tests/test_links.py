@@ -183,3 +183,13 @@ def test_links_of_a_small_file_are_dealt_to_tasks_and_not_broadcast(spark, tmp_p
     topics = L.topic_links(links)
     plan, tasks = _plan_and_tasks(topics)
     assert tasks > 3 and topics.where("topic = 'renew'").count() == 800
+
+
+def test_pages_of_one_address_are_registered_each(spark, tmp_path):
+    """By the query's SQL: a row per page, known by its own number."""
+    from pagewatch.plans import links
+
+    rows = [(k, "https://a.example/x", "") for k in (1, 2, 3, 5)] + [(4, "https://a.example/y", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = dict(map(tuple, links.QUERIES["register_discovered"](spark, str(tmp_path)).collect()))
+    assert got.keys() == {1, 2, 3, 4} and got[3] == "known-3" and got[1] == got[2] != got[4] and got[1].startswith("gb-work-a-example-x-")
