@@ -25,7 +25,10 @@ MAX_PAGES, MAX_DEPTH = 80, 2
 
 
 def page_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
-    """page_url, link, label, pos: absolute canonical links, each once a page where it comes first; <base href> is honoured."""
+    """page_url, link, label, pos: absolute canonical links, each once a page where it comes first; <base href> is honoured.
+
+    Rows of one address are one page: a link stands where it comes first in any of them, and of links that stand alike the lesser address is first.
+    """
     from pagewatch.functions.urls import canonical
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,15 +38,18 @@ def page_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFr
                 text = text or ""
                 declared = _BASE.search(text)
                 base = canonical(page, declared[1]) + ("/" if declared[1].endswith("/") else "") if declared and canonical(page, declared[1]) else page
-                seen: dict[str, str] = {}
-                for href, label in _ANCHOR.findall(text):
+                seen: dict[str, tuple[str, int]] = {}
+                for at, (href, label) in enumerate(_ANCHOR.findall(text)):
                     link = canonical(base, html.unescape(href))
                     if link and link not in seen:
-                        seen[link] = " ".join(html.unescape(_TAG.sub(" ", label)).split())
-                out += [(page, link, label, pos) for pos, (link, label) in enumerate(seen.items())]
-            yield pd.DataFrame(out, columns=["page_url", "link", "label", "pos"])
-
-    return pages.select(url, body).mapInPandas(links, "page_url string, link string, label string, pos int")
+                        seen[link] = (" ".join(html.unescape(_TAG.sub(" ", label)).split()), at)
+                out += [(page, link, *x) for link, x in seen.items()]
+            yield pd.DataFrame(out, columns=["page_url", "link", "label", "_at"])
+
+    found = pages.select(url, body).mapInPandas(links, "page_url string, link string, label string, _at int").repartition("page_url")
+    first = found.groupBy("page_url", "link").agg(F.min(F.struct("_at", "label")).alias("_f"))
+    order = Window.partitionBy("page_url").orderBy("_f._at", "link")
+    return first.select("page_url", "link", F.col("_f.label").alias("label"), (F.row_number().over(order) - 1).alias("pos"))
 
 
 def learn_navigation(links: DataFrame) -> DataFrame:

@@ -193,3 +193,11 @@ def test_pages_of_one_address_are_registered_each(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = dict(map(tuple, links.QUERIES["register_discovered"](spark, str(tmp_path)).collect()))
     assert got.keys() == {1, 2, 3, 4} and got[3] == "known-3" and got[1] == got[2] != got[4] and got[1].startswith("gb-work-a-example-x-")
+
+
+def test_rows_of_one_address_are_one_page(spark):
+    """Links of a page that comes in two versions: each once, where it comes first in either."""
+    rows = [("https://a.example/", '<a href="/x">X</a><a href="/x">again</a><a href="/y">Y</a>'), ("https://a.example/", '<a href="/y">Why</a><a href="/z">Z</a>'), ("https://b.example/", '<a href="/y">B</a>')]
+    got = L.page_links(spark.createDataFrame(rows, "url string, html string").repartition(3))
+    assert sorted((r["page_url"][8], r["pos"], r["link"][17:], r["label"]) for r in got.collect()) == [("a", 0, "/x", "X"), ("a", 1, "/y", "Why"), ("a", 2, "/z", "Z"), ("b", 0, "/y", "B")]
+    assert dict(got.dtypes)["pos"] == "int"
