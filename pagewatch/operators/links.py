@@ -90,7 +90,8 @@ def walk(entries: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_p
 
     A page has its smallest depth, and of several leads the smallest. The cap on pages of an entry is the feature: by depth, lead and
     position. It is applied at every level before links are joined, and of a page's links only those are joined that the cap can let through, so that an
-    entry's frontier has max_pages rows at most however many links a portal has. Each level is a table in the shared folder.
+    entry's frontier has max_pages rows at most however many links a portal has. Each level is a table in the shared folder. Levels meet by shuffles alone: a level
+    is a small file for its rows, and rounds of broadcasts would go through the driver.
 
     once: a page belongs to the first entry that finds it, and later entries neither have it nor go on from it. Entries are in the order of their column pos, if
     they have one, then of their address. What earlier entries claim changes what later ones reach, so that rounds of walks follow until none changes: as
@@ -108,7 +109,7 @@ def walk(entries: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, max_p
         if now == before:
             return found
         before = now
-        claims = found.where("depth > 0").join(own, "entry_url").groupBy(F.col("url").alias("_u")).agg(F.min(ahead).alias("_first"))
+        claims = found.where("depth > 0").join(never_broadcast(own), "entry_url").groupBy(F.col("url").alias("_u")).agg(F.min(ahead).alias("_first"))
 
 
 def _walked(entries: DataFrame, links: DataFrame, max_depth: int, max_pages: int, claims: DataFrame | None, folder: str) -> DataFrame:
@@ -121,13 +122,13 @@ def _walked(entries: DataFrame, links: DataFrame, max_depth: int, max_pages: int
     found = entries.select("entry_url", F.col("entry_url").alias("url"), F.lit(None).cast("string").alias("lead_url"), F.lit(0).alias("depth"), "_p")
     frontier = found
     for depth in range(1, max_depth + 1):
-        reached = frontier.select("entry_url", "_p", F.col("url").alias("page_url")).join(out, "page_url")
-        new = reached.groupBy("entry_url", "_p", F.col("link").alias("url")).agg(F.min(F.struct("page_url", "pos")).alias("f")).join(found.select("entry_url", "url"), ["entry_url", "url"], "left_anti")
+        reached = frontier.select("entry_url", "_p", F.col("url").alias("page_url")).join(never_broadcast(out), "page_url")
+        new = reached.groupBy("entry_url", "_p", F.col("link").alias("url")).agg(F.min(F.struct("page_url", "pos")).alias("f")).join(never_broadcast(found.select("entry_url", "url")), ["entry_url", "url"], "left_anti")
         if claims is not None:
-            new = new.join(claims, F.col("url") == F.col("_u"), "left").where(F.col("_first").isNull() | (F.col("_first") >= F.struct("_p", "entry_url"))).drop("_u", "_first")
+            new = new.join(never_broadcast(claims), F.col("url") == F.col("_u"), "left").where(F.col("_first").isNull() | (F.col("_first") >= F.struct("_p", "entry_url"))).drop("_u", "_first")
         room = found.groupBy("entry_url").agg((max_pages - F.count("*")).alias("_room"))
         order = Window.partitionBy("entry_url").orderBy("f.page_url", "f.pos", "url")
-        new = new.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_pages).join(room, "entry_url").where("_n <= _room")
+        new = new.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_pages).join(never_broadcast(room), "entry_url").where("_n <= _room")
         new.select("entry_url", "url", F.col("f.page_url").alias("lead_url"), F.lit(depth).alias("depth"), "_p").write.parquet(f"{folder}/level-{depth}")
         frontier = spark.read.schema(found.schema).parquet(f"{folder}/level-{depth}")
         found = found.unionByName(frontier)

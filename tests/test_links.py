@@ -201,3 +201,16 @@ def test_rows_of_one_address_are_one_page(spark):
     got = L.page_links(spark.createDataFrame(rows, "url string, html string").repartition(3))
     assert sorted((r["page_url"][8], r["pos"], r["link"][17:], r["label"]) for r in got.collect()) == [("a", 0, "/x", "X"), ("a", 1, "/y", "Why"), ("a", 2, "/z", "Z"), ("b", 0, "/y", "B")]
     assert dict(got.dtypes)["pos"] == "int"
+
+
+def test_levels_of_a_walk_are_not_broadcast(spark):
+    """Levels are small files for their rows; what is joined to them doesn't go through the driver."""
+    entries = spark.createDataFrame([("a", 0), ("b", 1)], "entry_url string, pos int")
+    links = spark.createDataFrame([("a", "c", 0), ("b", "c", 0), ("c", "d", 0)], "page_url string, link string, pos int")
+    plans, write = [], type(links).write.fget
+    kept = property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(links), "write", kept)
+        got = L.walk(entries, links, once=True).collect()
+    assert {(r["entry_url"], r["url"], r["depth"]) for r in got} == {("a", "a", 0), ("a", "c", 1), ("a", "d", 2), ("b", "b", 0)}
+    assert len(plans) >= 4 and not any("Broadcast" in x for x in plans)
