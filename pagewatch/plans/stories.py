@@ -156,6 +156,9 @@ def write_index(spark, d):
 
 # Streams: each reads a table as a stream of files and drains it.
 
+#: Pages of a day that make one file of the stream: files are what a trigger's tasks share out.
+PAGES_A_FILE = 2_000
+
 
 def _file_stream(spark, df, name: str):
     """A table as files in the shared folder, to be read as a stream."""
@@ -170,11 +173,11 @@ def stream_watch(spark, d):
     at = lambda k: F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * k)).alias("read_at")
     later = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>A new line.</p>"))).otherwise(F.col("html")).alias("html")
     first, second, third = pages.select("source_id", at(0), "html"), pages.select("source_id", at(1), later), pages.select("source_id", at(5), later)
-    # The second day's files come first; the last reading, which changes nothing, brings the watermark past both.
-    path = f"{new_folder(spark)}/snapshots"
+    # The second day's files come first; the last reading, which changes nothing, brings the watermark past both. A day is one trigger, of as many files as its pages need.
+    path, files = f"{new_folder(spark)}/snapshots", 1 + pages.count() // PAGES_A_FILE
     for k, day in enumerate((second, first, third)):
-        day.coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{path}/part={k}")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+        day.repartition(files).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{path}/part={k}")
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
     return ST.drain(ST.stream_watch(stream, "2 days"), f"stream_watch_{abs(hash(d))}", new_folder(spark)).select("source_id", "change_id", "added", "removed")
 
 

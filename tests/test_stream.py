@@ -4,10 +4,13 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagewatch.functions import text as T
 from pagewatch.operators import changes as C
+from pagewatch.plans import stories
+from pagewatch.sources.shared import new_folder
 from pagewatch.streaming import watch as ST
 
 SNAPSHOT = "source_id string, read_at timestamp, html string, vec_before array<double>, vec_after array<double>"
@@ -96,6 +99,45 @@ def test_the_state_shrinks(spark, tmp_path):
     assert [r["key"]["source_id"] for r in left.collect()] == ["end"]
 
 
+class OneValue:
+    """A state of one source that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_batch_of_versions_reads_and_writes_the_state_once():
+    state, watch = OneValue(), ST.Watch(None, 0.97)
+    watch.init(state)
+    rows = [Row(at=k, digest=f"d{k}", text=f"Fee {k}", vec_before=None, vec_after=None) for k in range(50)]
+    random.Random(1).shuffle(rows)
+    got = list(watch.handleInputRows(("s",), iter(rows), None))
+    assert [(r.at, r.before_digest, r.digest) for r in got] == [(k, f"d{k - 1}", f"d{k}") for k in range(1, 50)]
+    assert state.calls == 2
+
+
+def test_a_day_of_the_stream_is_many_files(spark, data, monkeypatch):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    want = sorted(str(r.page_id) for r in pages.where("page_id % 2 = 0").collect())
+    shared = []
+    monkeypatch.setattr(stories, "new_folder", lambda spark: shared.append(new_folder(spark)) or shared[-1])
+    monkeypatch.setattr(stories, "PAGES_A_FILE", 20, raising=False)
+    got = sorted(r.source_id for r in stories.stream_watch(spark, data).collect())
+    files = spark.read.option("recursiveFileLookup", True).parquet(f"{shared[0]}/snapshots").select("_metadata.file_path").distinct().count()
+    assert got == want and files == 3 * (1 + pages.count() // 20)
+
+
 def test_meaning_outside_of_a_dataframe(spark):
     rng = random.Random(9)
     words = "must may not cannot 1.270 1,270 3 debe kann nicht deberá puede jamais Fee MUST x_must 12a".split()
